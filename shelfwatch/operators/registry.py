@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +28,8 @@ from ..session import cut_lineage
 from .ranking import first_per, running_total
 
 ORDER = ["feed_ord", "pos", "url"]
-GROUP_ROWS = 20_000
+CANDIDATE = [*ORDER, "domain", "name", "clean_name"]
+GROUP_ROWS = 5_000
 
 
 class UpsertResult(NamedTuple):
@@ -39,6 +39,14 @@ class UpsertResult(NamedTuple):
     new_sources: DataFrame
 
 
+class Touched(NamedTuple):
+    """What the registry knows about the candidates."""
+
+    known: DataFrame
+    pairs: DataFrame
+    urls: DataFrame
+
+
 def platform_counts(sources: DataFrame) -> DataFrame:
     return sources.groupBy("game_id").agg(F.countDistinct("domain").cast("int").alias("platform_count"))
 
@@ -85,56 +93,63 @@ def insert_games(candidates: DataFrame, games: DataFrame, as_of) -> DataFrame:
     )
 
 
-def accept_edges(candidates: DataFrame, games: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _touched(candidates: DataFrame, games: DataFrame, sources: DataFrame) -> Touched:
+    """The part of the registry that the candidates can meet: each table is read once per
+    join key, and all further steps work on frames of the size of the candidates."""
+    names = candidates.select("clean_name").distinct()
+    known = games.select("clean_name", F.col("id").alias("game_id"), F.col("platform_count").alias("stored"))
+    known = cut_lineage(known.join(names, "clean_name", "left_semi"))
+    pairs = sources.join(known.select("game_id", "clean_name"), "game_id").select("clean_name", "domain").distinct()
+    urls = sources.select("url").join(candidates.select("url").distinct(), "url", "left_semi")
+    return Touched(known, cut_lineage(pairs), urls)
+
+
+def _accept(candidates: DataFrame, touched: Touched) -> tuple[DataFrame, DataFrame]:
     """`(accepted, dirty)`: the candidates whose source is added, and the (clean_name, domain)
     pairs that compete for a URL."""
-    held = (
-        sources.join(games.select(F.col("id").alias("game_id"), "clean_name"), "game_id")
-        .select("clean_name", "domain")
-        .distinct()
-    )
     edges = candidates.groupBy("clean_name", "domain", "url").agg(
         F.min(F.struct("feed_ord", "pos", "name")).alias("f")
     )
-    edges = edges.join(held, ["clean_name", "domain"], "left_anti").select(
+    edges = edges.join(touched.pairs, ["clean_name", "domain"], "left_anti").select(
         "clean_name", "domain", "url", "f.feed_ord", "f.pos", "f.name"
     )
-    taken = sources.select("url").distinct().withColumn("_taken", F.lit(True))
-    lists = edges.groupBy("url").agg(F.count("*").alias("_lists")).filter("_lists > 1")
-    marked = edges.join(taken, "url", "left").join(lists, "url", "left")
-    marked = marked.withColumn("_shared", F.col("_taken").isNotNull() | F.col("_lists").isNotNull())
+    taken = touched.urls.withColumn("taken", F.lit(True))
+    lists = edges.groupBy("url").agg(F.count("*").alias("lists"))
+    marked = edges.join(lists, "url").join(taken, "url", "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+    marked = cut_lineage(marked.withColumn("shared", F.col("taken") | (F.col("lists") > 1)).drop("lists"))
     pairs = marked.groupBy("clean_name", "domain").agg(
-        F.max("_shared").alias("dirty"), F.min(F.struct(*ORDER, "name")).alias("f")
+        F.max("shared").alias("dirty"), F.min(F.struct(*ORDER, "name")).alias("f")
     )
     clean = pairs.filter("not dirty").select("clean_name", "domain", "f.*")
-    dirty = cut_lineage(pairs.filter("dirty").select("clean_name", "domain"))
-    open_edges = marked.filter("_taken is null").join(dirty, ["clean_name", "domain"], "left_semi")
-    accepted = _greedy(open_edges.select("clean_name", "domain", *ORDER, "name"), dirty)
-    return clean.unionByName(accepted), dirty
+    dirty = pairs.filter("dirty").select("clean_name", "domain")
+    if marked.filter("shared").isEmpty():
+        return clean, dirty
+    open_edges = marked.filter("not taken").join(dirty, ["clean_name", "domain"], "left_semi")
+    settled = _greedy(open_edges.select("clean_name", "domain", *ORDER, "name"))
+    return clean.unionByName(settled), dirty
 
 
-def _greedy(edges: DataFrame, dirty: DataFrame) -> DataFrame:
+def _greedy(edges: DataFrame) -> DataFrame:
     """First-come choice where each domain and each URL of a clean name is used once.
 
-    A clean name with at most `GROUP_ROWS` open edges is settled in one task.  Larger
+    A clean name with at most `GROUP_ROWS` open edges is settled by one fold.  Larger
     ones go in rounds: an edge that comes first both for its domain and for its URL is
     what the sequential rule takes, so take it, drop its rivals, repeat.  Rounds are
     joins and minima on (clean name, domain) and (clean name, URL), which spread.
     """
-    if dirty.isEmpty():
-        return edges
     left, taken = cut_lineage(edges), []
     while True:
         sizes = left.groupBy("clean_name").agg(F.count("*").alias("_n"))
         large = sizes.filter(F.col("_n") > GROUP_ROWS).select("clean_name")
         if large.isEmpty():
-            return _union(taken, left.groupBy("clean_name").applyInPandas(_settle, left.schema))
+            return _union(taken, _settle(left))
         small = left.join(large, "clean_name", "left_anti").select(*edges.columns)
-        taken.append(small.groupBy("clean_name").applyInPandas(_settle, left.schema))
+        taken.append(_settle(small))
         big = left.join(large, "clean_name", "left_semi").select(*edges.columns)
         by_domain = first_per(big, ["clean_name", "domain"], ORDER)
         by_url = first_per(big, ["clean_name", "url"], ["feed_ord", "pos", "domain"])
-        won = cut_lineage(by_domain.join(by_url.select("clean_name", "domain", "url"), ["clean_name", "domain", "url"], "left_semi").select(*edges.columns))
+        same = ["clean_name", "domain", "url"]
+        won = cut_lineage(by_domain.join(by_url.select(*same), same, "left_semi").select(*edges.columns))
         taken.append(won)
         left = cut_lineage(
             big.join(won.select("clean_name", "domain"), ["clean_name", "domain"], "left_anti")
@@ -149,26 +164,30 @@ def _union(frames: list[DataFrame], last: DataFrame) -> DataFrame:
     return last
 
 
-def _settle(group: pd.DataFrame) -> pd.DataFrame:
-    domains, urls, rows = set(), set(), []
-    ordered = group.sort_values(["feed_ord", "pos", "url", "domain"], kind="stable")
-    for i, (domain, url) in enumerate(zip(ordered["domain"], ordered["url"])):
-        if domain not in domains and url not in urls:
-            domains.add(domain)
-            urls.add(url)
-            rows.append(i)
-    return ordered.iloc[rows]
+def _settle(edges: DataFrame) -> DataFrame:
+    """The same choice as a fold over the edges of each clean name in order."""
+    row = F.struct(*ORDER, "domain", "name")
+    ordered = edges.groupBy("clean_name").agg(F.sort_array(F.collect_list(row)).alias("xs"))
+    kind = edges.select(F.array(row).alias("xs")).schema["xs"].dataType
+
+    def take(acc: Column, x: Column) -> Column:
+        rival = F.exists(acc, lambda r: (r["domain"] == x["domain"]) | (r["url"] == x["url"]))
+        return F.when(rival, acc).otherwise(F.concat(acc, F.array(x)).cast(kind))
+
+    chosen = F.aggregate("xs", F.array().cast(kind), take)
+    return ordered.select("clean_name", F.inline(chosen)).select(*edges.columns)
 
 
 def insert_sources(candidates: DataFrame, games: DataFrame, sources: DataFrame, as_of) -> DataFrame:
     """The source rows to add, under both uniqueness rules."""
-    accepted, _ = accept_edges(candidates, games, sources)
-    return _source_rows(accepted, games, as_of)
+    candidates = cut_lineage(candidates.select(*CANDIDATE))
+    touched = _touched(candidates, games, sources)
+    return _source_rows(_accept(candidates, touched)[0], touched.known, as_of)
 
 
-def _source_rows(accepted: DataFrame, games: DataFrame, as_of) -> DataFrame:
-    known = lookup_games(accepted, games)
-    return known.select(
+def _source_rows(accepted: DataFrame, known: DataFrame, as_of) -> DataFrame:
+    ids = accepted.join(known.select("clean_name", "game_id"), "clean_name", "left")
+    return ids.select(
         entity_id(F.col("url")).alias("id"),
         F.coalesce("game_id", entity_id(F.col("clean_name"))).alias("game_id"),
         "domain",
@@ -183,10 +202,10 @@ def upsert_entities(candidates: DataFrame, games: DataFrame, sources: DataFrame,
     `changes(feed_ord, pos, domain, url, name, clean_name, is_new, is_cross, platform_count)`:
     the count of a cross row is the one before its own refresh, NULL for a new entity.
     """
-    cols = [*ORDER, "domain", "name", "clean_name"]
-    candidates = candidates.select(*cols)
-    accepted, dirty = accept_edges(candidates, games, sources)
-    accepted = accepted.select(*cols).withColumn("added", F.lit(1))
+    candidates = cut_lineage(candidates.select(*CANDIDATE))
+    touched = _touched(candidates, games, sources)
+    accepted, dirty = _accept(candidates, touched)
+    accepted = cut_lineage(accepted.select(*CANDIDATE).withColumn("added", F.lit(1)))
 
     # Competing pairs report each candidate up to their accepted one, or all when none is.
     end = accepted.select("clean_name", "domain", F.struct(*ORDER).alias("_end"))
@@ -194,46 +213,38 @@ def upsert_entities(candidates: DataFrame, games: DataFrame, sources: DataFrame,
     reported = (
         contested.join(end, ["clean_name", "domain"], "left")
         .filter(F.col("_end").isNull() | (F.struct(*ORDER) < F.col("_end")))
-        .select(*cols)
+        .select(*CANDIDATE)
         .withColumn("added", F.lit(0))
     )
-    rows = accepted.unionByName(reported)
+    held = touched.pairs.groupBy("clean_name").agg(F.count("*").alias("held"))
+    known = touched.known.join(held, "clean_name", "left").withColumn("held", F.coalesce("held", F.lit(0)))
 
-    firsts = first_per(
-        candidates.select("clean_name", *ORDER, "domain"), ["clean_name"], [*ORDER, "domain"]
-    ).join(games.select("clean_name"), "clean_name", "left_anti")
-    created = firsts.select("clean_name", *ORDER, "domain").withColumn("is_new", F.lit(True))
-    rows = rows.join(created, ["clean_name", *ORDER, "domain"], "left")
-    rows = rows.withColumn("is_new", F.coalesce("is_new", F.lit(False)))
-
-    stored = games.select("clean_name", F.col("id").alias("_id"), F.col("platform_count").alias("_stored"))
-    held = sources.groupBy(F.col("game_id").alias("_id")).agg(F.countDistinct("domain").alias("_held"))
-    known = stored.join(held, "_id", "left").select("clean_name", "_stored", "_held")
+    # The first report of an unknown clean name creates the entity.
+    rows = accepted.unionByName(reported)
+    first = rows.groupBy("clean_name").agg(F.min(F.struct(*ORDER)).alias("_first"))
     counted = running_total(rows, ["clean_name"], [*ORDER, "domain"], F.col("added"), "_sum")
+    counted = counted.join(first, "clean_name").join(known, "clean_name", "left")
+    is_new = F.col("game_id").isNull() & (F.struct(*ORDER) == F.col("_first"))
     before = F.col("_sum") - F.col("added")
-    current = F.when(before == 0, F.coalesce("_stored", F.lit(1))).otherwise(F.coalesce("_held", F.lit(0)) + before)
-    changes = counted.join(known, "clean_name", "left").select(
-        *cols,
-        "is_new",
-        (~F.col("is_new")).alias("is_cross"),
-        F.when(~F.col("is_new"), current.cast("bigint")).alias("platform_count"),
+    current = F.when(before == 0, F.coalesce("stored", F.lit(1))).otherwise(F.coalesce("held", F.lit(0)) + before)
+    changes = counted.select(
+        *CANDIDATE,
+        is_new.alias("is_new"),
+        (~is_new).alias("is_cross"),
+        F.when(~is_new, current.cast("bigint")).alias("platform_count"),
     )
 
-    new_sources = _source_rows(accepted, games, as_of)
-    new_games = insert_games(candidates, games, as_of)
-    gained = accepted.groupBy("clean_name").agg(F.sum("added").alias("_gained"))
-    total = (F.coalesce("_held", F.lit(0)) + F.col("_gained")).cast("int")
-    touched = F.col("_gained").isNotNull()
-    refreshed = {"platform_count": total, "score": score(total), "updated_at": timestamp(as_of)}
-    all_games = games.unionByName(new_games.select(*games.columns))
-    merged = all_games.join(gained, "clean_name", "left").join(
-        known.select("clean_name", "_held"), "clean_name", "left"
+    new_sources = _source_rows(accepted, touched.known, as_of)
+    gained = accepted.groupBy("clean_name").agg(F.count("*").alias("gained"))
+    totals = gained.join(known.select("clean_name", "held"), "clean_name", "left").select(
+        "clean_name", (F.col("gained") + F.coalesce("held", F.lit(0))).cast("int").alias("_total")
     )
+    fresh = insert_games(candidates, games, as_of)
+    merged = games.unionByName(fresh.select(*games.columns)).join(totals, "clean_name", "left")
+    n = F.col("_total")
+    refreshed = {"platform_count": n, "score": score(n), "updated_at": timestamp(as_of)}
     games2 = merged.select(
-        *[
-            F.when(touched, refreshed[c]).otherwise(F.col(c)).alias(c) if c in refreshed else F.col(c)
-            for c in games.columns
-        ]
+        *[F.when(n.isNotNull(), refreshed[c]).otherwise(F.col(c)).alias(c) if c in refreshed else c for c in games.columns]
     )
     return UpsertResult(changes, games2, sources.unionByName(new_sources.select(*sources.columns)), new_sources)
 

@@ -78,7 +78,7 @@ def full_run(docs: DataFrame, state: State, as_of, gen: int = 0, keep_days: int
     )
 
 
-def commit_run(spark: SparkSession, root: str, gen: int, result: RunResult) -> None:
+def commit_run(spark: SparkSession, root: str, gen: int, result: RunResult, batch: int | None = None) -> None:
     """Registry first, then snapshots: a run that stops in between finds the same news again."""
     tables.commit(
         spark,
@@ -92,6 +92,7 @@ def commit_run(spark: SparkSession, root: str, gen: int, result: RunResult) -> N
             "update_logs": result.logs,
             "update_log_items": result.log_items,
         },
+        batch,
     )
 
 

@@ -35,6 +35,9 @@ def read_documents(spark: SparkSession, path: str, fetch_meta: DataFrame) -> Dat
 
 
 def decode_feed_list(df: DataFrame, col: str = "value") -> DataFrame:
-    """A JSON array of urls to `(feed_ord, url)`; missing or broken JSON is an empty list."""
+    """A JSON array of urls to rows `(..., feed_ord, url)`; missing or broken JSON is an empty list."""
     urls = F.coalesce(F.from_json(F.col(col), "array<string>"), F.array().cast("array<string>"))
-    return df.select(F.posexplode(urls).alias("feed_ord", "url")).withColumn("feed_ord", F.col("feed_ord").cast("bigint"))
+    keep = [c for c in df.columns if c != col]
+    return df.select(*keep, F.posexplode(urls).alias("feed_ord", "url")).withColumn(
+        "feed_ord", F.col("feed_ord").cast("bigint")
+    )

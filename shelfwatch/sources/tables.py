@@ -18,30 +18,43 @@ from pyspark.sql.utils import AnalysisException
 from ..operators.ranking import spread_join
 from ..schemas import TABLES
 
-MANIFEST = T.StructType([T.StructField("table", T.StringType()), T.StructField("gen", T.LongType())])
+MANIFEST = T.StructType(
+    [T.StructField("table", T.StringType()), T.StructField("gen", T.LongType()), T.StructField("batch", T.LongType())]
+)
 
 
-def _versions(spark: SparkSession, root: str) -> dict[str, int]:
-    """Latest version per table: one row per table name comes back."""
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
     try:
-        manifest = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
-        return {r["table"]: r["gen"] for r in manifest.groupBy("table").agg(F.max("gen").alias("gen")).collect()}
+        return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
-            return {}
+            return spark.createDataFrame([], MANIFEST)
         raise
 
 
+def _versions(spark: SparkSession, root: str) -> dict[str, int]:
+    """Latest version per table: one row per table name comes back."""
+    latest = _manifest(spark, root).groupBy("table").agg(F.max("gen").alias("gen"))
+    return {r["table"]: r["gen"] for r in latest.collect()}
+
+
+def last_batch(spark: SparkSession, root: str) -> int:
+    """The last stream batch that was published, -1 before the first."""
+    return _manifest(spark, root).agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+
+
 def next_gen(spark: SparkSession, root: str) -> int:
     return max(_versions(spark, root).values(), default=-1) + 1
 
 
-def commit(spark: SparkSession, root: str, gen: int, frames: dict[str, DataFrame]) -> None:
+def commit(
+    spark: SparkSession, root: str, gen: int, frames: dict[str, DataFrame], batch: int | None = None
+) -> None:
     """Write the tables of a run in the given order, then publish them together."""
     for name, df in frames.items():
         df.select(*TABLES[name].fieldNames()).write.mode("overwrite").parquet(f"{root}/{name}/gen={gen}")
-    rows = spark.createDataFrame([(name, gen) for name in frames], MANIFEST)
-    rows.coalesce(1).write.mode("append").parquet(f"{root}/_manifest")
+    rows = spark.createDataFrame([(name, gen, batch) for name in frames], MANIFEST)
+    rows.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -53,6 +66,7 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
         return spark.read.schema(schema).parquet(f"{root}/{name}/gen={versions[name]}")
     with_gen = T.StructType(schema.fields + [T.StructField("gen", T.LongType())])
     stored = spark.read.schema(with_gen).option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+    stored = stored.filter(F.col("gen") <= versions[name])
     headers = read_table(spark, root, "snapshots").select("domain", "gen")
     return spread_join(stored, headers, ["domain", "gen"], "left_semi", ["url"]).select(*schema.fieldNames())
 

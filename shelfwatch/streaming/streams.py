@@ -24,18 +24,19 @@ def stream_diff(
     """Each batch of landed files is one run against the tables under `root`.
 
     `fetch_meta(spark)` gives the fetch records, `as_of(batch_id)` the time of a run.
-    The batch id is the table version, so a repeated batch writes the same folders.
+    The manifest keeps the batch number, so a batch that was published is not run again.
     """
     files = spark.readStream.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch_id < tables.next_gen(spark, root):
+        if batch_id <= tables.last_batch(spark, root):
             return
+        gen = tables.next_gen(spark, root)
         meta = fetch_meta(spark).join(batch.select("path"), "path", "left_semi")
-        result = full_run(documents_of(batch, meta), load_state(spark, root), as_of(batch_id), batch_id)
-        commit_run(spark, root, batch_id, result)
+        result = full_run(documents_of(batch, meta), load_state(spark, root), as_of(batch_id), gen)
+        commit_run(spark, root, gen, result, batch_id)
 
     return (
         files.writeStream.foreachBatch(run)

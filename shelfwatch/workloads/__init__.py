@@ -1 +1,9 @@
+"""Registered queries over the given tables, each with its equivalent SQL where there is one."""
 
+
+def load():
+    """`(queries, oracles)` by name."""
+    from . import changes, extraction  # noqa: F401
+    from .registry import ORACLES, QUERIES
+
+    return QUERIES, ORACLES
