@@ -18,17 +18,20 @@ from ..sources import tables
 from ..sources.documents import documents_of
 
 
-def stream_diff(
-    spark: SparkSession, path: str, root: str, checkpoint: str, fetch_meta, as_of
-) -> StreamingQuery:
-    """Each batch of landed files is one run against the tables under `root`.
+def landing_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Landed files as a stream of `(path, content)`, one file per row."""
+    return spark.readStream.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
+    )
+
+
+def stream_diff(files: DataFrame, root: str, checkpoint: str, fetch_meta, as_of) -> StreamingQuery:
+    """Each batch of landed `files(path, content)` is one run against the tables under `root`.
 
     `fetch_meta(spark)` gives the fetch records, `as_of(batch_id)` the time of a run.
     The manifest keeps the batch number, so a batch that was published is not run again.
     """
-    files = spark.readStream.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
-    )
+    spark = files.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch_id <= tables.last_batch(spark, root):

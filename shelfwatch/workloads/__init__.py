@@ -3,7 +3,7 @@
 
 def load():
     """`(queries, oracles)` by name."""
-    from . import changes, extraction  # noqa: F401
+    from . import changes, extraction, jobs, reporting  # noqa: F401
     from .registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

@@ -99,7 +99,7 @@ def guard_classes(spark, d):
     return guards.classify_checks(fx.new_stores(spark, d), fx.old_stores(spark, d)).fillna(-1, ["old_count"])
 
 
-def _walk(rows: str, initial: str) -> str:
+def walk(rows: str, initial: str) -> str:
     """SQL that visits the checks of each domain in order; `rows(domain, run, c)`."""
     accepted = "w.c > 0 AND ((w.b IS NULL AND w.c >= 10) OR w.c >= w.b * 0.5)"
     return f"""
@@ -118,7 +118,7 @@ folded AS (SELECT domain, run, CAST(c AS BIGINT) AS c, CAST(b AS BIGINT) AS b, C
 HISTORY_WALK = (
     with_ctes("history").rstrip()
     + ","
-    + _walk("SELECT domain, run, url_count AS c FROM history", "SELECT NULL AS domain, CAST(NULL AS BIGINT) AS b")
+    + walk("SELECT domain, run, url_count AS c FROM history", "SELECT NULL AS domain, CAST(NULL AS BIGINT) AS b")
     + """SELECT domain, run, c AS url_count, coalesce(b, -1) AS baseline, coalesce(bf, -2) AS baseline_run, status,
            status IN ('ok', 'first_ok') AS accepted FROM folded"""
 )
@@ -137,7 +137,7 @@ def show_baseline(rows):
 # --- snapshot check --------------------------------------------------------
 
 
-def _stored(spark, d):
+def stored_snapshot(spark, d):
     """The first failed page of a site stands for its stored catalog."""
     docs = fx.page_docs(spark, d).filter("status = 404")
     first = docs.groupBy("domain").agg(F.min("feed_ord").alias("feed_ord"))
@@ -151,22 +151,22 @@ def _stored(spark, d):
 
 
 def _check(spark, d):
-    headers, urls = _stored(spark, d)
+    headers, urls = stored_snapshot(spark, d)
     return snapshots.snapshot_check(fx.page_docs(spark, d), headers, urls, _AT, gen=1)
 
 
-_CHECK = (
+CHECK = (
     with_ctes("page_urls").rstrip()
     + """,
 first_failed AS (SELECT domain, min(feed_ord) AS feed_ord FROM page_docs WHERE status = 404 GROUP BY domain),
 stored AS (SELECT u.* FROM page_urls u JOIN first_failed f ON f.domain = u.domain AND f.feed_ord = u.feed_ord),"""
-    + _walk(
+    + walk(
         """SELECT p.domain, p.feed_ord AS run, count(u.url) AS c FROM page_docs p LEFT JOIN page_urls u ON u.feed_ord = p.feed_ord
            WHERE p.status = 200 GROUP BY p.domain, p.feed_ord""",
         "SELECT domain, count(*) AS b FROM stored GROUP BY domain",
     )
 )
-_CHECK_DIFF = """
+CHECK_DIFF = """
 compared AS (SELECT u.*, f.bf FROM page_urls u JOIN folded f ON f.domain = u.domain AND f.run = u.feed_ord WHERE f.status = 'ok'),
 diff AS (SELECT feed_ord, domain, pos, url FROM compared n WHERE NOT EXISTS (SELECT 1 FROM stored o
     WHERE n.bf = -1 AND o.domain = n.domain AND o.url = n.url)
@@ -176,9 +176,9 @@ diff AS (SELECT feed_ord, domain, pos, url FROM compared n WHERE NOT EXISTS (SEL
 
 @query(
     "snapshot_check",
-    _CHECK.rstrip()
+    CHECK.rstrip()
     + ","
-    + _CHECK_DIFF
+    + CHECK_DIFF
     + """SELECT p.feed_ord, p.domain, coalesce(f.status, 'fetch_error') AS check_status,
            coalesce(f.status IN ('ok', 'first_ok'), false) AS success, CASE WHEN f.status IS NULL THEN 'HTTP 404'
              WHEN f.status = 'shrunk' THEN 'implausible URL count: new=' || c || ', old=' || b
@@ -192,7 +192,7 @@ def snapshot_check(spark, d):
     return snapshots.with_new_counts(result.checks, result.diff).drop("feed_url").fillna(-1, ["baseline"])
 
 
-@query("snapshot_check_diff", _CHECK.rstrip() + "," + _CHECK_DIFF + "SELECT * FROM diff")
+@query("snapshot_check_diff", CHECK.rstrip() + "," + CHECK_DIFF + "SELECT * FROM diff")
 def snapshot_check_diff(spark, d):
     return _check(spark, d).diff
 
@@ -204,14 +204,14 @@ next AS (SELECT domain, pos, url FROM stored WHERE domain NOT IN (SELECT domain
 """
 
 
-@query("snapshot_check_urls", _CHECK.rstrip() + "," + _WINNERS + "SELECT * FROM next")
+@query("snapshot_check_urls", CHECK.rstrip() + "," + _WINNERS + "SELECT * FROM next")
 def snapshot_check_urls(spark, d):
     return _check(spark, d).snapshot_urls
 
 
 @query(
     "snapshot_check_headers",
-    _CHECK.rstrip()
+    CHECK.rstrip()
     + ","
     + _WINNERS
     + """SELECT domain, count(*) AS url_count, CASE WHEN domain IN (SELECT domain FROM winners) THEN 1::BIGINT ELSE 0::BIGINT END AS gen
@@ -329,7 +329,7 @@ def snapshot_rotation(spark, d):
 
 @query(
     "snapshot_lookup",
-    "SELECT l.doc_id, CASE WHEN l.toxic = 0 THEN d.text END AS content FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id",
+    "SELECT l.doc_id, CASE WHEN l.toxic = 0 THEN d.text ELSE 'none' END AS content FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id",
 )
 def snapshot_lookup(spark, d):
     """Toxic documents were emptied; they count as absent."""
@@ -339,7 +339,7 @@ def snapshot_lookup(spark, d):
         "domain", F.when(F.coalesce("toxic", F.lit(0)) == 0, F.col("text")).otherwise("").alias("content")
     )
     found = snapshots.lookup_snapshot(labels.select("domain"), stored)
-    return found.select(F.col("domain").alias("doc_id"), "content")
+    return found.select(F.col("domain").alias("doc_id"), "content").fillna("none", ["content"])
 
 
 @query(
@@ -480,12 +480,12 @@ def sources_insert(spark, d):
 @query(
     "game_lookup",
     with_ctes("new_listings", "old_games")
-    + "SELECT n.domain, n.pos, n.clean_name, g.id AS game_id FROM new_listings n LEFT JOIN old_games g ON g.clean_name = n.clean_name",
+    + "SELECT n.domain, n.pos, n.clean_name, coalesce(g.id, 'none') AS game_id FROM new_listings n LEFT JOIN old_games g ON g.clean_name = n.clean_name",
 )
 def game_lookup(spark, d):
     games = fx.games_of(fx.old_listings(spark, d))
     rows = registry.lookup_games(fx.new_listings(spark, d), games)
-    return rows.select("domain", "pos", "clean_name", "game_id")
+    return rows.select("domain", "pos", "clean_name", "game_id").fillna("none", ["game_id"])
 
 
 @query(

@@ -35,7 +35,7 @@ def extract_urls_lenient(spark, d):
     "urls_with_lastmod",
     with_ctes("page_docs")
     + r"""
-SELECT feed_ord, domain, CAST(row_number() OVER (PARTITION BY feed_ord ORDER BY i) - 1 AS BIGINT) AS pos, url, lastmod FROM (
+SELECT feed_ord, domain, CAST(row_number() OVER (PARTITION BY feed_ord ORDER BY i) - 1 AS BIGINT) AS pos, url, coalesce(lastmod, 'none') AS lastmod FROM (
   SELECT feed_ord, domain, i, trim(regexp_extract(b, '(?i)<loc[^>]*>([^\n\r]*?)</loc>', 1)) AS url,
     CASE WHEN regexp_matches(b, '(?i)<lastmod[^>]*>[^\n\r]*?</lastmod>')
       THEN trim(regexp_extract(b, '(?i)<lastmod[^>]*>([^\n\r]*?)</lastmod>', 1)) END AS lastmod
@@ -45,7 +45,7 @@ WHERE starts_with(url, 'http://') OR starts_with(url, 'https://')""",
 )
 def urls_with_lastmod(spark, d):
     rows = extract.extract_urls_with_lastmod(fx.page_docs(spark, d))
-    return rows.select("feed_ord", "domain", F.col("pos").cast("bigint").alias("pos"), "url", "lastmod")
+    return rows.select("feed_ord", "domain", F.col("pos").cast("bigint").alias("pos"), "url", "lastmod").fillna("none", ["lastmod"])
 
 
 @query(
@@ -85,8 +85,7 @@ _WORDS = ", ".join(f"'{w}'" for w in slugs.CATEGORY_WORDS)
 _EXCLUDED = "(?i)" + "|".join(f"(?:{p})" for p in slugs.EXCLUDED_PATHS)
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name), '[-_\s]+', '-', 'g'),
   '[^a-z0-9-]', '', 'g'), '^-+|-+$', '', 'g'), '-+', '-', 'g')"""
-_ENTITIES = rf"""
-urls AS (SELECT url FROM site_urls UNION ALL SELECT url FROM page_urls),
+ENTITIES = rf"""
 parts AS (SELECT url, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host,
   regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS raw FROM urls),
 paths AS (SELECT url, host, CASE WHEN regexp_matches(raw, '[^!-~]') THEN
@@ -115,11 +114,18 @@ named AS (SELECT url, CASE
 kept AS (SELECT url, name, {_CLEAN} AS clean_name FROM named
   WHERE length(name) BETWEEN 2 AND 100 AND lower(name) NOT IN ({_WORDS})
     AND (NOT regexp_matches(lower(name), '-games?$')
-      OR regexp_matches(lower(name), '(hunger|squid|mario|pokemon|sonic)-games?$')))
-SELECT url, name, clean_name FROM kept WHERE length(clean_name) >= 2"""
+      OR regexp_matches(lower(name), '(hunger|squid|mario|pokemon|sonic)-games?$'))),
+entities AS (SELECT url, name, clean_name FROM kept WHERE length(clean_name) >= 2)
+"""
 
 
-@query("entity_extraction", with_ctes("site_urls", "page_urls").rstrip() + "," + _ENTITIES)
+@query(
+    "entity_extraction",
+    with_ctes("site_urls", "page_urls").rstrip()
+    + ", urls AS (SELECT url FROM site_urls UNION ALL SELECT url FROM page_urls),"
+    + ENTITIES
+    + "SELECT * FROM entities",
+)
 def entity_extraction(spark, d):
     urls = fx.site_urls(spark, d).select("url").unionByName(_page_urls(spark, d).select("url"))
     return extract.extract_entities(urls)

@@ -49,7 +49,10 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _items(spark, sf_dir)
+    return listings_of(_items(spark, sf_dir))
+
+
+def listings_of(rows: DataFrame) -> DataFrame:
     slug = F.concat_ws(
         "-",
         F.replace("p_name", F.lit(" "), F.lit("-")),
@@ -171,7 +174,7 @@ END"""
 
 
 def page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links as `<loc>` entries, after four entries for the page itself: with attribute and
+    """Each link as two `<loc>` entries, after four entries for the page itself: with attribute and
     blanks, over two lines, with CDATA, and with a modification date.  Pages with a page
     number in their URL stand for failed fetches."""
     domain = F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1))
@@ -181,7 +184,9 @@ def page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</loc><lastmod> 2024-01-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"),
         F.lit(" </lastmod></url>\n"),
     )
-    entry = F.concat(F.lit("<url><loc>https://"), domain, F.lit("$1</loc></url>"))
+    entry = F.concat(
+        F.lit("<url><loc>https://"), domain, F.lit("$1</loc></url>\n<URL><LOC>https://"), domain, F.lit("$1?ref=feed</LOC></URL>")
+    )
     links = F.regexp_replace(F.col("html"), F.lit(r'<a href="(/[^"<]*)"[^>]*>'), entry)
     status = F.when(F.col("url").contains("?page="), 404).otherwise(200)
     return table(spark, sf_dir, "pages").select(
@@ -285,7 +290,8 @@ CTES = {
              '<urlset><url><loc a="b"> ' || url || ' </loc></url>' || chr(10) || '<url><loc>' || chr(10) || url ||
              '</loc></url>' || chr(10) || '<url><loc><![CDATA[' || url || ']]></loc></url>' || chr(10) || '<url><loc>' || url ||
              '</loc><lastmod> 2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || ' </lastmod></url>' || chr(10) ||
-             replace(regexp_replace(html, '<a href="(/[^"<]*)"[^>]*>', '<url><loc>https://@host@\1</loc></url>', 'g'), '@host@', domain) ||
+             replace(regexp_replace(html, '<a href="(/[^"<]*)"[^>]*>', '<url><loc>https://@host@\1</loc></url>' || chr(10) ||
+               '<URL><LOC>https://@host@\1?ref=feed</LOC></URL>', 'g'), '@host@', domain) ||
              '</urlset>' AS content
            FROM (SELECT *, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS domain FROM pages)""",
     ),
