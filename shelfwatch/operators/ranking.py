@@ -18,24 +18,26 @@ from ..session import cut_lineage
 SPAN = 65536
 
 
-def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, span: int = SPAN
+def running_totals(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], span: int = SPAN
 ) -> DataFrame:
-    """Adds `name`: the sum of `value` over the rows of the key up to and including this one.
+    """Adds for each name the sum of its value over the rows of the key up to and including this one.
 
-    `order[0]` is an integer column; the others break ties.
+    `order[0]` is an integer column; the others break ties.  Most keys fit one span:
+    only spans with something before them are joined with their offset.
     """
     keys = list(keys)
-    cut = df.withColumn("_span", F.floor(F.col(order[0]) / span)).withColumn("_v", value)
+    cut = df.select("*", F.floor(F.col(order[0]) / span).alias("_span"), *[v.alias(f"_{n}") for n, v in values.items()])
     inside = Window.partitionBy(*keys, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = cut.groupBy(*keys, "_span").agg(F.sum("_v").alias("_t"))
-    offsets = spans.select(*keys, "_span", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
-    ranked = cut.withColumn("_r", F.sum("_v").over(inside))
-    return (
-        ranked.join(offsets, [*keys, "_span"])
-        .withColumn(name, F.col("_o") + F.col("_r"))
-        .select(*df.columns, name)
+    spans = cut.groupBy(*keys, "_span").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in values])
+    offsets = spans.select(*keys, "_span", *[F.sum(f"_{n}").over(before).alias(f"_o_{n}") for n in values])
+    offsets = offsets.filter(F.coalesce(*[f"_o_{n}" for n in values]).isNotNull())
+    ranked = cut.select(
+        *df.columns, "_span", *[F.sum(f"_{n}").over(inside).alias(f"_i_{n}") for n in values]
+    ).join(offsets, [*keys, "_span"], "left")
+    return ranked.select(
+        *df.columns, *[(F.col(f"_i_{n}") + F.coalesce(f"_o_{n}", F.lit(0))).alias(n) for n in values]
     )
 
 
@@ -43,7 +45,7 @@ def running_number(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n", span: int = SPAN
 ) -> DataFrame:
     """Row number inside a key, from 1."""
-    return running_total(df, keys, order, F.lit(1), name, span)
+    return running_totals(df, keys, order, {name: F.lit(1)}, span)
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, name: str) -> DataFrame:

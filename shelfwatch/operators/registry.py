@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import score
 from ..functions.text import entity_id, timestamp
 from ..session import cut_lineage
-from .ranking import first_per, running_total
+from .ranking import first_per, running_totals
 
 ORDER = ["feed_ord", "pos", "url"]
 CANDIDATE = [*ORDER, "domain", "name", "clean_name"]
@@ -104,26 +104,31 @@ def _touched(candidates: DataFrame, games: DataFrame, sources: DataFrame) -> Tou
     return Touched(known, cut_lineage(pairs), urls)
 
 
-def _accept(candidates: DataFrame, touched: Touched) -> tuple[DataFrame, DataFrame]:
+def _accept(candidates: DataFrame, touched: Touched) -> tuple[DataFrame, DataFrame | None]:
     """`(accepted, dirty)`: the candidates whose source is added, and the (clean_name, domain)
-    pairs that compete for a URL."""
+    pairs that compete for a URL, if there are any."""
     edges = candidates.groupBy("clean_name", "domain", "url").agg(
         F.min(F.struct("feed_ord", "pos", "name")).alias("f")
     )
     edges = edges.join(touched.pairs, ["clean_name", "domain"], "left_anti").select(
         "clean_name", "domain", "url", "f.feed_ord", "f.pos", "f.name"
     )
-    taken = touched.urls.withColumn("taken", F.lit(True))
-    lists = edges.groupBy("url").agg(F.count("*").alias("lists"))
-    marked = edges.join(lists, "url").join(taken, "url", "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
-    marked = cut_lineage(marked.withColumn("shared", F.col("taken") | (F.col("lists") > 1)).drop("lists"))
+    # URLs listed by several sites or held by the registry: few, so the join with them is cheap.
+    listed = edges.select("url", F.lit(1).alias("n"), F.lit(False).alias("held"))
+    held = touched.urls.select("url", F.lit(0).alias("n"), F.lit(True).alias("held"))
+    contested = listed.unionByName(held).groupBy("url").agg(F.sum("n").alias("n"), F.max("held").alias("taken"))
+    contested = contested.filter("n > 1 or taken").select("url", "taken")
+    marked = edges.join(contested, "url", "left").select(
+        *edges.columns, F.coalesce("taken", F.lit(False)).alias("taken"), F.col("taken").isNotNull().alias("shared")
+    )
+    marked = cut_lineage(marked)
     pairs = marked.groupBy("clean_name", "domain").agg(
         F.max("shared").alias("dirty"), F.min(F.struct(*ORDER, "name")).alias("f")
     )
     clean = pairs.filter("not dirty").select("clean_name", "domain", "f.*")
     dirty = pairs.filter("dirty").select("clean_name", "domain")
     if marked.filter("shared").isEmpty():
-        return clean, dirty
+        return clean, None
     open_edges = marked.filter("not taken").join(dirty, ["clean_name", "domain"], "left_semi")
     settled = _greedy(open_edges.select("clean_name", "domain", *ORDER, "name"))
     return clean.unionByName(settled), dirty
@@ -196,6 +201,18 @@ def _source_rows(accepted: DataFrame, known: DataFrame, as_of) -> DataFrame:
     )
 
 
+def _contested_reports(candidates: DataFrame, dirty: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Competing pairs report each candidate before their accepted one, or all when none is."""
+    end = accepted.select("clean_name", "domain", F.struct(*ORDER).alias("_end"))
+    return (
+        candidates.join(dirty, ["clean_name", "domain"], "left_semi")
+        .join(end, ["clean_name", "domain"], "left")
+        .filter(F.col("_end").isNull() | (F.struct(*ORDER) < F.col("_end")))
+        .select(*CANDIDATE)
+        .withColumn("added", F.lit(0))
+    )
+
+
 def upsert_entities(candidates: DataFrame, games: DataFrame, sources: DataFrame, as_of) -> UpsertResult:
     """Changes to report and the next registry.
 
@@ -207,24 +224,15 @@ def upsert_entities(candidates: DataFrame, games: DataFrame, sources: DataFrame,
     accepted, dirty = _accept(candidates, touched)
     accepted = cut_lineage(accepted.select(*CANDIDATE).withColumn("added", F.lit(1)))
 
-    # Competing pairs report each candidate up to their accepted one, or all when none is.
-    end = accepted.select("clean_name", "domain", F.struct(*ORDER).alias("_end"))
-    contested = candidates.join(dirty, ["clean_name", "domain"], "left_semi")
-    reported = (
-        contested.join(end, ["clean_name", "domain"], "left")
-        .filter(F.col("_end").isNull() | (F.struct(*ORDER) < F.col("_end")))
-        .select(*CANDIDATE)
-        .withColumn("added", F.lit(0))
-    )
     held = touched.pairs.groupBy("clean_name").agg(F.count("*").alias("held"))
     known = touched.known.join(held, "clean_name", "left").withColumn("held", F.coalesce("held", F.lit(0)))
 
     # The first report of an unknown clean name creates the entity.
-    rows = accepted.unionByName(reported)
-    first = rows.groupBy("clean_name").agg(F.min(F.struct(*ORDER)).alias("_first"))
-    counted = running_total(rows, ["clean_name"], [*ORDER, "domain"], F.col("added"), "_sum")
-    counted = counted.join(first, "clean_name").join(known, "clean_name", "left")
-    is_new = F.col("game_id").isNull() & (F.struct(*ORDER) == F.col("_first"))
+    rows = accepted if dirty is None else accepted.unionByName(_contested_reports(candidates, dirty, accepted))
+    counted = running_totals(
+        rows, ["clean_name"], [*ORDER, "domain"], {"_sum": F.col("added"), "_rank": F.lit(1)}
+    ).join(known, "clean_name", "left")
+    is_new = F.col("game_id").isNull() & (F.col("_rank") == 1)
     before = F.col("_sum") - F.col("added")
     current = F.when(before == 0, F.coalesce("stored", F.lit(1))).otherwise(F.coalesce("held", F.lit(0)) + before)
     changes = counted.select(

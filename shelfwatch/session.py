@@ -52,9 +52,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame to the shared folder and go on from the written table.
+
+    It survives the loss of executors, is columnar, and its size is known to the
+    planner, which a checkpointed RDD's is not.
+    """
+    path = shared_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sized(df: DataFrame, limit: int = 1_000_000) -> DataFrame:

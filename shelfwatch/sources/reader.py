@@ -1,0 +1,17 @@
+"""Reading Parquet so that the cores have work."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def read_spread(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """A Parquet table in at least as many partitions as there are cores.
+
+    A file with one row group is read by one task, and all steps up to the first
+    exchange stay in it.  Only such small inputs are spread by `keys`; a table with
+    enough row groups is read as it is.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

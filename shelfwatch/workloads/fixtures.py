@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import score
 from ..functions.text import entity_id
+from ..sources.reader import read_spread
 
 LISTED_BEFORE = "1999-01-01"
 ORDERED_BEFORE = "1998-01-01"
@@ -26,8 +27,14 @@ AS_OF = "2001-07-01 12:00:00"
 EVENTS_AS_OF = "2024-01-30 18:00:00"
 
 
+# Tables whose rows are costly to process, with the columns they are spread by.
+SPREAD = {"lineitem": ("l_orderkey", "l_partkey"), "orders": ("o_orderkey",), "pages": ("page_id",)}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_spread(spark, f"{sf_dir}/{name}.parquet", *SPREAD[name]) if name in SPREAD else spark.read.parquet(
+        f"{sf_dir}/{name}.parquet"
+    )
 
 
 def at(value: str) -> Column:
