@@ -10,13 +10,18 @@ from ..functions.urls import url_host
 FETCH_META = "path string, feed_ord bigint, feed_url string, status int, error string"
 
 
-def documents_of(files: DataFrame, fetch_meta: DataFrame) -> DataFrame:
+def _key(df: DataFrame) -> DataFrame:
+    """Local paths are written with one or three slashes after the scheme."""
+    return df.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+
+
+def documents_of(files: DataFrame, fetch_meta: DataFrame, missing: bool = True) -> DataFrame:
     """Files `(path, content)` and what the fetcher recorded per path, to documents.
 
-    A fetch without a file is kept as a document without content.
+    With `missing`, a fetch without a file is kept as a document without content.
     """
-    meta = fetch_meta.select("path", "feed_ord", "feed_url", "status", "error")
-    joined = meta.join(files.select("path", "content"), "path", "left")
+    meta = _key(fetch_meta.select("path", "feed_ord", "feed_url", "status", "error"))
+    joined = meta.join(_key(files.select("path", "content")), "path", "left" if missing else "inner")
     return joined.select(
         "feed_ord", "feed_url", url_host(F.col("feed_url")).alias("domain"), "status", "error", "content"
     )

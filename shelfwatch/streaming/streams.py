@@ -37,8 +37,8 @@ def stream_diff(files: DataFrame, root: str, checkpoint: str, fetch_meta, as_of)
         if batch_id <= tables.last_batch(spark, root):
             return
         gen = tables.next_gen(spark, root)
-        meta = fetch_meta(spark).join(batch.select("path"), "path", "left_semi")
-        result = full_run(documents_of(batch, meta), load_state(spark, root), as_of(batch_id), gen)
+        docs = documents_of(batch, fetch_meta(spark), missing=False)
+        result = full_run(docs, load_state(spark, root), as_of(batch_id), gen)
         commit_run(spark, root, gen, result, batch_id)
 
     return (
