@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import platform_tier, score_tier
+from ..session import cut_lineage, sized
 
 PART_ROWS = 10_000
 
@@ -30,11 +31,12 @@ def nested(games: DataFrame, sources: DataFrame, part_rows: int = PART_ROWS) ->
     A list holds about `part_rows` sources; a game with more has several rows,
     numbered by `part`, so that no row grows without bound.
     """
-    counts = sources.groupBy("game_id").agg(F.count("*").alias("_n"))
-    parts = counts.select("game_id", F.ceil(F.col("_n") / part_rows).alias("_parts"))
-    placed = sources.join(parts, "game_id").select(
+    counts = sources.groupBy("game_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > part_rows)
+    large = counts.select("game_id", F.ceil(F.col("_n") / part_rows).alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    placed = sources.join(large, "game_id", "left").select(
         F.col("game_id").alias("id"),
-        F.pmod(F.xxhash64("url"), F.col("_parts")).cast("int").alias("part"),
+        F.pmod(F.xxhash64("url"), parts).cast("int").alias("part"),
         F.struct("domain", "url").alias("s"),
     )
     lists = placed.groupBy("id", "part").agg(F.sort_array(F.collect_list("s")).alias("game_sources"))
@@ -84,8 +86,17 @@ def games_page(
 
 
 def games(catalog: DataFrame, sources: DataFrame, **filters) -> DataFrame:
-    """A page of games with nested sources; the limit is applied before the join."""
-    return _newest_best(nested(games_page(catalog, sources, **filters), sources))
+    """A page of games with nested sources.
+
+    A limited page is settled first; it then has a known, small number of rows, is
+    broadcast to the sources, and only their matching rows are nested.
+    """
+    page = games_page(catalog, sources, **filters)
+    if filters.get("limit") or filters.get("offset"):
+        page = cut_lineage(page)
+        ids = sized(page.select(F.col("id").alias("game_id")))
+        sources = sources.join(ids, "game_id", "left_semi")
+    return _newest_best(nested(page, sources))
 
 
 def top_games(catalog: DataFrame, sources: DataFrame, n: int = 20) -> DataFrame:

@@ -52,7 +52,7 @@ def domain_sources(sources: DataFrame, domain: str) -> DataFrame:
 
 
 def domain_games(games: DataFrame, sources: DataFrame, domain: str, n: int = 20) -> DataFrame:
-    """The latest `n` games of a domain.  The limit comes before the join: each source has one game."""
+    """The latest `n` games of a domain."""
     has_game = domain_sources(sources, domain).filter("game_id is not null")
     latest = has_game.join(games.select(F.col("id").alias("game_id"), "name", "platform_count"), "game_id")
     return (

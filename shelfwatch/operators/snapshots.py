@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, timestamp
-from ..session import cut_lineage, sized
+from ..session import cut_lineage, is_small, sized
 from .extract import url_array
 from .guards import MIN_FIRST, SHRINK, accepted_baseline, fold_accepted, is_success, status_error
+from .ranking import spread_join
 
 # Reference numbers of the stored documents; those of the run use their feed_ord.
 CURRENT, LATEST = -1, -2
@@ -149,10 +150,17 @@ def snapshot_check(
     )
 
 
+def semi_or_anti(big: DataFrame, small: DataFrame, keys: list[str], how: str, spread_by: list[str]) -> DataFrame:
+    if is_small(small):
+        return big.join(F.broadcast(small), keys, how)
+    return spread_join(big, small, keys, how, spread_by)
+
+
 def replace_urls(old: DataFrame, new: DataFrame, domains: DataFrame) -> DataFrame:
-    """Snapshot URLs with those of `domains` replaced; the domain list is broadcast when its
-    checked size allows it, so the stored URLs stay where they are."""
-    kept = old.join(sized(domains), "domain", "left_anti")
+    """Snapshot URLs with those of `domains` replaced.  A domain list of checked size is
+    broadcast, so the stored URLs stay where they are; a longer one is joined with the
+    URLs of each domain spread over several tasks."""
+    kept = semi_or_anti(old, domains, ["domain"], "left_anti", ["url"])
     return kept.select("domain", "pos", "url").unionByName(new)
 
 

@@ -14,7 +14,8 @@ def build_session(app: str = "shelfwatch", master: str | None = None, **conf: st
     """A session with the settings the library is tuned for.
 
     Skewed joins are split at run time even when that costs one more
-    exchange, since one site may own a large share of all rows.
+    exchange, since one site may own a large share of all rows.  Joins whose
+    partitions turn out small are hashed instead of sorted.
     """
     b = (
         SparkSession.builder.appName(app)
@@ -22,7 +23,7 @@ def build_session(app: str = "shelfwatch", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-        .config("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
     )
     if master:
         b = b.master(master)
@@ -62,6 +63,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """A broadcast hint for narrow frames whose row count is checked, else the frame as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+BROADCAST_ROWS = 1_000_000
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a narrow frame has at most `limit` rows; counting stops one row above it."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint for a narrow frame whose checked row count allows it, else the frame itself."""
+    return F.broadcast(df) if is_small(df, limit) else df
