@@ -35,16 +35,16 @@ def build_session(app: str = "shelfwatch", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (`spark.checkpoint.dir`).
 
-    A machine-local folder is made only when the session names none,
-    which is the case in local tests.
+    A machine-local folder is made only when the session names none, which is
+    the case in local tests.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    configured = spark.conf.get("spark.checkpoint.dir", "")
+    if configured:
+        return configured
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import diff, guards, maintenance, registry, reports, snapshots
 from ..operators.extract import extract_entities, extract_urls
 from ..plans.full_run import forced_run
+from ..session import cut_lineage
 from . import fixtures as fx
 from .fixtures import with_ctes
 from .registry import query
@@ -379,10 +380,15 @@ def _candidates(spark, d):
     return extract_entities(_diff_listings(spark, d).select(*_URL_COLS))
 
 
-def _upsert(spark, d):
+def _registry(spark, d):
+    """The registry of the old listings, as stored tables."""
     old = fx.old_listings(spark, d)
-    games = fx.games_of(old)
-    return registry.upsert_entities(_candidates(spark, d), games, fx.sources_of(old), fx.at("2024-01-05"))
+    return cut_lineage(fx.games_of(old)), cut_lineage(fx.sources_of(old))
+
+
+def _upsert(spark, d):
+    games, sources = _registry(spark, d)
+    return registry.upsert_entities(_candidates(spark, d), games, sources, fx.at("2024-01-05"))
 
 
 _UPSERT = (
@@ -472,8 +478,8 @@ def games_insert(spark, d):
 
 @query("sources_insert", _UPSERT + "SELECT md5(url) AS id, md5(clean_name) AS game_id, domain, url FROM accepted")
 def sources_insert(spark, d):
-    old = fx.old_listings(spark, d)
-    rows = registry.insert_sources(_candidates(spark, d), fx.games_of(old), fx.sources_of(old), fx.at("2024-01-05"))
+    games, sources = _registry(spark, d)
+    rows = registry.insert_sources(_candidates(spark, d), games, sources, fx.at("2024-01-05"))
     return rows.select("id", "game_id", "domain", "url")
 
 
