@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR    data folder (default /root/testdata/sf0.1)
 BENCH_CPUS      local cores (default 8)
-BENCH_RUNS      timed runs per query after one warm-up; the median counts (default 3)
+BENCH_RUNS      timed runs per query after one warm-up; the median counts (default 2)
 BENCH_QUERIES   comma-separated names, instead of the headline list
 """
 
@@ -39,7 +39,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = os.environ.get("BENCH_QUERIES", "")
     spark = build_session(
         "bench",
