@@ -6,6 +6,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyarrow import fs
+from pyspark.sql import DataFrame, GroupedData
 
 
 def resolve(uri: str) -> tuple[fs.FileSystem, str]:
@@ -31,3 +32,12 @@ def open_random(uri: str):
     """A seekable reader of a file."""
     store, path = resolve(uri)
     return store.open_input_file(path)
+
+
+def by_file(index: DataFrame, path: str = "path") -> GroupedData:
+    """An index grouped by file, in as many partitions as there are files.
+
+    The rows are narrow but reading a file is not, so they are not merged by their own size.
+    """
+    files = index.select(path).distinct().count()
+    return index.repartition(max(1, files), path).groupBy(path)

@@ -70,10 +70,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     index = token_files.write_token_files(docs, shared_path(spark, "tokens"), vocabulary, end_id=2)
-    rows = token_files.read_token_files(index)
-    return rows.join(token_files.file_starts(index), "part").select(
-        "doc_id", (F.col("file_start") + F.col("first")).alias("start"), "n_tokens", F.crc32("ids").alias("ids_crc32")
-    )
+    return token_files.read_token_files(index).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 @query

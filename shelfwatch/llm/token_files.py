@@ -2,7 +2,7 @@
 
 The documents are range-sorted by id; every task encodes its range and writes one file:
 frames of a fixed number of ids, then a seek table with a checksum per frame.  The index
-says where a document's ids start in its file, so a reader decompresses only the frames
+says where a document's ids start, in its file and over all files, so a reader decompresses only the frames
 that hold the documents it wants.
 """
 
@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .files import new_file, open_random
+from .files import by_file, new_file, open_random
 from .seekable import FrameReader, FrameWriter
 from .tokens import encoder
 
 FRAME_IDS = 65536
-INDEX = "doc_id long, part int, path string, width int, first long, n_tokens long"
-READ = "doc_id long, part int, first long, n_tokens long, ids binary"
+WRITTEN = "doc_id long, part int, path string, width int, first long, n_tokens long"
+READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def write_token_files(
@@ -73,7 +73,11 @@ def write_token_files(
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     tie = F.xxhash64("text")
     ranges = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    return cut_lineage(ranges.mapInArrow(write, INDEX))
+    index = cut_lineage(ranges.mapInArrow(write, WRITTEN))
+    files = index.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return index.join(files, "part").withColumn("start", F.col("_before") + F.col("first")).drop("_before")
 
 
 def read_token_files(index: DataFrame) -> DataFrame:
@@ -101,13 +105,7 @@ def read_token_files(index: DataFrame) -> DataFrame:
                     parts.append(content[(at - base) * width : (stop - base) * width])
                     at = stop
                 ids[i] = np.frombuffer(b"".join(parts), dtype=f"<u{width}").astype("<u4").tobytes()
-        return rows.select(["doc_id", "part", "first", "n_tokens"]).append_column("ids", pa.array(ids, type=pa.binary()))
-
-    return index.groupBy("path").applyInArrow(read, READ)
+        return rows.select(["doc_id", "start", "n_tokens"]).append_column("ids", pa.array(ids, type=pa.binary()))
 
+    return by_file(index).applyInArrow(read, READ)
 
-def file_starts(index: DataFrame) -> DataFrame:
-    """Ids in all files before each file: one row per file."""
-    files = index.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return files.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("file_start"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import spread_join
 from ..session import cut_lineage
-from .files import new_file, open_random
+from .files import by_file, new_file, open_random
 from .seekable import FrameReader, FrameWriter
 
 FRAME_BYTES = 1 << 18
@@ -150,4 +150,4 @@ def read_archives(index: DataFrame) -> DataFrame:
         kinds = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.binary()]
         return pa.Table.from_pylist(out, schema=pa.schema(list(zip(names, kinds, strict=True))))
 
-    return index.groupBy("path").applyInArrow(read, READ)
+    return by_file(index).applyInArrow(read, READ)
