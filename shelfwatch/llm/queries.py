@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_path
 from ..workloads.registry import Query
-from . import media, mixing, packing, token_files, warc
+from . import media, mixing, packing, simhash, token_files, warc
 from .ship import ship
 
 QUERIES: dict[str, Query] = {}
@@ -64,6 +64,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+@query
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files written from all documents, read back through their index."""
