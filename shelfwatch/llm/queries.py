@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import cut_lineage, shared_path
 from ..workloads.registry import Query
-from . import media, mixing, packing, simhash, token_files, warc
+from . import lattice, media, mixing, packing, quality, simhash, token_files, warc
 from .ship import ship
 
 QUERIES: dict[str, Query] = {}
@@ -78,6 +78,19 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(index).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    featured = cut_lineage(quality.with_features(docs).select("doc_id", "features"))
+    return quality.classify(featured, quality.learn(featured, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.cosine_groups(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..operators.ranking import spread_join
 from ..session import cut_lineage
 from .components import components, spanning_links
+from .groups import group_starts, whole_groups
 
 MAX_BITS = 4
 BANDS = 6
@@ -175,38 +176,20 @@ def close_links(prints: DataFrame, check: list[str] = (), check_bits: int = 0) -
     sorted_ = seated.repartition("key", "shell").sortWithinPartitions("key", "shell")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(0).to_numpy() * 16 + batch.column(batch.num_columns - 2).to_numpy()
-            last = int(np.searchsorted(key, key[-1]))
-            if last or not held or _tail(held) != key[-1]:
-                yield from _linked([*held, batch.slice(0, last)])
-                held = [batch.slice(last)]
-            else:
-                held.append(batch)
-        yield from _linked(held)
-
-    def _tail(held: list[pa.RecordBatch]) -> int:
-        b = held[-1]
-        return int(b.column(0)[-1].as_py() * 16 + b.column(b.num_columns - 2)[-1].as_py())
-
-    def _linked(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [p for p in parts if p.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        key = t["key"].to_numpy() * 16 + t["shell"].to_numpy()
+        for t in whole_groups(batches, ["key", "shell"]):
+            yield _links(t)
+
+    def _links(t: pa.Table) -> pa.RecordBatch:
+        starts = group_starts(t, ["key", "shell"])
+        sizes = np.diff(np.append(starts, t.num_rows))
+        group = np.repeat(np.arange(len(starts)), sizes)
         ids, points = t["id"].to_numpy(), t["print"].to_numpy().view(np.uint64)
         home = t["home"].to_numpy()
         words = np.stack([t[c].to_numpy() for c in check], axis=1).view(np.uint64) if check else None
-        starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-        sizes = np.diff(np.append(starts, len(key)))
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         small = np.repeat(sizes <= 16, sizes)
         for step in range(1, 16):
-            x = np.flatnonzero(small[:-step] & (key[:-step] == key[step:])) if step < len(key) else []
+            x = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
             if not len(x):
                 break
             y = x + step
@@ -220,9 +203,8 @@ def close_links(prints: DataFrame, check: list[str] = (), check_bits: int = 0) -
             x, y = shell_links(points[s], home[s], None if words is None else words[s], check_bits)
             a.append(x + start)
             b.append(y + start)
-        if a:
-            x, y = spanning_links(ids[np.concatenate(a)], ids[np.concatenate(b)])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+        x, y = spanning_links(ids[np.concatenate(a)], ids[np.concatenate(b)])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     return sorted_.mapInArrow(link, "a long, b long")
 
