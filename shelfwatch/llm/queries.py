@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shared_path
 from ..workloads.registry import Query
-from . import lattice, media, mixing, packing, quality, simhash, token_files, warc
+from . import lattice, media, mixing, packing, quality, simhash, suffix_dedup, token_files, warc
 from .ship import ship
 
 QUERIES: dict[str, Query] = {}
@@ -64,6 +64,20 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+@query
+def op5_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the strings that earlier documents hold, as digests."""
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+    return rows.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.aggregate(spans["length"], F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size(spans).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
