@@ -125,7 +125,7 @@ class Block:
     """The texts of one block and what is known about their anchors."""
 
     def __init__(self, table: pa.Table):
-        texts = [t or b"" for t in table["_bytes"].to_pylist()]
+        texts = [t or b"" for t in table["text"].cast(pa.binary()).to_pylist()]
         self.buffer = np.frombuffer(b"".join(texts), np.uint8)
         self.ends = np.cumsum([len(t) for t in texts])
         ids = table["doc_id"].to_pylist()
@@ -324,7 +324,7 @@ def _cut(table: pa.Table, block: Block, removed: np.ndarray, whole_characters: b
             stay[x:y] = False
         kept.append(text[stay].tobytes())
         start = end
-    frame = table.drop_columns(["_block", "_bytes"])
+    frame = table.drop_columns(["_block"])
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
     return frame.append_column(out[0], pa.array(kept, pa.binary())).append_column(out[1], pa.array(spans, pairs))
 
@@ -345,11 +345,11 @@ def remove_repeats(
     blocks = int(-(-size // block_bytes)) or 1
     fields = docs.schema
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("_block")
-    texts = docs.select("*", F.col("text").cast("binary").alias("_bytes"), place).groupBy("_block")
+    texts = docs.select("*", place).groupBy("_block")
     schema = T.StructType([*fields, T.StructField(kept, T.BinaryType()), T.StructField(spans, SPANS)])
 
     def ask_repeats(table: pa.Table) -> pa.Table:
-        block, several = Block(table), None
+        block = Block(table)
         several = block.several()
         rows = [
             (b, joined([pack_sorted(block.grams[s]), np.packbits(several[s]).tobytes()]))
