@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shared_path
 from ..workloads.registry import Query
-from . import lattice, media, mixing, packing, quality, simhash, suffix_dedup, token_files, warc
+from . import context_tree, lattice, media, mixing, packing, quality, simhash, suffix_dedup, token_files, warc
 from .ship import ship
 
 QUERIES: dict[str, Query] = {}
@@ -31,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a media container, its index and its payload read back."""

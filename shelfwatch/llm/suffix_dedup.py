@@ -16,14 +16,14 @@ packed arrays, cut by the digit's leading bits; the answers come back in the sam
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .packed import bucket_slices, joined, mixed, pack_sorted, parted, unpack_sorted
+
 BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 17
 WINDOW = 50
@@ -36,16 +36,6 @@ CONTEXT = np.dtype([("left", "u1"), ("right", "u1"), ("bytes", "u1", (REACH + WI
 LANES = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(16)], np.uint64) | np.uint64(1)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    h = h ^ (h >> np.uint64(32))
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h
-
-
 def hash_rows(rows: np.ndarray) -> np.ndarray:
     """64-bit hashes of the rows of a byte matrix."""
     wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
@@ -179,42 +169,6 @@ class Block:
         return np.cumsum(edges[:-1]) > 0
 
 
-def bucket_slices(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Non-empty runs of sorted hashes by their leading bits."""
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    starts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
-    for a, b in zip(starts, np.append(starts[1:], len(hashes)), strict=True):
-        yield int(bucket[a]), slice(a, b)
-
-
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as steps of 6 bytes where they fit, which is nearly always."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    if len(steps) > 1 and steps[1:].max() < 1 << 48:
-        return b"\x06" + values[:1].tobytes() + steps[1:].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return b"\x08" + values.tobytes()
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    if data[0] == 8:
-        return np.frombuffer(data, "<u8", offset=1)
-    steps = np.zeros(((len(data) - 9) // 6 + 1, 8), np.uint8)
-    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
-    steps[1:, :6] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, 6)
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
-
-
-def joined(parts: list[bytes]) -> bytes:
-    """Several byte strings as one, with their lengths before them."""
-    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
-
-
-def parted(data: bytes) -> list[bytes]:
-    n = int(np.frombuffer(data, "<u4", 1)[0])
-    at = np.cumsum([4 * n + 4, *np.frombuffer(data, "<u4", n, 4)])
-    return [data[a:b] for a, b in zip(at, at[1:])]
-
-
 def _asked(block: int, rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({
         "bucket": pa.array([b for b, _ in rows], pa.int64()),
