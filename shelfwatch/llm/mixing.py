@@ -9,9 +9,12 @@ before the rest of the budget, under one word per source, is handed out in the s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from itertools import islice
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import number_rows, running_totals, spread_join
@@ -53,17 +56,23 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, repeats:
     return ranked.crossJoin(F.broadcast(one)).select("source", "rank", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPEATS, seed: int = 4) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    repeats: int = REPEATS,
+    seed: int = 4,
+    carry: Sequence[str] = (),
+) -> DataFrame:
     """Adds `size`, `source_size`, `target` and `taken` to `doc_id, source`, one row per input row.
 
     `taken` is the number of words that the mix takes from the row, repeats counted: a source
     whose target exceeds its size is passed over again, in the same order, up to `repeats`
     times; a row at the target's or the budget's edge is taken in part.  Null texts have size 0 and are
     never taken; a null source is a source of its own, the last; rows with equal ids are told
-    apart by their sizes and otherwise alike.  An empty table gives no rows.  Other columns
-    are not read.
+    apart by their sizes and otherwise alike.  An empty table gives no rows.  Of the other columns
+    only those named in `carry` are read and returned.
     """
-    sized = cut_lineage(docs.select("doc_id", "source", words().alias("size")))
+    sized = cut_lineage(docs.select("doc_id", "source", *carry, words().alias("size")))
     targets = cut_lineage(source_targets(sized, weights, repeats))
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     known = spread_join(
@@ -91,5 +100,41 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPEAT
     taken = taken.agg(F.sum(F.least(F.col("size"), room)).alias("taken"))
     out = placed.join(taken, "place", "left")
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        "doc_id", "source", *carry, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
     )
+
+
+def first_words(text: str, n: int) -> str:
+    """The text up to its n-th word."""
+    found = next(islice(re.finditer(WORD, text), n - 1, n), None)
+    return text[: found.end()] if found else text
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes, with the columns of `docs`: repeats are rows, an edge row is cut.
+
+    Rows that are equal in `doc_id`, source and text are taken together.  `n_chars`, where there is
+    one, follows the text.  Documents of no words are not taken.
+    """
+
+    @F.arrow_udf(returnType="string")
+    def cut(texts: pa.Array, words: pa.Array) -> pa.Array:
+        pairs = zip(texts.to_pylist(), words.to_pylist(), strict=True)
+        return pa.array([None if t is None else first_words(t, n) for t, n in pairs], pa.string())
+
+    marks = [F.xxhash64(F.lit(i), "text").alias(f"_t{i}") for i in (1, 2)]
+    key = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source")],
+                   *[F.col(c).isNull() for c in ("doc_id", "source")], "_t1", "_t2")
+    taken = mix(docs.select("*", *marks), carry=["_t1", "_t2"]).filter("taken > 0").withColumn("_key", key)
+    taken = taken.groupBy("_key").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
+    one = Window.partitionBy("_key").orderBy(F.lit(0))
+    rows = docs.select("*", *marks).withColumn("_key", key).join(taken, "_key")
+    rows = rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+    copies = F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")) - 1)
+    rows = rows.withColumn("_copy", F.explode(copies))
+    left = F.least(F.col("_size"), F.col("_taken") - F.col("_copy") * F.col("_size"))
+    part = cut(F.when(left < F.col("_size"), F.col("text")), left)
+    rows = rows.withColumn("text", F.coalesce(part, "text"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

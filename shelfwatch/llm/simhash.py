@@ -16,13 +16,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import spread_join
 from ..session import cut_lineage
 from .components import components, spanning_links
 from .groups import group_starts, whole_groups
+from .packed import mixed
 
 MAX_BITS = 4
 BANDS = 6
@@ -155,17 +156,20 @@ def shell_links(points: np.ndarray, home: np.ndarray, check: np.ndarray | None,
     return moved, shell.label[moved]
 
 
-def close_links(prints: DataFrame, check: list[str] = (), check_bits: int = 0) -> DataFrame:
-    """Links `a, b` that connect all `id`s whose `print`s differ in at most 4 bits.
+def close_links(prints: DataFrame, checks: DataFrame | None = None, check_bits: int = 0) -> DataFrame:
+    """Links `a, b` that connect all `id`s with `print`s that differ in at most 4 bits.
 
-    Rows of `prints` are `id`, `print` and, with `check`, further words: then a pair is
-    linked only if these differ in at most `check_bits` bits altogether.  Ids are distinct.  The
-    links of a shell are a spanning forest, so a group of n close prints gives n - 1 of them.
+    Rows of `prints` are `id, print`; an id may have several prints.  With `checks` (one row per
+    `id`, further words of bits in the other columns) a pair is linked only if these differ
+    in at most `check_bits` bits altogether.  The links of a shell are a spanning forest, so a
+    group of n close prints gives n - 1 of them.
     """
-    check = list(check)
-    keys = prints.select("id", "print", *check, F.explode(F.array(*band_keys(F.col("print")))).alias("key"))
+    check = [] if checks is None else [c for c in checks.columns if c != "id"]
+    keys = prints.select("id", "print", F.explode(F.array(*band_keys(F.col("print")))).alias("key"))
     hubs = keys.groupBy("key").agg(F.min("print").alias("vantage"), F.count("*").alias("n")).filter("n > 1")
     shards = keys.join(hubs.drop("n"), "key")
+    if checks is not None:
+        shards = shards.join(checks, "id")
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("vantage")))
     shell = F.floor(distance / SHELL).cast("int")
     guest = (distance % SHELL < MAX_BITS) & (distance >= SHELL)
@@ -230,3 +234,55 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFram
     return out.select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# How near copies are found: distinct words give prints that a few edits hardly change, and
+# shingles of five words decide.
+WORD_PRINTS = 4
+SHINGLE_WORDS = 8
+SHINGLE = 5
+SIMILARITY = 0.8
+
+
+def check_limit(similarity: float, bits: int) -> int:
+    """Differing bits at which sets of shingles have this Jaccard similarity, with half a deviation's allowance."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + 0.5 * np.sqrt(bits * share * (1 - share)))
+
+
+def copy_prints(text: bytes) -> list[int]:
+    """Prints of the distinct words under several seeds, then a long print of the distinct shingles."""
+    words = [fingerprint(word_hashes(text, seed)) for seed in range(1, WORD_PRINTS + 1)]
+    shingles = np.unique(shingle_hashes(text, SHINGLE, 42))
+    salts = mixed(np.arange(1, SHINGLE_WORDS + 1, dtype=np.uint64))
+    return words + [fingerprint(mixed(shingles + salt)) for salt in salts]
+
+
+def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs`, all columns, without near copies: of every group the smallest `doc_id` stays.
+
+    A group is connected by pairs whose sets of five-word shingles are similar, judged by 512-bit
+    SimHash at `similarity`; candidates are pairs with close 64-bit prints of their
+    words under one of four seeds.  Equal texts are copies, null and wordless texts of
+    each other too.  A null `doc_id` counts as larger than all; of rows that are equal in id
+    and text one stays.  Columns of `docs` that start with an underscore must not be among
+    `_id, _t1, _t2`.  An empty table gives no rows.
+    """
+    @F.arrow_udf(returnType="array<long>")
+    def prints(texts: pa.Array) -> pa.Array:
+        return pa.array([copy_prints(t or b"") for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    text = F.coalesce("text", F.lit(""))
+    key = [F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.lit(1), text).alias("_t1"), F.xxhash64(F.lit(2), text).alias("_t2")]
+    marked = cut_lineage(docs.select(*key, prints(F.col("text").cast("binary")).alias("prints")))
+    classes = marked.groupBy("_t1", "_t2").agg(F.min("_id").alias("_id"), F.any_value("prints").alias("prints"))
+    classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()))
+    words = F.explode(F.array_distinct(F.slice("prints", 1, WORD_PRINTS)))
+    checks = classes.select("id", *[F.col("prints")[WORD_PRINTS + i].alias(f"c{i}") for i in range(SHINGLE_WORDS)])
+    links = close_links(classes.select("id", words.alias("print")), checks, check_limit(similarity, 64 * SHINGLE_WORDS))
+    roots = components(links).withColumnRenamed("node", "id")
+    known = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = known.groupBy("root").agg(F.min(F.struct("_id", "_t1", "_t2")).alias("first")).select("first.*")
+    one = Window.partitionBy("_t1", "_t2", "_id").orderBy(F.lit(0))
+    rows = docs.select("*", *key).join(first, ["_t1", "_t2", "_id"]).withColumn("_n", F.row_number().over(one))
+    return rows.filter("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
