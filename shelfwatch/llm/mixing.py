@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import number_rows, running_totals, spread_join
 from ..session import cut_lineage
+from .rows import bring_back, set_aside
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -122,19 +123,24 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         pairs = zip(texts.to_pylist(), words.to_pylist(), strict=True)
         return pa.array([None if t is None else first_words(t, n) for t, n in pairs], pa.string())
 
-    marks = [F.xxhash64(F.lit(i), "text").alias(f"_t{i}") for i in (1, 2)]
-    key = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source")],
-                   *[F.col(c).isNull() for c in ("doc_id", "source")], "_t1", "_t2")
-    taken = mix(docs.select("*", *marks), carry=["_t1", "_t2"]).filter("taken > 0").withColumn("_key", key)
-    taken = taken.groupBy("_key").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
-    one = Window.partitionBy("_key").orderBy(F.lit(0))
-    rows = docs.select("*", *marks).withColumn("_key", key).join(taken, "_key")
+    used = ["doc_id", "source", "text"]
+    names = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in used[:2]]
+    key = F.struct(*names, *[F.col(c).isNull() for c in used[:2]], *[F.xxhash64(F.lit(i), "text") for i in (1, 2)])
+    taken = mix(docs.select(*used, key.alias("_doc")), carry=["_doc"]).filter("taken > 0")
+    taken = taken.groupBy("_doc").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
+    one = Window.partitionBy("_doc").orderBy(F.lit(0))
+    rows = set_aside(docs, used).withColumn("_doc", key).join(taken, "_doc")
     rows = rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
     copies = F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")) - 1)
     rows = rows.withColumn("_copy", F.explode(copies))
     left = F.least(F.col("_size"), F.col("_taken") - F.col("_copy") * F.col("_size"))
     part = cut(F.when(left < F.col("_size"), F.col("text")), left)
-    rows = rows.withColumn("text", F.coalesce(part, "text"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = rows.withColumn("text", F.coalesce(part, "text")).select(*bring_back(docs.columns, used))
+    return with_length(out)
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    """`n_chars`, where there is one, after a change of the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

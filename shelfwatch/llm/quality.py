@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows import bring_back, set_aside
+
 SAMPLE_ROWS = 20_000
 PAIRS = 60_000
 FOLDS = 3
@@ -146,3 +148,14 @@ def classify(featured: DataFrame, model: Model) -> DataFrame:
     score = model.score(F.col("features"))
     rows = featured.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), score.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, that score at least 0.5; the model is learned from `labels`.
+
+    Null and empty texts are scored like any other.  An empty table gives no rows; without labels
+    of both kinds every row stays.
+    """
+    model = learn(with_features(docs.select("doc_id", "text")), labels)
+    rows = with_features(set_aside(docs, ["text"]), out="_features")
+    return rows.filter(model.score(F.col("_features")) >= 0.5).select(*bring_back(docs.columns, ["text"]))

@@ -24,6 +24,7 @@ from ..session import cut_lineage
 from .components import components, spanning_links
 from .groups import group_starts, whole_groups
 from .packed import mixed
+from .rows import bring_back, set_aside
 
 MAX_BITS = 4
 BANDS = 6
@@ -265,15 +266,18 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     SimHash at `similarity`; candidates are pairs with close 64-bit prints of their
     words under one of four seeds.  Equal texts are copies, null and wordless texts of
     each other too.  A null `doc_id` counts as larger than all; of rows that are equal in id
-    and text one stays.  Columns of `docs` that start with an underscore must not be among
-    `_id, _t1, _t2`.  An empty table gives no rows.
+    and text one stays.  An empty table gives no rows.
     """
     @F.arrow_udf(returnType="array<long>")
     def prints(texts: pa.Array) -> pa.Array:
         return pa.array([copy_prints(t or b"") for t in texts.to_pylist()], pa.list_(pa.int64()))
 
     text = F.coalesce("text", F.lit(""))
-    key = [F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.lit(1), text).alias("_t1"), F.xxhash64(F.lit(2), text).alias("_t2")]
+    key = [
+        F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"),
+        F.xxhash64(F.lit(1), text).alias("_t1"),
+        F.xxhash64(F.lit(2), text).alias("_t2"),
+    ]
     marked = cut_lineage(docs.select(*key, prints(F.col("text").cast("binary")).alias("prints")))
     classes = marked.groupBy("_t1", "_t2").agg(F.min("_id").alias("_id"), F.any_value("prints").alias("prints"))
     classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()))
@@ -284,5 +288,6 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     known = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = known.groupBy("root").agg(F.min(F.struct("_id", "_t1", "_t2")).alias("first")).select("first.*")
     one = Window.partitionBy("_t1", "_t2", "_id").orderBy(F.lit(0))
-    rows = docs.select("*", *key).join(first, ["_t1", "_t2", "_id"]).withColumn("_n", F.row_number().over(one))
-    return rows.filter("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    used = ["doc_id", "text"]
+    rows = set_aside(docs, used).select("*", *key).join(first, ["_t1", "_t2", "_id"])
+    return rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*bring_back(docs.columns, used))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .packed import bucket_slices, joined, mixed, pack_sorted, parted, unpack_sorted
+from .rows import bring_back, set_aside
 
 BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 17
@@ -260,7 +261,7 @@ def _repeated(block: Block, answers: pa.Table, buckets: int) -> np.ndarray:
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
 
 
-def _cut(table: pa.Table, block: Block, removed: np.ndarray, whole_characters: bool, out: list[str]) -> pa.Table:
+def _cut(table: pa.Table, block: Block, removed: np.ndarray, whole_characters: bool) -> pa.Table:
     """The rows of a block with the bytes that stay and the runs that go."""
     kept, spans, start = [], [], 0
     for end in block.ends:
@@ -280,7 +281,7 @@ def _cut(table: pa.Table, block: Block, removed: np.ndarray, whole_characters: b
         start = end
     frame = table.drop_columns(["_block"])
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-    return frame.append_column(out[0], pa.array(kept, pa.binary())).append_column(out[1], pa.array(spans, pairs))
+    return frame.append_column("_kept", pa.array(kept, pa.binary())).append_column("_spans", pa.array(spans, pairs))
 
 
 def remove_repeats(
@@ -294,13 +295,13 @@ def remove_repeats(
     With `whole_characters` the runs are shrunk to whole characters, so `kept` stays UTF-8.
     Columns of `docs` named like the two results are replaced.  An empty table gives no rows.
     """
-    docs = docs.drop(kept, spans)
+    docs, used = docs.drop(kept, spans), ["doc_id", "text"]
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(-(-size // block_bytes)) or 1
-    fields = docs.schema
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("_block")
-    texts = docs.select("*", place).groupBy("_block")
-    schema = T.StructType([*fields, T.StructField(kept, T.BinaryType()), T.StructField(spans, SPANS)])
+    rows = set_aside(docs, used)
+    texts = rows.select("*", place).groupBy("_block")
+    schema = T.StructType([*rows.schema, T.StructField("_kept", T.BinaryType()), T.StructField("_spans", SPANS)])
 
     def ask_repeats(table: pa.Table) -> pa.Table:
         block = Block(table)
@@ -334,11 +335,13 @@ def remove_repeats(
         block.use_repeats(_repeated(block, answers, blocks))
         block.use_contexts(_read(answers, 2, "u1"))
         removed = block.removed(_read(answers, 3, "<u4"))
-        return _cut(table, block, removed, whole_characters, [kept, spans])
+        return _cut(table, block, removed, whole_characters)
 
     asked = texts.applyInArrow(ask_repeats, ASKED)
     answers = asked.groupBy("bucket").applyInArrow(answer_repeats, ANSWERED)
     for ask, answer in ((ask_contexts, answer_contexts), (ask_windows, answer_windows)):
         asked = texts.cogroup(answers.groupBy("block")).applyInArrow(ask, ASKED)
         answers = answers.union(asked.groupBy("bucket").applyInArrow(answer, ANSWERED))
-    return texts.cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
+    done = texts.cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
+    results = [F.col("_kept").alias(kept), F.col("_spans").alias(spans)]
+    return done.select(*bring_back(docs.columns, used), *results)
