@@ -35,13 +35,15 @@ def build_session(app: str = "shelfwatch", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (`spark.checkpoint.dir`).
 
-    A machine-local folder is made only when the session names none, which is
-    the case in local tests.
+    In local mode without one a temporary folder serves, since all tasks run on this machine;
+    elsewhere a folder that executors do not share would lose rows, so it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if configured:
         return configured
     context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
