@@ -13,6 +13,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,12 +62,15 @@ def nearest_point(y: np.ndarray) -> np.ndarray:
 
 
 def cell_codes(x: np.ndarray, tables: int, probes: int, scale: float, seed: int) -> np.ndarray:
-    """Codes (row, table, 1 + probes) of the cells of unit vectors, home cell first."""
+    """Codes (row, table, 1 + probes) of the cells of unit vectors, home cell first.
+
+    The scale is for 64 components; a projection of shorter vectors keeps more of their length.
+    """
     pick = np.random.default_rng([seed, x.shape[1]])
     out = np.empty((len(x), tables, probes + 1), np.int64)
     for t in range(tables):
         directions = np.linalg.qr(pick.standard_normal((max(8, x.shape[1]), 8)))[0][: x.shape[1]]
-        y = scale * x @ directions
+        y = scale * np.sqrt(max(8, x.shape[1]) / 64) * x @ directions
         home = nearest_point(y)
         around = np.argpartition(-((y - home) @ ROOTS.T), probes, axis=1)[:, :probes]
         cells = np.concatenate([home[:, None], home[:, None] + ROOTS[around]], axis=1)
@@ -80,6 +84,13 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
+def by_length(table: pa.Table | pa.RecordBatch, column: str) -> Iterator[pa.Table | pa.RecordBatch]:
+    """The rows of a table by the length of their lists."""
+    lengths = pc.list_value_length(table[column])
+    for length in pc.unique(lengths).to_pylist():
+        yield table.filter(pc.equal(lengths, length))
+
+
 def cosine_groups(
     vectors: DataFrame, least: float = 0.98, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = 9
 ) -> DataFrame:
@@ -108,14 +119,12 @@ def cosine_groups(
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            for size in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == size))
-                x = matrix(part.column(1))
+            for part in by_length(batch, "embedding"):
+                x = matrix(part["embedding"])
                 codes = cell_codes(x / np.linalg.norm(x, axis=1, keepdims=True), tables, probes, scale, seed)
                 n, per = len(x), tables * (probes + 1)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(part.column(0).to_numpy(), per)),
+                    pa.array(np.repeat(part["id"].to_numpy(), per)),
                     pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), probes + 1), n)),
                     pa.array(codes.ravel()),
                 ], ["id", "table", "cell"])
@@ -134,7 +143,7 @@ def cosine_groups(
     met = met.repartition(*place, "low", "high").sortWithinPartitions(*place, "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, [*place, "low", "high"]):
+        for t in (x for g in whole_groups(batches, [*place, "low", "high"]) for x in by_length(g, "embedding")):
             ids, copies = t["id"].to_numpy(), t["copies"].to_numpy()
             x = matrix(t["embedding"])
             a, b = _pairs(t, x, group_starts(t, [*place, "low", "high"]))
