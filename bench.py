@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from shelfwatch.session import build_session
@@ -48,6 +49,7 @@ def main() -> None:
             "spark.sql.shuffle.partitions": str(cpus),
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}",
             "spark.ui.showConsoleProgress": "false",
         },
     )

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import platform_tier, score_tier
-from ..session import cut_lineage, sized
+from ..session import cut_lineage
+from .ranking import first_rows, number_rows, spread_join
 
-PART_ROWS = 10_000
+FIRST_SOURCES = 1000
 
 
 def stats(games: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -25,26 +26,27 @@ def high_score(games: DataFrame) -> DataFrame:
     return games.filter(F.col("score") >= 2.0)
 
 
-def nested(games: DataFrame, sources: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Games with their list of sources, empty when there are none.
+def numbered_sources(sources: DataFrame) -> DataFrame:
+    """All sources with their number `n` inside the game, by domain and URL, from 1: one row each."""
+    numbered = number_rows(sources, [F.col("game_id"), F.col("domain"), F.col("url")], "_at")
+    firsts = numbered.groupBy("game_id").agg(F.min("_at").alias("_first"))
+    return spread_join(numbered, firsts, ["game_id"], "inner", ["url"]).select(
+        "game_id", (F.col("_at") - F.col("_first") + 1).alias("n"), "domain", "url"
+    )
+
+
+def nested(games: DataFrame, sources: DataFrame, first_sources: int = FIRST_SOURCES) -> DataFrame:
+    """Games with the list of their first `first_sources` sources by domain and URL, empty when there are none.
 
-    A list holds about `part_rows` sources; a game with more has several rows,
-    numbered by `part`, so that no row grows without bound.
+    One row per game, whatever its number of sources; `numbered_sources` has all of them.
     """
-    counts = sources.groupBy("game_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > part_rows)
-    large = counts.select("game_id", F.ceil(F.col("_n") / part_rows).alias("_parts"))
-    parts = F.coalesce("_parts", F.lit(1))
-    placed = sources.join(large, "game_id", "left").select(
-        F.col("game_id").alias("id"),
-        F.pmod(F.xxhash64("url"), parts).cast("int").alias("part"),
-        F.struct("domain", "url").alias("s"),
+    shown = first_rows(sources.select("game_id", "domain", "url"), ["game_id"], ["domain", "url"], first_sources, "n")
+    lists = shown.groupBy(F.col("game_id").alias("id")).agg(
+        F.sort_array(F.collect_list(F.struct("domain", "url"))).alias("game_sources")
     )
-    lists = placed.groupBy("id", "part").agg(F.sort_array(F.collect_list("s")).alias("game_sources"))
     empty = F.array().cast("array<struct<domain:string,url:string>>")
     return games.join(lists, "id", "left").select(
-        *games.columns,
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("game_sources", empty).alias("game_sources"),
+        *games.columns, F.coalesce("game_sources", empty).alias("game_sources")
     )
 
 
@@ -88,14 +90,12 @@ def games_page(
 def games(catalog: DataFrame, sources: DataFrame, **filters) -> DataFrame:
     """A page of games with nested sources.
 
-    A limited page is settled first; it then has a known, small number of rows, is
-    broadcast to the sources, and only their matching rows are nested.
+    A limited page is settled first, so only its games' sources are nested.
     """
     page = games_page(catalog, sources, **filters)
     if filters.get("limit") or filters.get("offset"):
         page = cut_lineage(page)
-        ids = sized(page.select(F.col("id").alias("game_id")))
-        sources = sources.join(ids, "game_id", "left_semi")
+        sources = sources.join(page.select(F.col("id").alias("game_id")), "game_id", "left_semi")
     return _newest_best(nested(page, sources))
 
 

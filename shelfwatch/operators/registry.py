@@ -17,8 +17,10 @@ they are resolved separately and exactly by `_greedy`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,6 @@ from .ranking import first_per, running_totals
 
 ORDER = ["feed_ord", "pos", "url"]
 CANDIDATE = [*ORDER, "domain", "name", "clean_name"]
-GROUP_ROWS = 5_000
 
 
 class UpsertResult(NamedTuple):
@@ -137,50 +138,26 @@ def _accept(candidates: DataFrame, touched: Touched) -> tuple[DataFrame, DataFra
 def _greedy(edges: DataFrame) -> DataFrame:
     """First-come choice where each domain and each URL of a clean name is used once.
 
-    A clean name with at most `GROUP_ROWS` open edges is settled by one fold.  Larger
-    ones go in rounds: an edge that comes first both for its domain and for its URL is
-    what the sequential rule takes, so take it, drop its rivals, repeat.  Rounds are
-    joins and minima on (clean name, domain) and (clean name, URL), which spread.
+    The open edges of a clean name are read once in order, whatever their number; only the domains
+    and URLs taken so far are held.
     """
-    left, taken = cut_lineage(edges), []
-    while True:
-        sizes = left.groupBy("clean_name").agg(F.count("*").alias("_n"))
-        large = sizes.filter(F.col("_n") > GROUP_ROWS).select("clean_name")
-        if large.isEmpty():
-            return _union(taken, _settle(left))
-        small = left.join(large, "clean_name", "left_anti").select(*edges.columns)
-        taken.append(_settle(small))
-        big = left.join(large, "clean_name", "left_semi").select(*edges.columns)
-        by_domain = first_per(big, ["clean_name", "domain"], ORDER)
-        by_url = first_per(big, ["clean_name", "url"], ["feed_ord", "pos", "domain"])
-        same = ["clean_name", "domain", "url"]
-        won = cut_lineage(by_domain.join(by_url.select(*same), same, "left_semi").select(*edges.columns))
-        taken.append(won)
-        left = cut_lineage(
-            big.join(won.select("clean_name", "domain"), ["clean_name", "domain"], "left_anti")
-            .join(won.select("clean_name", "url"), ["clean_name", "url"], "left_anti")
-            .select(*edges.columns)
-        )
-
-
-def _union(frames: list[DataFrame], last: DataFrame) -> DataFrame:
-    for f in frames:
-        last = last.unionByName(f)
-    return last
-
-
-def _settle(edges: DataFrame) -> DataFrame:
-    """The same choice as a fold over the edges of each clean name in order."""
-    row = F.struct(*ORDER, "domain", "name")
-    ordered = edges.groupBy("clean_name").agg(F.sort_array(F.collect_list(row)).alias("xs"))
-    kind = edges.select(F.array(row).alias("xs")).schema["xs"].dataType
-
-    def take(acc: Column, x: Column) -> Column:
-        rival = F.exists(acc, lambda r: (r["domain"] == x["domain"]) | (r["url"] == x["url"]))
-        return F.when(rival, acc).otherwise(F.concat(acc, F.array(x)).cast(kind))
-
-    chosen = F.aggregate("xs", F.array().cast(kind), take)
-    return ordered.select("clean_name", F.inline(chosen)).select(*edges.columns)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, domains, urls = None, set(), set()
+        for batch in batches:
+            kept = []
+            columns = (batch.column(c).to_pylist() for c in ("clean_name", "domain", "url"))
+            for i, (name, domain, url) in enumerate(zip(*columns, strict=True)):
+                if name != current:
+                    current, domains, urls = name, set(), set()
+                if domain not in domains and url not in urls:
+                    domains.add(domain)
+                    urls.add(url)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    ordered = edges.repartition("clean_name").sortWithinPartitions("clean_name", *ORDER, "domain", "name")
+    return ordered.mapInArrow(take, edges.schema)
 
 
 def insert_sources(candidates: DataFrame, games: DataFrame, sources: DataFrame, as_of) -> DataFrame:
@@ -263,10 +240,10 @@ def all_changes(new: DataFrame, cross: DataFrame) -> DataFrame:
 
 
 def log_rows(changes: DataFrame, as_of) -> DataFrame:
-    """One log row per domain with changes."""
+    """One log row per check, that is per feed, with changes."""
     at = timestamp(as_of)
-    counts = changes.groupBy("domain").agg(F.count("*").alias("new_games_count"))
-    return counts.select(log_id(at).alias("id"), "domain", "new_games_count", at.alias("checked_at"))
+    counts = changes.groupBy("domain", "feed_ord").agg(F.count("*").alias("new_games_count"))
+    return counts.select(log_id(at).alias("id"), "domain", "feed_ord", "new_games_count", at.alias("checked_at"))
 
 
 def log_items(changes: DataFrame, as_of) -> DataFrame:
@@ -283,4 +260,4 @@ def log_items(changes: DataFrame, as_of) -> DataFrame:
 
 
 def log_id(at: Column) -> Column:
-    return entity_id(F.col("domain"), F.date_format(at, "yyyyMMddHHmmssSSS"))
+    return entity_id(F.col("domain"), F.col("feed_ord").cast("string"), F.date_format(at, "yyyyMMddHHmmssSSS"))

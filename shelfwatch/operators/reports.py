@@ -158,7 +158,8 @@ def run_totals(checks: DataFrame, changes: DataFrame, rule: str = "v2") -> DataF
             F.count_if(success).alias("success"),
             F.count_if(failed).alias("errors"),
             F.count_if(failed & timeout).alias("timeouts"),
-        ).withColumn("progress", F.when(F.col("feeds") > 0, F.lit(100)).otherwise(F.lit(0)))
+            F.count_if(~threw).alias("_processed"),
+        ).withColumn("progress", F.coalesce(progress(F.col("_processed"), F.col("feeds")), F.lit(0))).drop("_processed")
     elif rule in ("v2", "scheduled", "manual"):
         errors = threw if rule == "manual" else (threw | failed)
         totals = checks.agg(
@@ -175,7 +176,7 @@ def run_totals(checks: DataFrame, changes: DataFrame, rule: str = "v2") -> DataF
 
 def progress(processed: Column, total: Column) -> Column:
     """Rounded percentage."""
-    return F.round(processed / total * 100).cast("int")
+    return F.round(F.try_divide(processed * 100, total)).cast("int")
 
 
 def changes_by_domain(changes: DataFrame) -> DataFrame:

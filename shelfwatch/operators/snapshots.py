@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, timestamp
-from ..session import cut_lineage, is_small, sized
+from ..session import cut_lineage
 from .extract import url_array
 from .guards import MIN_FIRST, SHRINK, accepted_baseline, fold_accepted, is_success, status_error
 from .ranking import spread_join
@@ -51,14 +51,14 @@ def pair_diff(pairs: DataFrame, listed: DataFrame) -> DataFrame:
     """For every `pairs(feed_ord, domain, left_ref, right_ref)` the URLs of the left
     document that the right one lacks, as `(feed_ord, domain, pos, url)`.
 
-    `listed(domain, ref, urls)` holds the URL lists of all documents.  Pairs are
-    narrow, one per feed, and broadcast when their checked count allows it.
+    `listed(domain, ref, urls)` holds the URL lists of all documents; pairs are narrow,
+    one per feed.
     """
-    wanted = sized(pairs.select("domain", F.col("left_ref").alias("ref"), "feed_ord", "right_ref"))
+    wanted = pairs.select("domain", F.col("left_ref").alias("ref"), "feed_ord", "right_ref")
     left = listed.join(wanted, ["domain", "ref"]).select(
         "feed_ord", "domain", "right_ref", F.posexplode("urls").alias("pos", "url")
     )
-    held = sized(pairs.select("domain", F.col("right_ref").alias("ref")).distinct())
+    held = pairs.select("domain", F.col("right_ref").alias("ref")).distinct()
     right = listed.join(held, ["domain", "ref"], "left_semi").select(
         "domain", F.col("ref").alias("right_ref"), F.explode("urls").alias("url")
     )
@@ -137,7 +137,7 @@ def snapshot_check(
     )
     passed_over = folded.join(winners, ["domain", "run"], "left_anti").select(F.col("run").alias("feed_ord"))
     advanced = (
-        listed.join(sized(passed_over), "feed_ord", "left_anti")
+        listed.join(passed_over, "feed_ord", "left_anti")
         .select("domain", F.posexplode("urls").alias("pos", "url"))
         .withColumn("pos", F.col("pos").cast("bigint"))
     )
@@ -150,17 +150,9 @@ def snapshot_check(
     )
 
 
-def semi_or_anti(big: DataFrame, small: DataFrame, keys: list[str], how: str, spread_by: list[str]) -> DataFrame:
-    if is_small(small):
-        return big.join(F.broadcast(small), keys, how)
-    return spread_join(big, small, keys, how, spread_by)
-
-
 def replace_urls(old: DataFrame, new: DataFrame, domains: DataFrame) -> DataFrame:
-    """Snapshot URLs with those of `domains` replaced.  A domain list of checked size is
-    broadcast, so the stored URLs stay where they are; a longer one is joined with the
-    URLs of each domain spread over several tasks."""
-    kept = semi_or_anti(old, domains, ["domain"], "left_anti", ["url"])
+    """Snapshot URLs with those of `domains` replaced; the URLs of a domain are spread over several tasks."""
+    kept = spread_join(old, domains, ["domain"], "left_anti", ["url"])
     return kept.select("domain", "pos", "url").unionByName(new)
 
 

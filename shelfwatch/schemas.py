@@ -21,7 +21,7 @@ GAMES = _struct(
     id=_S, name=_S, clean_name=_S, platform_count=_I, score=T.FloatType(), first_seen=_TS, updated_at=_TS
 )
 GAME_SOURCES = _struct(id=_S, game_id=_S, domain=_S, url=_S, first_seen=_TS)
-UPDATE_LOGS = _struct(id=_S, domain=_S, new_games_count=_L, checked_at=_TS)
+UPDATE_LOGS = _struct(id=_S, domain=_S, feed_ord=_L, new_games_count=_L, checked_at=_TS)
 UPDATE_LOG_ITEMS = _struct(
     log_id=_S, feed_ord=_L, pos=_L, name=_S, url=_S, is_cross=T.BooleanType(), platform_count=_L
 )

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "shelfwatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -63,16 +62,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-BROADCAST_ROWS = 1_000_000
-
-
-def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a narrow frame has at most `limit` rows; counting stops one row above it."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a narrow frame whose checked row count allows it, else the frame itself."""
-    return F.broadcast(df) if is_small(df, limit) else df

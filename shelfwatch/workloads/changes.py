@@ -538,10 +538,14 @@ def registry_refresh(spark, d):
 
 @query(
     "update_log_rows",
-    _UPSERT + "SELECT domain, count(*) AS new_games_count FROM changes GROUP BY domain",
+    _UPSERT
+    + """SELECT domain, feed_ord * 2 + pos % 2 AS feed_ord, count(*) AS new_games_count FROM changes
+         GROUP BY domain, feed_ord * 2 + pos % 2""",
 )
 def update_log_rows(spark, d):
-    return registry.log_rows(_upsert(spark, d).changes, fx.at("2024-01-05")).select("domain", "new_games_count")
+    """Every domain has two feeds here: the even and the odd places of its list."""
+    changes = _upsert(spark, d).changes.withColumn("feed_ord", F.col("feed_ord") * 2 + F.col("pos") % 2)
+    return registry.log_rows(changes, fx.at("2024-01-05")).select("domain", "feed_ord", "new_games_count")
 
 
 @query("update_log_items", _UPSERT + "SELECT feed_ord, pos, name, url, is_cross, platform_count FROM changes")

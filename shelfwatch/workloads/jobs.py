@@ -15,25 +15,6 @@ from .extraction import ENTITIES
 from .fixtures import with_ctes
 from .registry import query
 
-_TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-).split()
-
-
-@query(
-    "schema_columns",
-    "SELECT table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name FROM information_schema.columns WHERE table_name IN ("
-    + ", ".join(f"'{t}'" for t in _TABLES)
-    + ")",
-)
-def schema_columns(spark, d):
-    rows = [tables.describe_columns(fx.table(spark, d, t), t) for t in _TABLES]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.select("table_name", "ordinal", "column_name")
-
-
 @query(
     "landed_documents",
     with_ctes("page_urls") + "SELECT feed_ord, domain, status, pos, url FROM page_urls",

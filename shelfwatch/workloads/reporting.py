@@ -128,7 +128,7 @@ def run_totals_manual(spark, d):
 
 
 _CHAT = """SELECT count(*) AS feeds, count(*) FILTER (success) AS success, count(*) FILTER (NOT success) AS errors,
-  count(*) FILTER (status = 'zero') AS timeouts, CAST(100 AS INTEGER) AS progress, {} AS new_urls FROM checks"""
+  count(*) FILTER (status = 'zero') AS timeouts, CAST(round(count(*) FILTER (status <> 'first_small') * 100.0 / count(*)) AS INTEGER) AS progress, {} AS new_urls FROM checks"""
 
 
 @query("run_totals_chat", _CHECKS + _CHAT.format(_CHANGED))
@@ -318,6 +318,18 @@ def nested_games(spark, d):
     return _shown(dashboard.nested(fx.games(spark, d), fx.sources(spark, d)))
 
 
+@query(
+    "game_sources_numbered",
+    with_ctes("games", "sources")
+    + """SELECT g.clean_name, s.domain, s.url, row_number() OVER (PARTITION BY s.game_id ORDER BY s.domain, s.url) AS n
+         FROM sources s JOIN games g ON g.id = s.game_id""",
+)
+def game_sources_numbered(spark, d):
+    numbered = dashboard.numbered_sources(fx.sources(spark, d))
+    names = fx.games(spark, d).select(F.col("id").alias("game_id"), "clean_name")
+    return numbered.join(names, "game_id").select("clean_name", "domain", "url", "n")
+
+
 @query("high_score_games", with_ctes("games") + "SELECT clean_name, score FROM games WHERE score >= 2.0")
 def high_score_games(spark, d):
     return dashboard.high_score(fx.games(spark, d)).select("clean_name", F.col("score").cast("double").alias("score"))

@@ -60,9 +60,8 @@ def make(seed, shared):
     return candidates, games, sources
 
 
-@pytest.mark.parametrize("seed, shared, group", [(1, False, 5000), (2, True, 5000), (3, True, 3), (4, True, 1)])
-def test_upsert_is_sequential(spark, monkeypatch, seed, shared, group):
-    monkeypatch.setattr(registry, "GROUP_ROWS", group)
+@pytest.mark.parametrize("seed, shared", [(1, False), (2, True), (3, True), (4, True)])
+def test_upsert_is_sequential(spark, seed, shared):
     candidates, games, sources = make(seed, shared)
     g, s = frames(spark, games, sources)
     up = registry.upsert_entities(spark.createDataFrame(candidates, CANDIDATES), g, s, AT)
@@ -110,7 +109,21 @@ def test_logs(spark):
         [(0, 0, "d", "u1", "A", True, False, None), (0, 1, "d", "u2", "B", False, True, 3)],
         "feed_ord bigint, pos bigint, domain string, url string, name string, is_new boolean, is_cross boolean, platform_count bigint",
     )
-    log = registry.log_rows(changes, AT).collect()
+    changes = changes.union(changes.withColumn("feed_ord", F.lit(1).cast("bigint")).filter("pos = 0"))
+    log = registry.log_rows(changes, AT).orderBy("feed_ord").collect()
     items = registry.log_items(changes, AT).collect()
-    assert [(r.domain, r.new_games_count) for r in log] == [("d", 2)]
-    assert {r.log_id for r in items} == {log[0].id} and len(items) == 2
+    assert [(r.domain, r.feed_ord, r.new_games_count) for r in log] == [("d", 0, 2), ("d", 1, 1)]
+    assert {(r.log_id, r.feed_ord) for r in items} == {(r.id, r.feed_ord) for r in log} and len(items) == 3
+
+
+def test_mirrors_are_settled_in_one_pass(spark):
+    """Every site lists the same URLs in the same order: site i gets the i-th one that is left."""
+    n = 30
+    edges = [("x", f"d{i:02}", f"u{j:02}", i, j, "X") for i in range(n) for j in range(n)]
+    frame = spark.createDataFrame(edges, "clean_name string, domain string, url string, feed_ord bigint, pos bigint, name string")
+    group = "mirrors"
+    spark.sparkContext.setJobGroup(group, group)
+    got = {(r.domain, r.url) for r in registry._greedy(frame).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("", "")
+    assert got == {(f"d{i:02}", f"u{i:02}") for i in range(n)} and len(jobs) <= 3

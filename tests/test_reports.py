@@ -53,7 +53,7 @@ def test_totals(spark, checks, diff):
 
     assert row("scheduled") == {"feeds": 5, "processed": 4, "errors": 2, "new_urls": 6}
     assert row("manual") == {"feeds": 5, "processed": 4, "errors": 1, "new_urls": 6}
-    assert row("chat") == {"feeds": 5, "success": 3, "errors": 2, "timeouts": 1, "progress": 100, "new_urls": 6}
+    assert row("chat") == {"feeds": 5, "success": 3, "errors": 2, "timeouts": 1, "progress": 80, "new_urls": 6}
     changes = spark.createDataFrame([("a", True, False), ("a", False, True)], "domain string, is_new boolean, is_cross boolean")
     assert row("v2", changes) == {"feeds": 5, "processed": 4, "errors": 2, "new_games": 1, "cross_platform": 1}
     with pytest.raises(ValueError):
@@ -103,7 +103,10 @@ def test_pages(games, sources):
     assert [r.id for r in dashboard.top_games(games, sources, 3).collect()] == ["4", "5", "3"]
     rows = {r.id: [s.url for s in r.game_sources] for r in dashboard.nested(games, sources).collect()}
     assert rows == {"1": [], "2": ["u1", "u2"], "3": ["u3"], "4": [], "5": ["u4"]}
-    assert dashboard.nested(games, sources, part_rows=1).filter("id = '2'").selectExpr("sum(size(game_sources))").first()[0] == 2
+    short = {r.id: [s.url for s in r.game_sources] for r in dashboard.nested(games, sources, first_sources=1).collect()}
+    assert short == {**rows, "2": ["u1"]}
+    numbered = {(r.game_id, r.n, r.url) for r in dashboard.numbered_sources(sources).collect()}
+    assert {("2", 1, "u1"), ("2", 2, "u2"), ("3", 1, "u3"), ("5", 1, "u4")} <= numbered
 
 
 def test_cards(games):
