@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import timestamp
 from ..operators.guards import accepted_baseline
+from ..operators.ranking import first_per
 from ..plans.full_run import commit_run, full_run, load_state
 from ..session import cut_lineage
 from ..sources import tables
@@ -86,22 +87,23 @@ def stream_baseline(counts: DataFrame, out: str, checkpoint: str) -> StreamingQu
     )
 
 
-def first_seen(entities: DataFrame, parts: int = 16) -> DataFrame:
-    """First row of every clean name in a stream.
+def stream_first_seen(
+    entities: DataFrame, out: str, checkpoint: str, order: tuple[str, ...] = ("feed_ord", "pos", "url")
+) -> StreamingQuery:
+    """Appends the first row, in `order`, of every clean name that no earlier batch had.
 
-    Names are first made distinct within `parts` shares of their URLs and then across
-    them, so a name that fills the stream is not handled by one task.  State grows with
-    the number of distinct names, as the registry does.
+    The first row of a name in a batch is a minimum, combined before the exchange.
     """
-    shared = entities.withColumn("_share", F.pmod(F.xxhash64("url"), F.lit(parts)).cast("int"))
-    return shared.dropDuplicates(["clean_name", "_share"]).dropDuplicates(["clean_name"]).drop("_share")
 
+    def append(batch: DataFrame, batch_id: int) -> None:
+        rows = first_per(batch, ["clean_name"], list(order))
+        if batch_id:
+            stored = batch.sparkSession.read.parquet(out).filter(F.col("batch") < batch_id)
+            rows = rows.join(stored.select("clean_name"), "clean_name", "left_anti").select(*batch.columns)
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-def stream_first_seen(entities: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return (
-        first_seen(entities)
-        .writeStream.format("parquet")
-        .option("path", out)
+        entities.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -109,7 +111,7 @@ def stream_first_seen(entities: DataFrame, out: str, checkpoint: str) -> Streami
 
 
 def daily_counts(events: DataFrame, at: str = "ts", watermark: str = "1 day") -> DataFrame:
-    """Rows per day; rows later than the watermark are dropped."""
+    """Rows per day."""
     stamped = events.select(timestamp(F.col(at)).cast("timestamp").alias("ts")).withWatermark("ts", watermark)
     days = stamped.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
     return days.select(F.to_date("window.start").alias("date"), "n")
@@ -118,16 +120,23 @@ def daily_counts(events: DataFrame, at: str = "ts", watermark: str = "1 day") ->
 def stream_daily_counts(
     events: DataFrame, out: str, checkpoint: str, at: str = "ts", watermark: str = "1 day"
 ) -> StreamingQuery:
-    """Complete mode: each batch replaces the result with one small row per day."""
+    """Each batch adds the new counts of the days it changes; `read_daily_counts` shows the last ones.
+
+    A day that ended before the watermark is closed: rows that arrive for it later are dropped.
+    """
 
-    def publish(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         daily_counts(events, at, watermark)
-        .writeStream.outputMode("complete")
-        .foreachBatch(publish)
+        .writeStream.outputMode("update")
+        .foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_daily_counts(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).groupBy("date").agg(F.max_by("n", "batch").alias("n"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators.extract import extract_entities, extract_urls
+from ..operators.extract import extract_urls
 from ..plans.full_run import State, full_run
 from ..session import shared_path
 from ..sources import tables
@@ -88,27 +88,39 @@ def full_run_changes(spark, d):
 # --- streams ---------------------------------------------------------------
 
 
-def _stream(spark, sf_dir, name):
-    schema = fx.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-
-
-@query("stream_daily_counts", "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM events GROUP BY 1")
+@query(
+    "stream_daily_counts",
+    """WITH landed AS (SELECT ts, CASE WHEN user_id % 2 = 0 THEN 1 ELSE 2 END AS portion FROM events),
+       mark AS (SELECT max(ts) - INTERVAL 1 DAY AS at FROM landed WHERE portion = 1)
+       SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM landed, mark
+       WHERE portion = 1 OR date_trunc('day', ts) + INTERVAL 1 DAY > mark.at GROUP BY 1""",
+)
 def stream_daily_counts(spark, d):
-    out = shared_path(spark, "daily")
-    events = _stream(spark, d, "events")
-    streams.stream_daily_counts(events, out, shared_path(spark, "daily-state")).awaitTermination()
-    return spark.read.parquet(out).select(fx.day("date").alias("date"), "n")
+    """The events land in two portions; rows of the second for days that are closed by then are dropped."""
+    landing, out, state = (shared_path(spark, n) for n in ("events", "daily", "daily-state"))
+    events = fx.table(spark, d, "events").select("ts", "user_id")
+    for late in (False, True):
+        events.filter((F.col("user_id") % 2 != 0) == late).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(events.schema).parquet(landing)
+        streams.stream_daily_counts(stream, out, state).awaitTermination()
+    return streams.read_daily_counts(spark, out).select(fx.day("date").alias("date"), "n")
 
 
-@query("stream_first_seen", with_ctes("listings") + "SELECT DISTINCT clean_name FROM listings")
+@query(
+    "stream_first_seen",
+    with_ctes("listings")
+    + """SELECT clean_name, feed_ord, pos, url, domain FROM (SELECT *, row_number() OVER
+           (PARTITION BY clean_name ORDER BY pos % 2, feed_ord, pos, url) AS k FROM listings) WHERE k = 1""",
+)
 def stream_first_seen(spark, d):
-    out = shared_path(spark, "first-seen")
-    parts = fx.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    rows = fx.listings_of(_stream(spark, d, "lineitem").join(parts, "l_partkey"))
-    entities = extract_entities(rows.select("domain", "url"))
-    streams.stream_first_seen(entities, out, shared_path(spark, "first-seen-state")).awaitTermination()
-    return spark.read.parquet(out).select("clean_name")
+    """Even places land first; names of the second portion count only if the first lacks them."""
+    landing, out, state = (shared_path(spark, n) for n in ("listed", "first-seen", "first-seen-state"))
+    rows = fx.listings(spark, d).select("clean_name", "feed_ord", "pos", "url", "domain")
+    for odd in (0, 1):
+        rows.filter(F.col("pos") % 2 == odd).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(rows.schema).parquet(landing)
+        streams.stream_first_seen(stream, out, state).awaitTermination()
+    return spark.read.parquet(out).select("clean_name", "feed_ord", "pos", "url", "domain")
 
 
 @query("stream_last_accepted", HISTORY_WALK)

@@ -126,12 +126,25 @@ def test_stream_of_landed_files(spark, tmp_path):
 
 
 def test_stream_first_seen(spark, tmp_path):
-    rows = [(f"g{i % 5}", f"u{i}") for i in range(100)]
-    spark.createDataFrame(rows, "clean_name string, url string").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("clean_name string, url string").parquet(str(tmp_path / "in"))
-    streams.stream_first_seen(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = sorted(r.clean_name for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == [f"g{i}" for i in range(5)]
+    landing, out, state = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "clean_name string, feed_ord bigint, pos bigint, url string"
+    for start, stop in ((50, 100), (0, 60)):
+        rows = [(f"g{i % 7}", 1, i, f"u{i}") for i in range(start, stop)] + [("late", 0, start, "v")]
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(landing)
+        streams.stream_first_seen(spark.readStream.schema(schema).parquet(landing), out, state).awaitTermination()
+    got = sorted((r.clean_name, r.pos) for r in spark.read.parquet(out).collect())
+    assert got == sorted([(f"g{i % 7}", i) for i in range(50, 57)] + [("late", 50)])
+
+
+def test_closed_days_drop_late_rows(spark, tmp_path):
+    landing, out, state = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for days in (["2024-02-20", "2024-02-21"], ["2024-01-01", "2024-02-21"]):
+        rows = spark.createDataFrame([(f"{x} 12:00:00",) for x in days], "ts string").selectExpr("cast(ts as timestamp) ts")
+        rows.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(rows.schema).parquet(landing)
+        streams.stream_daily_counts(stream, out, state).awaitTermination()
+    got = {str(r.date): r.n for r in streams.read_daily_counts(spark, out).collect()}
+    assert got == {"2024-02-20": 1, "2024-02-21": 2}
 
 
 def test_feed_order_is_stable_over_partitions(spark):
