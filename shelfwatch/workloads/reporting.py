@@ -1,5 +1,6 @@
 """Report, dashboard and quality queries (2.5-2.8, 2.11 of the inventory)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import dashboard, diff, feeds, guards, maintenance, quality, registry, reports
@@ -46,9 +47,19 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY feed_ord,
 )
 
 
-@query("all_new_urls", _CHECKS + "SELECT feed_ord, pos, domain, url FROM diff")
+def _placed(df):
+    """Adds the row's place in the frame's own order, so that the order is compared too."""
+    at = df.withColumn("_at", F.monotonically_increasing_id())
+    return at.withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+
+def _place(order: str) -> str:
+    return f"row_number() OVER (ORDER BY {order}) AS place"
+
+
+@query("all_new_urls", _CHECKS + f"SELECT feed_ord, pos, domain, url, {_place('feed_ord, pos')} FROM diff")
 def all_new_urls(spark, d):
-    return reports.new_urls(_diff(spark, d))
+    return _placed(reports.new_urls(_diff(spark, d)))
 
 
 @query("domain_totals", _CHECKS + "SELECT domain, total_new, first_feed FROM totals")
@@ -56,9 +67,13 @@ def domain_totals(spark, d):
     return reports.by_domain(_checks(spark, d), _diff(spark, d))
 
 
-@query("domains_with_news", _CHECKS + "SELECT domain, total_new, first_feed FROM totals WHERE total_new > 0")
+@query(
+    "domains_with_news",
+    _CHECKS
+    + f"SELECT domain, total_new, first_feed, {_place('total_new DESC, first_feed')} FROM totals WHERE total_new > 0",
+)
 def domains_with_news(spark, d):
-    return reports.ranked_domains(reports.by_domain(_checks(spark, d), _diff(spark, d)))
+    return _placed(reports.ranked_domains(reports.by_domain(_checks(spark, d), _diff(spark, d))))
 
 
 @query("domain_url_lists", _CHECKS + "SELECT domain, n, url FROM numbered")
@@ -382,11 +397,12 @@ def games_per_domain_top20(spark, d):
 @query(
     "new_per_day",
     with_ctes("logs")
-    + f"""SELECT strftime(checked_at, '%Y-%m-%d') AS date, count(*) AS new_games FROM logs
+    + f"""SELECT strftime(checked_at, '%Y-%m-%d') AS date, count(*) AS new_games,
+          row_number() OVER (ORDER BY strftime(checked_at, '%Y-%m-%d') DESC) AS place FROM logs
           WHERE checked_at > TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 7 DAY GROUP BY 1""",
 )
 def new_per_day(spark, d):
-    return _dated(quality.new_per_day(fx.logs(spark, d), fx.at(EVENTS_AS_OF), at="checked_at"), "date")
+    return _dated(_placed(quality.new_per_day(fx.logs(spark, d), fx.at(EVENTS_AS_OF), at="checked_at")), "date")
 
 
 @query(
@@ -417,10 +433,11 @@ def games_today(spark, d):
 @query(
     "games_since",
     with_ctes("games")
-    + f"""SELECT name, platform_count, strftime(first_seen, '%Y-%m-%d') AS first_seen FROM games WHERE first_seen > TIMESTAMP '{AS_OF}'""",
+    + f"""SELECT name, platform_count, strftime(first_seen, '%Y-%m-%d') AS first_seen,
+          {_place('games.first_seen DESC NULLS FIRST, name')} FROM games WHERE first_seen > TIMESTAMP '{AS_OF}'""",
 )
 def games_since(spark, d):
-    return _dated(quality.games_since(fx.games(spark, d), fx.at(AS_OF)), "first_seen")
+    return _dated(_placed(quality.games_since(fx.games(spark, d), fx.at(AS_OF))), "first_seen")
 
 
 def _snapshots(spark, d):
@@ -433,17 +450,17 @@ _SNAPSHOTS = (
     with_ctes("stores").rstrip()
     + ", snapshots AS (SELECT domain, count(*) AS url_count, max(o_orderdate) AS updated_at FROM stores GROUP BY domain)\n"
 )
-_SMALL = "SELECT domain, url_count, strftime(updated_at, '%Y-%m-%d') AS updated_at FROM snapshots WHERE url_count < 10"
+_SMALL = "SELECT domain, url_count, strftime(updated_at, '%Y-%m-%d') AS updated_at, {place} FROM snapshots WHERE url_count < 10"
 
 
-@query("implausible_snapshots", _SNAPSHOTS + _SMALL)
+@query("implausible_snapshots", _SNAPSHOTS + _SMALL.format(place=_place("snapshots.updated_at DESC NULLS FIRST, domain")))
 def implausible_snapshots(spark, d):
-    return _dated(quality.implausible(_snapshots(spark, d)), "updated_at")
+    return _dated(_placed(quality.implausible(_snapshots(spark, d))), "updated_at")
 
 
-@query("implausible_by_count", _SNAPSHOTS + _SMALL)
+@query("implausible_by_count", _SNAPSHOTS + _SMALL.format(place=_place("url_count, domain")))
 def implausible_by_count(spark, d):
-    return _dated(quality.implausible(_snapshots(spark, d), order="count"), "updated_at")
+    return _dated(_placed(quality.implausible(_snapshots(spark, d), order="count")), "updated_at")
 
 
 @query("implausible_count", _SNAPSHOTS + "SELECT count(*) AS count FROM snapshots WHERE url_count < 10")
@@ -729,17 +746,19 @@ def feed_validate(spark, d):
     return ok.withColumn("outcome", F.lit("ok")).unionByName(rejects.withColumnRenamed("reject_reason", "outcome"))
 
 
-_LISTED = f"SELECT url, coalesce(strftime(created_at, {_FMT}), 'none') AS created_at FROM feeds"
+_LISTED = f"SELECT url, coalesce(strftime(created_at, {_FMT}), 'none') AS created_at, {{place}} FROM feeds"
 
 
-@query("feed_list_old_first", with_ctes("feeds") + _LISTED)
+@query("feed_list_old_first", with_ctes("feeds") + _LISTED.format(place=_place("feeds.created_at ASC NULLS LAST, url")))
 def feed_list_old_first(spark, d):
-    return feeds.list_feeds(fx.feeds(spark, d)).select("url", second("created_at").alias("created_at")).fillna("none")
+    rows = _placed(feeds.list_feeds(fx.feeds(spark, d)))
+    return rows.select("url", second("created_at").alias("created_at"), "place").fillna("none", ["created_at"])
 
 
-@query("feed_list_new_first", with_ctes("feeds") + _LISTED)
+@query("feed_list_new_first", with_ctes("feeds") + _LISTED.format(place=_place("feeds.created_at DESC NULLS FIRST, url")))
 def feed_list_new_first(spark, d):
-    return feeds.list_feeds(fx.feeds(spark, d), newest_first=True).select("url", second("created_at").alias("created_at")).fillna("none")
+    rows = _placed(feeds.list_feeds(fx.feeds(spark, d), newest_first=True))
+    return rows.select("url", second("created_at").alias("created_at"), "place").fillna("none", ["created_at"])
 
 
 @query(
@@ -770,9 +789,14 @@ def skipped_feeds(spark, d):
     return feeds.cap_feeds(fx.feeds(spark, d), 15)[1]
 
 
-@query("distinct_domains", with_ctes("feeds") + "SELECT DISTINCT domain FROM feeds")
+@query(
+    "distinct_domains",
+    with_ctes("feeds")
+    + """SELECT domain, row_number() OVER (ORDER BY max(coalesce(created_at, TIMESTAMP '9999-12-31')) DESC, domain) AS place
+         FROM feeds GROUP BY domain""",
+)
 def distinct_domains(spark, d):
-    return feeds.distinct_domains(fx.feeds(spark, d)).select("domain")
+    return _placed(feeds.distinct_domains(fx.feeds(spark, d))).select("domain", "place")
 
 
 @query("feed_count", with_ctes("feeds") + "SELECT count(*) AS feeds FROM feeds")
