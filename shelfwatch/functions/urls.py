@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from .text import SPACES, blank_to_null
 
-_SCHEME = rf"(?i)^[{SPACES}]*https?:[/\\]{{2}}"
-_HOST = r"(\[[0-9a-f:.]+\]|[^/\\:?#@\[\]\s<>^|%]+)"
-_AUTHORITY = _SCHEME + r"(?:[^/\\?#]*@)?" + _HOST + rf"(?::[0-9]*)?(?=[/\\?#]|[{SPACES}]*$)"
+_SCHEME = rf"(?i)^[{SPACES}]*https?:[/\\]*"
+_NAME = r"[^/\\:?#@\[\]\s<>^|%]"
+_HOST = rf"(\[[0-9a-f:.]+\]|(?:{_NAME}|%[0-9a-f]{{2}})+)"
+# A port has at most 16 bits.
+_PORT = r"0*(?:[0-9]{0,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])"
+_AUTHORITY = _SCHEME + r"(?:[^/\\?#]*@)?" + _HOST + rf"(?::{_PORT})?(?=[/\\?#]|[{SPACES}]*$)"
+_BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _PATH = _SCHEME + rf"[^/\\?#]+([^?#]*?)(?:[{SPACES}]*$|[?#])"
 # Characters a URL path carries percent-encoded.
 _ENCODED = r"""[^!-~]|["<>`{}^]"""
@@ -22,8 +26,15 @@ _RARE = _ENCODED + r"|\\|" + _DOTS
 
 
 def url_host(url: Column) -> Column:
-    """Lower-case host without user info and port; NULL when the URL is invalid."""
-    return blank_to_null(F.lower(F.regexp_extract(url, _AUTHORITY, 1)))
+    """Lower-case host without user info and port; NULL when the URL is invalid.
+
+    Percent-encoded hosts are decoded; four decimal numbers are an address and must be bytes.
+    """
+    host = F.lower(F.regexp_extract(url, _AUTHORITY, 1))
+    decoded = F.lower(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))))
+    host = F.when(F.contains(host, F.lit("%")), F.when(decoded.rlike(rf"^{_NAME}+$"), decoded)).otherwise(host)
+    numbers = host.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
+    return blank_to_null(F.when(~numbers | host.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"), host))
 
 
 def _encode_char(c: Column) -> Column:

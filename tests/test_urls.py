@@ -18,9 +18,20 @@ CASES = [
     ("http://a.com/x ?q", "a.com", "/x%20"),
     ("http://[::1]:80/x", "[::1]", "/x"),
     ("http://a.com:port/x", None, None),
+    ("http://a.com:65535/x", "a.com", "/x"),
+    ("http://a.com:00080/x", "a.com", "/x"),
+    ("http://a.com:65536/x", None, None),
+    ("http://a.com:99999/x", None, None),
+    ("https:///a.com/x", "a.com", "/x"),
+    ("https:\\\\a.com/x", "a.com", "/x"),
+    ("https://%61.com/x", "a.com", "/x"),
+    ("https://a%2Fb.com/x", None, None),
+    ("https://a%zz.com/x", None, None),
+    ("http://10.0.0.1/x", "10.0.0.1", "/x"),
+    ("http://10.0.0.256/x", None, None),
     ("ftp://a.com/x", None, None),
     ("http://a b.com/x", None, None),
-    ("http:///x", None, None),
+    ("http:///x", "x", "/"),
     ("", None, None),
     (None, None, None),
 ]
