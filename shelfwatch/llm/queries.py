@@ -106,6 +106,24 @@ def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(featured, quality.learn(featured, table(spark, sf_dir, "labels")))
 
 
+ORACLES["op9_embedding_groups"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x)
+  WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.98),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+roots AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT r.vec_id, (SELECT count(*) FROM links l WHERE l.a = r.vec_id) AS n_links, r.component_id,
+  r.vec_id = r.component_id AS kept
+FROM roots r
+"""
+
+
 @query
 def op9_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.cosine_groups(table(spark, sf_dir, "embeddings"))
