@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The ladder of scores and the bounds and names of the tiers below.
 def score(platforms: Column) -> Column:
     """1.0 for one platform, half a point for each further one, at most 2.5."""
     return (F.lit(1.0) + F.least(platforms - 1, F.lit(3)) * F.lit(0.5)).cast("float")

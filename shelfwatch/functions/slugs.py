@@ -22,20 +22,22 @@ EXCLUDED_PATHS = (
 )
 
 # Slugs that are navigation or category pages.
-CATEGORY_WORDS = """
-    games all-games new-games hot-games popular-games trending-games
-    top-games featured-games best-games free-games all-tags top-popular
-    action-games adventure-games puzzle-games racing-games sports-games strategy-games
-    shooting-games arcade-games casual-games multiplayer-games io-games html5-games
-    girl-games boy-games kids-games girls-games boys-games 2-player-games multiplayer single-player
-    about contact privacy terms faq help support blog news press careers jobs advertise
-    category categories tag tags genre genres online offline download downloads
-    login register signup signin search browse index home recents updated
-    terms-of-service privacy-policy contact-us about-us
-""".split()
+CATEGORY_WORDS = (
+    "games", "all-games", "new-games", "hot-games", "popular-games", "trending-games",
+    "top-games", "featured-games", "best-games", "free-games", "all-tags", "top-popular",
+    "action-games", "adventure-games", "puzzle-games", "racing-games", "sports-games",
+    "strategy-games", "shooting-games", "arcade-games", "casual-games", "multiplayer-games",
+    "io-games", "html5-games", "girl-games", "boy-games", "kids-games", "girls-games",
+    "boys-games", "2-player-games", "multiplayer", "single-player", "about", "contact",
+    "privacy", "terms", "faq", "help", "support", "blog", "news", "press", "careers", "jobs",
+    "advertise", "category", "categories", "tag", "tags", "genre", "genres", "online",
+    "offline", "download", "downloads", "login", "register", "signup", "signin", "search",
+    "browse", "index", "home", "recents", "updated", "terms-of-service", "privacy-policy",
+    "contact-us", "about-us",
+)
 
 # Names that may end in -game or -games.
-SUFFIX_NAMES = "hunger squid mario pokemon sonic".split()
+SUFFIX_NAMES = ("hunger", "squid", "mario", "pokemon", "sonic")
 
 
 class SiteRule(NamedTuple):

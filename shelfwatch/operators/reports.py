@@ -15,7 +15,7 @@ from .maintenance import retain_logs
 from .ranking import first_rows, running_number
 
 # Path segments that are not keywords.
-PLAIN_SEGMENTS = "index page post article news blog".split()
+PLAIN_SEGMENTS = ("index", "page", "post", "article", "news", "blog")
 
 
 def new_urls(diff: DataFrame) -> DataFrame:

@@ -302,30 +302,37 @@ def forced_run_domains(spark, d):
     return report["domains"].select("domain", "total_new", F.array_join("samples", " ").alias("samples"), "remaining")
 
 
-# Sizes stand for the documents, so that the oracle compares short values.
+# Hashes stand for the documents; the dated copies are rows of their own.
 @query(
     "snapshot_rotation",
     with_ctes("page_docs")
     + """, docs AS (SELECT domain, status, content, feed_ord FROM page_docs),
 old AS (SELECT domain, arg_min(content, feed_ord) AS current FROM docs WHERE status = 404 GROUP BY domain),
 new AS (SELECT domain, arg_max(content, feed_ord) AS content FROM docs WHERE status = 200 GROUP BY domain)
-SELECT coalesce(o.domain, n.domain) AS domain, length(CASE WHEN n.domain IS NOT NULL THEN n.content ELSE o.current END) AS current,
-  coalesce(length(CASE WHEN n.domain IS NOT NULL THEN o.current END), -1) AS latest,
-  CASE WHEN n.domain IS NOT NULL THEN '20240105' ELSE '20240104' END AS last_update
-FROM old o FULL JOIN new n ON n.domain = o.domain""",
+SELECT coalesce(o.domain, n.domain) AS domain, md5(CASE WHEN n.domain IS NOT NULL THEN n.content ELSE o.current END) AS current,
+  coalesce(md5(CASE WHEN n.domain IS NOT NULL THEN o.current END), '-') AS latest,
+  CASE WHEN n.domain IS NOT NULL THEN '20240105' ELSE '20240104' END AS last_update, 'state' AS part
+FROM old o FULL JOIN new n ON n.domain = o.domain
+UNION ALL SELECT domain, md5(content), '-', '20240105', 'dated' FROM new""",
 )
 def snapshot_rotation(spark, d):
     docs = fx.page_docs(spark, d)
     old = docs.filter("status = 404").groupBy("domain").agg(F.min_by("content", "feed_ord").alias("current"))
     old = old.select("domain", "current", F.lit(None).cast("string").alias("latest"), F.lit("20240104").alias("last_update"))
     new = docs.filter("status = 200").groupBy("domain").agg(F.max_by("content", "feed_ord").alias("content"))
-    state, _ = snapshots.rotate_snapshots(old, new, _AT)
-    return state.select(
+    state, dated = snapshots.rotate_snapshots(old, new, _AT)
+    none = F.lit("-")
+    slots = state.select(
         "domain",
-        F.length("current").cast("bigint").alias("current"),
-        F.coalesce(F.length("latest"), F.lit(-1)).cast("bigint").alias("latest"),
+        F.md5("current").alias("current"),
+        F.coalesce(F.md5("latest"), none).alias("latest"),
         "last_update",
+        F.lit("state").alias("part"),
     )
+    copies = dated.select(
+        "domain", F.md5("content").alias("current"), none.alias("latest"), F.col("date").alias("last_update"), F.lit("dated").alias("part")
+    )
+    return slots.unionByName(copies)
 
 
 @query(

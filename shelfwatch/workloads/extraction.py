@@ -81,8 +81,27 @@ def page_paths(spark, d):
     return with_url_parts(_page_urls(spark, d)).select("feed_ord", "pos", "url", "path")
 
 
-_WORDS = ", ".join(f"'{w}'" for w in slugs.CATEGORY_WORDS)
-_EXCLUDED = "(?i)" + "|".join(f"(?:{p})" for p in slugs.EXCLUDED_PATHS)
+# The fixed values are written out here, so that a slip in the operators shows.
+_WORDS = """
+  'games', 'all-games', 'new-games', 'hot-games', 'popular-games', 'trending-games', 'top-games',
+  'featured-games', 'best-games', 'free-games', 'all-tags', 'top-popular', 'action-games',
+  'adventure-games', 'puzzle-games', 'racing-games', 'sports-games', 'strategy-games', 'shooting-games',
+  'arcade-games', 'casual-games', 'multiplayer-games', 'io-games', 'html5-games', 'girl-games', 'boy-games',
+  'kids-games', 'girls-games', 'boys-games', '2-player-games', 'multiplayer', 'single-player', 'about',
+  'contact', 'privacy', 'terms', 'faq', 'help', 'support', 'blog', 'news', 'press', 'careers', 'jobs',
+  'advertise', 'category', 'categories', 'tag', 'tags', 'genre', 'genres', 'online', 'offline', 'download',
+  'downloads', 'login', 'register', 'signup', 'signin', 'search', 'browse', 'index', 'home', 'recents',
+  'updated', 'terms-of-service', 'privacy-policy', 'contact-us', 'about-us'
+"""
+_EXCLUDED = (
+    r"(?i)(?:/(tag|tags|category|categories|genre|genres|author|user|profile)/)"
+    r"|(?:/(about|contact|privacy|terms|faq|help|search|login|register)/)"
+    r"|(?:/(blog|news|press|careers|jobs|advertise)/)"
+    r"|(?:/(sitemap|robots|feed|rss|atom)($|/|\.|\.xml))"
+    r"|(?:\.(xml|json|txt|css|js|png|jpg|gif|ico|svg)$)"
+    r"|(?:^/$)"
+    r"|(?:^/[a-z]{2}/?$)"
+)
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name), '[-_\s]+', '-', 'g'),
   '[^a-z0-9-]', '', 'g'), '^-+|-+$', '', 'g'), '-+', '-', 'g')"""
 ENTITIES = rf"""
