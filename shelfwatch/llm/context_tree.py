@@ -13,18 +13,21 @@ learning ends the path: the mixture stops at the deepest one that was.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import bucket_slices, joined, mixed, pack_sorted, parted, unpack_sorted
+from .packed import bucket_slices, mixed, pack_counts, pack_sorted, squeezed, unpack_counts, unpack_sorted, unsqueezed
 
 DEPTH = 6
 BLOCK_BYTES = 8 << 20
 TREE_GROUPS = 512
 FOLDS = 10
+STEPS = 4096.0
 END = 255
 WINDOWS, WORDS, TOTALS = 0, 1, 2
 ASKED = "kind int, bucket long, block long, asked binary"
@@ -32,6 +35,7 @@ ANSWERED = "kind int, block long, bucket long, answer binary"
 COUNTED = "grove int, bucket long, counted binary"
 SMALL = 1 << 12
 CHUNK = 1 << 16
+SEARCHED = 1 << 18
 
 
 def _log_gammas(half: float) -> np.ndarray:
@@ -167,26 +171,20 @@ class Block:
         order = np.argsort(mixed(every))
         return every[order], learn[order]
 
-    def word_counts(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Distinct words by hash, their hashes and learning counts; the end is the empty word."""
-        counts: Counter[bytes] = Counter({b"": 0})
-        for words, learn in zip(self.words, self.learn, strict=True):
-            if learn:
-                counts.update(words)
-                counts[b""] += 1
-        for words, learn in zip(self.words, self.learn, strict=True):
-            if not learn:
-                for w in words:
-                    counts[w] += 0
+    def word_counts(self, buckets: int) -> list[tuple[int, list[bytes], np.ndarray]]:
+        """Distinct words in order and their learning counts, per bucket; the end is the empty word."""
+        learn, rest = ([w for w, k in zip(self.words, self.learn, strict=True) if k == kind] for kind in (True, False))
+        counts: Counter[bytes] = Counter(chain.from_iterable(learn))
+        counts.update(dict.fromkeys(chain.from_iterable(rest), 0))
+        counts[b""] = len(learn)
         words = list(counts)
-        code = mixed(np.fromiter((word_code(w) for w in words), np.uint64, len(words)))
-        order = np.argsort(code, kind="stable")
-        return [words[i] for i in order], code[order], np.fromiter(counts.values(), np.int64, len(words))[order]
-
-
-def word_code(word: bytes) -> int:
-    """A number that deals words to buckets; words that share one are still told apart there."""
-    return int.from_bytes(word[:7], "little") ^ len(word) << 56 ^ int.from_bytes(word[-4:], "little") << 24
+        code = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        order = np.argsort(code)
+        out = []
+        for bucket, s in bucket_slices(code[order], buckets):
+            some = sorted([words[i] for i in order[s].tolist()])
+            out.append((bucket, some, np.fromiter((counts[w] for w in some), np.int64, len(some))))
+        return out
 
 
 def _rows(names_types: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
@@ -206,7 +204,8 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, block_b
     A row is held out if crc32(doc_id as text) mod `folds` is 0; a row with a null id is not.  A-Z
     are lower-cased; a null text is empty.  Returns per row `doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score, n_bytes, bits_per_byte`: `score` is the log10 probability of
-    the text and its end, `base_score` that of its words and its end under smoothed word
+    the text and its end (a sum over its bytes of values kept to 1/4096, like the codes of an
+    arithmetic coder), `base_score` that of its words and its end under smoothed word
     counts.  Without rows to learn from every bit has probability 1/2.  Repeated rows count as
     often as they occur; an empty table gives no rows.  Other columns are not read.
     """
@@ -222,19 +221,18 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, block_b
         rows = []
         for b, s in bucket_slices(mixed(window), blocks):
             order = np.argsort(window[s])
-            rows.append((WINDOWS, b, number, joined([pack_sorted(window[s][order]), count[s][order].astype("<i4").tobytes()])))
-        words, code, count = block.word_counts()
-        for b, s in bucket_slices(code, blocks):
-            rows.append((WORDS, b, number, joined([b"\n".join(words[s]), count[s].astype("<i4").tobytes()])))
+            rows.append((WINDOWS, b, number, squeezed([pack_sorted(window[s][order]), pack_counts(count[s][order])])))
+        for b, words, count in block.word_counts(blocks):
+            rows.append((WORDS, b, number, squeezed([b"\n".join(words), pack_counts(count)])))
         return _rows(ASKED_TYPES, rows)
 
     def count_windows(group: pa.Table) -> pa.Table:
         """Adds the counts of equal windows and deals them to the groves of the trees."""
         if group["kind"][0].as_py() != WINDOWS:
             return _rows(COUNT_TYPES, [])
-        parts = [parted(d) for d in group["asked"].to_pylist()]
+        parts = [unsqueezed(d) for d in group["asked"].to_pylist()]
         every = np.concatenate([unpack_sorted(p[0]) for p in parts])
-        times = np.concatenate([np.frombuffer(p[1], "<i4") for p in parts])
+        times = np.concatenate([unpack_counts(p[1]) for p in parts])
         window, at = np.unique(every, return_inverse=True)
         count = np.bincount(at, times).astype(np.int64)
         grove = groves(window, depth)
@@ -243,7 +241,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, block_b
         rows = []
         for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
             some = order[a:b]
-            data = joined([pack_sorted(window[some]), count[some].astype("<i8").tobytes()])
+            data = squeezed([pack_sorted(window[some]), count[some].astype("<i8").tobytes()])
             rows.append((int(grove[some[0]]), group["bucket"][0].as_py(), data))
         return _rows(COUNT_TYPES, rows)
 
@@ -254,20 +252,20 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, block_b
         total: Counter[bytes] = Counter()
         asked = []
         for data in group["asked"].to_pylist():
-            words, times = parted(data)
+            words, times = unsqueezed(data)
             asked.append(words.split(b"\n"))
-            for w, n in zip(asked[-1], np.frombuffer(times, "<i4").tolist(), strict=True):
+            for w, n in zip(asked[-1], unpack_counts(times).tolist(), strict=True):
                 total[w] += n
         bucket = group["bucket"][0].as_py()
         rows = [
-            (WORDS, b, bucket, np.fromiter((total[w] for w in words), "<i8", len(words)).tobytes())
+            (WORDS, b, bucket, squeezed([np.fromiter((total[w] for w in words), "<i8", len(words)).tobytes()]))
             for b, words in zip(group["block"].to_pylist(), asked, strict=True)
         ]
         kinds = sum(n > 0 for n in total.values())
         return _rows(ANSWER_TYPES, [*rows, (TOTALS, -1, bucket, f"{total.total()} {kinds}".encode())])
 
     def grove_windows(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = [parted(d) for d in group["counted"].to_pylist()]
+        parts = [unsqueezed(d) for d in group["counted"].to_pylist()]
         window = [unpack_sorted(p[0]) for p in parts]
         bucket = np.repeat(group["bucket"].to_numpy(), [len(w) for w in window])
         return np.concatenate(window), np.concatenate([np.frombuffer(p[1], "<i8") for p in parts]), bucket
@@ -325,7 +323,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, block_b
         rows = []
         for x, y in zip(starts, np.append(starts[1:], len(b)), strict=True):
             some = order[x:y]
-            data = joined([pack_sorted(window[some]), out[some].astype("<f4").tobytes()])
+            data = squeezed([pack_sorted(window[some]), np.minimum(np.rint(-STEPS * out[some]), 65535).astype("<u2").tobytes()])
             rows.append((WINDOWS, int(b[x]), data))
         return _rows(MODEL_TYPES, rows)
 
@@ -333,13 +331,13 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, block_b
         """The model's values of the windows that each block asked about."""
         if not group.num_rows or group["kind"][0].as_py() != WINDOWS:
             return _rows(ANSWER_TYPES, [])
-        parts = [parted(d) for d in model["model"].to_pylist()]
+        parts = [unsqueezed(d) for d in model["model"].to_pylist()]
         window = np.concatenate([unpack_sorted(p[0]) for p in parts])
         order = np.argsort(window)
-        window, value = window[order], np.concatenate([np.frombuffer(p[1], "<f4") for p in parts])[order]
+        window, value = window[order], np.concatenate([np.frombuffer(p[1], "<u2") for p in parts])[order]
         rows = []
         for b, bucket, data in zip(*(group[c].to_pylist() for c in ("block", "bucket", "asked")), strict=True):
-            found = value[np.searchsorted(window, unpack_sorted(parted(data)[0]))]
+            found = value[np.searchsorted(window, unpack_sorted(unsqueezed(data)[0]))]
             rows.append((WINDOWS, b, bucket, found.tobytes()))
         return _rows(ANSWER_TYPES, rows)
 
@@ -351,14 +349,16 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, block_b
         window, _ = block.window_counts()
         slices = [s for _, s in bucket_slices(mixed(window), blocks)]
         ordered = np.concatenate([np.sort(window[s]) for s in slices])
-        value = np.frombuffer(b"".join(of[WINDOWS]), "<f4").astype(np.float64)
+        value = np.frombuffer(b"".join(of[WINDOWS]), "<u2") / -STEPS
         order = np.argsort(ordered)
         ordered, value = ordered[order], value[order]
         scores = np.empty(len(block.windows))
-        for at in range(0, len(scores), 1 << 16):
-            scores[at : at + (1 << 16)] = value[np.searchsorted(ordered, block.windows[at : at + (1 << 16)])]
-        words, _, _ = block.word_counts()
-        counts = np.frombuffer(b"".join(of[WORDS]), "<i8")
+        for at in range(0, len(scores), SEARCHED):  # sorted, searches run along the table
+            some = block.windows[at : at + SEARCHED]
+            by_window = np.argsort(some)
+            scores[at + by_window] = value[np.searchsorted(ordered, some[by_window])]
+        words = [w for _, some, _ in block.word_counts(blocks) for w in some]
+        counts = np.frombuffer(b"".join(unsqueezed(d)[0] for d in of[WORDS]), "<i8")
         term = dict(zip(words, np.log10(counts + 0.1).tolist(), strict=True))
         new = {w for w, n in zip(words, (counts == 0).tolist(), strict=True) if n}
         tokens = [len(w) + 1 for w in block.words]
