@@ -30,6 +30,7 @@ MAX_BITS = 4
 BANDS = 6
 SHELL = 2 * MAX_BITS
 LEAF = 128
+PAIRS = 1 << 14
 
 
 def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
@@ -87,13 +88,21 @@ class Shell:
     def __init__(self, points: np.ndarray, home: np.ndarray, check: np.ndarray | None, check_bits: int):
         self.points, self.home, self.check, self.check_bits = points, home, check, check_bits
         self.label = np.arange(len(points))
+        self.met = np.zeros(len(points), bool)
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> None:
         """Merges the labels of the close pairs between two sets of positions."""
         close = np.bitwise_count(self.points[a][:, None] ^ self.points[b][None, :]) <= MAX_BITS
+        close &= self.home[a][:, None] | self.home[b][None, :]
+        close &= a[:, None] != b[None, :]
+        self.met[a] |= close.any(axis=1)
+        self.met[b] |= close.any(axis=0)
         x, y = np.nonzero(close)
-        x, y = a[x], b[y]
-        keep = (x != y) & (self.home[x] | self.home[y]) & (self.label[x] != self.label[y])
+        for i in range(0, len(x), PAIRS):
+            self._merge(a[x[i : i + PAIRS]], b[y[i : i + PAIRS]])
+
+    def _merge(self, x: np.ndarray, y: np.ndarray) -> None:
+        keep = self.label[x] != self.label[y]
         x, y = x[keep], y[keep]
         if self.check is not None and len(x):
             keep = np.bitwise_count(self.check[x] ^ self.check[y]).sum(axis=1, dtype=np.int64) <= self.check_bits
@@ -144,9 +153,16 @@ class Shell:
         self.blocks(a[(da > edge) & (da <= edge + MAX_BITS)], b[(db <= edge) & (db > edge - MAX_BITS)])
 
     def blocks(self, a: np.ndarray, b: np.ndarray) -> None:
-        for i in range(0, len(a), 1024):
-            for j in range(0, len(b), 1024):
-                self.compare(a[i : i + 1024], b[j : j + 1024])
+        for i in range(0, len(a), 512):
+            for j in range(0, len(b), 512):
+                self.compare(a[i : i + 512], b[j : j + 512])
+
+
+def shell_members(points: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """Which fingerprints of one shell have a close one."""
+    shell = Shell(points, home, None, 0)
+    shell.inside(np.arange(len(points)))
+    return shell.met
 
 
 def shell_links(points: np.ndarray, home: np.ndarray, check: np.ndarray | None, check_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,30 +185,45 @@ def close_links(prints: DataFrame, checks: DataFrame | None = None, check_bits:
     keys = prints.select("id", "print", F.explode(F.array(*band_keys(F.col("print")))).alias("key"))
     hubs = keys.groupBy("key").agg(F.min("print").alias("vantage"), F.count("*").alias("n")).filter("n > 1")
     shards = keys.join(hubs.drop("n"), "key")
-    if checks is not None:
-        shards = shards.join(checks, "id")
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("vantage")))
     shell = F.floor(distance / SHELL).cast("int")
     guest = (distance % SHELL < MAX_BITS) & (distance >= SHELL)
     shards = shards.withColumn("own", shell).withColumn("seats", F.when(guest, F.array("own", F.col("own") - 1)))
     shards = shards.withColumn("seat", F.explode(F.coalesce("seats", F.array("own"))))
     home = (F.col("seat") == F.col("own")).alias("home")
-    seated = shards.select("key", "id", "print", *check, F.col("seat").alias("shell"), home)
-    sorted_ = seated.repartition("key", "shell").sortWithinPartitions("key", "shell")
+    seated = shards.select("key", "id", "print", F.col("seat").alias("shell"), home)
+    ordered = seated.repartition("key", "shell").sortWithinPartitions("key", "shell")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that have a close one in their shell: few, so their checks are fetched afterwards."""
+        for t in whole_groups(batches, ["key", "shell"]):
+            points, home = t["print"].to_numpy().view(np.uint64), t["home"].to_numpy()
+            group, small, starts, sizes = _sizes(t)
+            met = np.zeros(len(points), bool)
+            for step in range(1, 16):
+                x = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
+                x = x[(np.bitwise_count(points[x] ^ points[x + step]) <= MAX_BITS) & (home[x] | home[x + step])]
+                met[x] = met[x + step] = True
+            for start, size in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
+                s = slice(start, start + size)
+                met[s] = shell_members(points[s], home[s])
+            yield from t.filter(pa.array(met)).to_batches()
+
+    def _sizes(t: pa.Table) -> tuple[np.ndarray, ...]:
+        starts = group_starts(t, ["key", "shell"])
+        sizes = np.diff(np.append(starts, t.num_rows))
+        return np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes <= 16, sizes), starts, sizes
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key", "shell"]):
             yield _links(t)
 
     def _links(t: pa.Table) -> pa.RecordBatch:
-        starts = group_starts(t, ["key", "shell"])
-        sizes = np.diff(np.append(starts, t.num_rows))
-        group = np.repeat(np.arange(len(starts)), sizes)
+        group, small, starts, sizes = _sizes(t)
         ids, points = t["id"].to_numpy(), t["print"].to_numpy().view(np.uint64)
         home = t["home"].to_numpy()
         words = np.stack([t[c].to_numpy() for c in check], axis=1).view(np.uint64) if check else None
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        small = np.repeat(sizes <= 16, sizes)
         for step in range(1, 16):
             x = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
             if not len(x):
@@ -211,7 +242,10 @@ def close_links(prints: DataFrame, checks: DataFrame | None = None, check_bits:
         x, y = spanning_links(ids[np.concatenate(a)], ids[np.concatenate(b)])
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    return sorted_.mapInArrow(link, "a long, b long")
+    if checks is not None:
+        met = ordered.mapInArrow(meet, ordered.schema).join(checks, "id")
+        ordered = met.repartition("key", "shell").sortWithinPartitions("key", "shell")
+    return ordered.mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
