@@ -271,9 +271,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFram
     )
 
 
-# How near copies are found: distinct words give prints that a few edits hardly change, and
-# shingles of five words decide.
-WORD_PRINTS = 4
+# How near copies are found: a pair at the least similarity shares one of the keys but for a chance
+# of (1 - 0.8 ** 5) ** 40, one in eight million; shingles of five words decide.
+COPY_KEYS = 40
+KEY_ROWS = 5
 SHINGLE_WORDS = 8
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -285,20 +286,32 @@ def check_limit(similarity: float, bits: int) -> int:
     return int(bits * share + 0.5 * np.sqrt(bits * share * (1 - share)))
 
 
+def min_hash_keys(shingles: np.ndarray) -> list[int]:
+    """Keys of the least hashes of a set, `KEY_ROWS` in each; none of an empty set.  Signed."""
+    if not len(shingles):
+        return []
+    factors = mixed(np.arange(1, COPY_KEYS * KEY_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(len(factors), 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 256):
+        np.minimum(least, (factors[:, None] * shingles[None, at : at + 256]).min(axis=1), out=least)
+    rows = least.reshape(COPY_KEYS, KEY_ROWS)
+    keys = np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64)
+    return keys.view(np.int64).tolist()
+
+
 def copy_prints(text: bytes) -> list[int]:
-    """Prints of the distinct words under several seeds, then a long print of the distinct shingles."""
-    words = [fingerprint(word_hashes(text, seed)) for seed in range(1, WORD_PRINTS + 1)]
+    """A long print of the distinct shingles, two hashes of their set, then its keys."""
     shingles = np.unique(shingle_hashes(text, SHINGLE, 42))
     salts = mixed(np.arange(1, SHINGLE_WORDS + 1, dtype=np.uint64))
-    return words + [fingerprint(mixed(shingles + salt)) for salt in salts]
+    whole = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist()
+    return [fingerprint(mixed(shingles + salt)) for salt in salts] + whole + min_hash_keys(shingles)
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `docs`, all columns, without near copies: of every group the smallest `doc_id` stays.
 
     A group is connected by pairs whose sets of five-word shingles are similar, judged by 512-bit
-    SimHash at `similarity`; candidates are pairs with close 64-bit prints of their
-    words under one of four seeds.  Equal texts are copies, null and wordless texts of
+    SimHash at `similarity`; candidates are pairs that share a key of least hashes.  Equal texts are copies, null and wordless texts of
     each other too.  A null `doc_id` counts as larger than all; of rows that are equal in id
     and text one stays.  An empty table gives no rows.
     """
@@ -313,14 +326,23 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
         F.xxhash64(F.lit(2), text).alias("_t2"),
     ]
     marked = cut_lineage(docs.select(*key, prints(F.col("text").cast("binary")).alias("prints")))
-    classes = marked.groupBy("_t1", "_t2").agg(F.min("_id").alias("_id"), F.any_value("prints").alias("prints"))
+    sets = [F.col("prints")[SHINGLE_WORDS + i].alias(f"_s{i}") for i in range(2)]
+    classes = marked.groupBy(*sets).agg(
+        F.min(F.struct("_id", "_t1", "_t2")).alias("least"), F.any_value("prints").alias("prints")
+    )
     classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()))
-    words = F.explode(F.array_distinct(F.slice("prints", 1, WORD_PRINTS)))
-    checks = classes.select("id", *[F.col("prints")[WORD_PRINTS + i].alias(f"c{i}") for i in range(SHINGLE_WORDS)])
-    links = close_links(classes.select("id", words.alias("print")), checks, check_limit(similarity, 64 * SHINGLE_WORDS))
+    keys = classes.select("id", F.explode(F.array_distinct(F.slice("prints", SHINGLE_WORDS + 3, COPY_KEYS))).alias("key"))
+    pairs = keys.select(F.col("id").alias("a"), "key").join(keys.select(F.col("id").alias("b"), "key"), "key")
+    pairs = pairs.filter("a < b").select("a", "b").distinct()
+    words = F.slice("prints", 1, SHINGLE_WORDS)
+    for end in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("id").alias(end), words.alias(f"print_{end}")), end)
+    differ = F.zip_with("print_a", "print_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(differ, F.lit(0), lambda n, x: n + x)
+    links = pairs.filter(differ <= check_limit(similarity, 64 * SHINGLE_WORDS)).select("a", "b")
     roots = components(links).withColumnRenamed("node", "id")
     known = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    first = known.groupBy("root").agg(F.min(F.struct("_id", "_t1", "_t2")).alias("first")).select("first.*")
+    first = known.groupBy("root").agg(F.min("least").alias("first")).select("first.*")
     one = Window.partitionBy("_t1", "_t2", "_id").orderBy(F.lit(0))
     used = ["doc_id", "text"]
     rows = set_aside(docs, used).select("*", *key).join(first, ["_t1", "_t2", "_id"])

@@ -146,6 +146,40 @@ def test_one_of_each_stays(spark, docs, no_docs):
     assert simhash.keep_one_of_each(no_docs).count() == 0
 
 
+def five_words(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    a, b = five_words(a), five_words(b)
+    return len(a & b) / len(a | b)
+
+
+def edited_copies():
+    """Originals with appended, prefixed, truncated and short near copies, all at a similarity of 0.8 at least."""
+    rows, pick = [], np.random.default_rng(12)
+    for i in range(150):
+        n = (20, 60, 200)[i % 3]
+        words = [f"v{x}" for x in pick.integers(0, 10**6, n)]
+        new = [f"n{x}" for x in pick.integers(0, 10**6, n)]
+        run = (n - 4) // 4
+        for k, copy in enumerate([words + new[:run], new[:run] + words, words[: n - (n - 4) // 5], [*words[:-1], new[0]]]):
+            own = [f"{w}.{k}" for w in words]
+            copy = [w if w in new else f"{w}.{k}" for w in copy]
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(copy))]
+    return rows
+
+
+def test_edited_copies_are_found(spark):
+    rows = edited_copies()
+    similar = [jaccard(a[1], b[1]) for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    assert min(similar) >= 0.8 and np.median(similar) < 0.9
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in simhash.keep_one_of_each(frame, 0.7).collect()}
+    assert found == {i for i, _ in rows[::2]}
+
+
 def test_lattice_decoding():
     y = np.random.default_rng(4).standard_normal((200, 8)) * 2
     point = lattice.nearest_point(y)
