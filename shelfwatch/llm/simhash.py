@@ -11,6 +11,7 @@ as a guest.  Large shells are divided further by vantage-point trees in their ta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +24,7 @@ from ..operators.ranking import spread_join
 from ..session import cut_lineage
 from .components import components, spanning_links
 from .groups import group_starts, whole_groups
-from .packed import mixed
+from .packed import mixed, pack_sorted, unpack_sorted
 from .rows import bring_back, set_aside
 
 MAX_BITS = 4
@@ -275,17 +276,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFram
 # of (1 - 0.8 ** 5) ** 40, one in eight million; shingles of five words decide.
 COPY_KEYS = 40
 KEY_ROWS = 5
-SHINGLE_WORDS = 8
+SKETCH_WORDS = 8
 SHINGLE = 5
 SIMILARITY = 0.8
 
 
-def check_limit(similarity: float, bits: int) -> int:
-    """Differing bits at which sets of shingles have this Jaccard similarity, with half a deviation's allowance."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + 0.5 * np.sqrt(bits * share * (1 - share)))
-
-
 def min_hash_keys(shingles: np.ndarray) -> list[int]:
     """Keys of the least hashes of a set, `KEY_ROWS` in each; none of an empty set.  Signed."""
     if not len(shingles):
@@ -299,19 +294,54 @@ def min_hash_keys(shingles: np.ndarray) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Bits of how many shingles fall on each, odd or even: two sets differ in as many members as bits at least."""
+    counts = np.bincount((mixed(shingles) >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH_WORDS)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def copy_prints(text: bytes) -> list[int]:
-    """A long print of the distinct shingles, two hashes of their set, then its keys."""
+    """Two hashes of the set of shingles, its size and parities, then its keys."""
     shingles = np.unique(shingle_hashes(text, SHINGLE, 42))
-    salts = mixed(np.arange(1, SHINGLE_WORDS + 1, dtype=np.uint64))
     whole = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist()
-    return [fingerprint(mixed(shingles + salt)) for salt in salts] + whole + min_hash_keys(shingles)
+    return [*whole, len(shingles), *parities(shingles).tolist(), *min_hash_keys(shingles)]
+
+
+def similar_pairs(pairs: DataFrame, sketches: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs `a, b` of ids those whose sets of shingles have this Jaccard similarity at least.
+
+    Sizes and parities (`id, size, bits`) only drop pairs that cannot have it; the rest is counted.
+    """
+    part, whole = Fraction(str(similarity)).as_integer_ratio()
+    for end in ("a", "b"):
+        own = sketches.select(F.col("id").alias(end), F.col("size").alias(f"size_{end}"), F.col("bits").alias(f"bits_{end}"))
+        pairs = spread_join(pairs, own, [end], "inner", ["a", "b"], 4)
+    apart = F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(apart, F.lit(0), lambda n, x: n + x)
+    total = F.col("size_a") + F.col("size_b")
+    pairs = pairs.filter(apart * (part + whole) <= total * (whole - part))
+    pairs = pairs.filter(F.least("size_a", "size_b") * whole >= F.greatest("size_a", "size_b") * part).select("a", "b")
+    for end in ("a", "b"):
+        own = shingles.select(F.col("id").alias(end), F.col("packed").alias(f"packed_{end}"))
+        pairs = spread_join(pairs, own, [end], "inner", ["a", "b"], 4)
+
+    @F.arrow_udf(returnType="boolean")
+    def similar(first: pa.Array, second: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(first, second, strict=True):
+            x, y = unpack_sorted(x.as_py()), unpack_sorted(y.as_py())
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(shared * whole >= (len(x) + len(y) - shared) * part)
+        return pa.array(out, pa.bool_())
+
+    return pairs.filter(similar("packed_a", "packed_b")).select("a", "b")
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `docs`, all columns, without near copies: of every group the smallest `doc_id` stays.
 
-    A group is connected by pairs whose sets of five-word shingles are similar, judged by 512-bit
-    SimHash at `similarity`; candidates are pairs that share a key of least hashes.  Equal texts are copies, null and wordless texts of
+    A group is connected by pairs whose sets of five-word shingles have a Jaccard similarity of
+    `similarity` at least, counted exactly; candidates are pairs that share a key of least hashes.  Equal texts are copies, null and wordless texts of
     each other too.  A null `doc_id` counts as larger than all; of rows that are equal in id
     and text one stays.  An empty table gives no rows.
     """
@@ -326,20 +356,29 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
         F.xxhash64(F.lit(2), text).alias("_t2"),
     ]
     marked = cut_lineage(docs.select(*key, prints(F.col("text").cast("binary")).alias("prints")))
-    sets = [F.col("prints")[SHINGLE_WORDS + i].alias(f"_s{i}") for i in range(2)]
+    sets = [F.col("prints")[i].alias(f"_s{i}") for i in range(2)]
     classes = marked.groupBy(*sets).agg(
         F.min(F.struct("_id", "_t1", "_t2")).alias("least"), F.any_value("prints").alias("prints")
     )
     classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()))
-    keys = classes.select("id", F.explode(F.array_distinct(F.slice("prints", SHINGLE_WORDS + 3, COPY_KEYS))).alias("key"))
-    pairs = keys.select(F.col("id").alias("a"), "key").join(keys.select(F.col("id").alias("b"), "key"), "key")
+    own_keys = F.array_distinct(F.slice("prints", SKETCH_WORDS + 4, COPY_KEYS))
+    keys = classes.select("id", F.explode(own_keys).alias("key"))
+    sketches = classes.select("id", F.col("prints")[2].alias("size"), F.slice("prints", 4, SKETCH_WORDS).alias("bits"))
+    met = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = cut_lineage(keys.join(met, "key").select("id", "key"))
+    texts = classes.join(met.select("id").distinct(), "id", "left_semi").select("id", "least.*")
+    texts = docs.select(*key, "text").join(texts, ["_id", "_t1", "_t2"])
+
+    @F.arrow_udf(returnType="binary")
+    def packed(texts: pa.Array) -> pa.Array:
+        found = (np.unique(shingle_hashes(t or b"", SHINGLE, 42)) for t in texts.to_pylist())
+        return pa.array([pack_sorted(x) for x in found], pa.binary())
+
+    shingles = texts.select("id", packed(F.col("text").cast("binary")).alias("packed"))
+    shingles = cut_lineage(shingles.dropDuplicates(["id"]))
+    pairs = met.select(F.col("id").alias("a"), "key").join(met.select(F.col("id").alias("b"), "key"), "key")
     pairs = pairs.filter("a < b").select("a", "b").distinct()
-    words = F.slice("prints", 1, SHINGLE_WORDS)
-    for end in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("id").alias(end), words.alias(f"print_{end}")), end)
-    differ = F.zip_with("print_a", "print_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    differ = F.aggregate(differ, F.lit(0), lambda n, x: n + x)
-    links = pairs.filter(differ <= check_limit(similarity, 64 * SHINGLE_WORDS)).select("a", "b")
+    links = similar_pairs(pairs, sketches, shingles, similarity)
     roots = components(links).withColumnRenamed("node", "id")
     known = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = known.groupBy("root").agg(F.min("least").alias("first")).select("first.*")

@@ -176,10 +176,36 @@ def test_edited_copies_are_found(spark):
     similar = [jaccard(a[1], b[1]) for a, b in zip(rows[::2], rows[1::2], strict=True)]
     assert min(similar) >= 0.8 and np.median(similar) < 0.9
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id for r in simhash.keep_one_of_each(frame, 0.7).collect()}
+    found = {r.doc_id for r in simhash.keep_one_of_each(frame).collect()}
     assert found == {i for i, _ in rows[::2]}
 
 
+def mixed_copies():
+    """Short chains, sets of 4 to 40 words around the least similarity, repeated words, and a template's pages."""
+    rows, pick = [], np.random.default_rng(13)
+    for i in range(120):
+        words = [f"u{i}.{x}" for x in range(pick.integers(4, 40))]
+        for k in range(4):
+            text = " ".join(words)
+            rows.append((len(rows), text if k % 2 else f" {text.upper()}  "))
+            words[pick.integers(0, len(words)) if k % 2 else -1] = f"x{i}.{k}"
+            words = words + [f"y{i}.{k}"] * int(pick.integers(0, 3))
+    rows += [(len(rows) + i, f"e{i % 3} a a a a a a b") for i in range(9)]
+    head = [f"t{x}" for x in range(40)]
+    return rows + [(len(rows) + i, " ".join(head + [f"own{i}.{x}" for x in range(i % 14)])) for i in range(150)]
+
+
+def expected_of(rows):
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    return {rows[i][0] for i in set(roots_of(len(rows), pairs))}
+
+
+def test_copies_are_counted_exactly(spark):
+    rows = mixed_copies()
+    found = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found) == sorted(expected_of(rows))
+
+
 def test_lattice_decoding():
     y = np.random.default_rng(4).standard_normal((200, 8)) * 2
     point = lattice.nearest_point(y)
