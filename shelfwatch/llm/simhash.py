@@ -48,11 +48,6 @@ def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
     return np.fromiter((hash_(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
 
 
-def word_hashes(text: bytes, seed: int) -> np.ndarray:
-    """XXH64 of every distinct word."""
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in set(text.lower().split())), np.uint64)
-
-
 def fingerprint(hashes: np.ndarray) -> int:
     """A bit is set if it is set in more than half of the hashes; zero without hashes.  Signed."""
     ones = np.zeros(64, np.int64)
@@ -278,6 +273,7 @@ COPY_KEYS = 40
 KEY_ROWS = 5
 SKETCH_WORDS = 8
 SHINGLE = 5
+BLOCK = 256
 SIMILARITY = 0.8
 
 
@@ -321,9 +317,10 @@ def similar_pairs(pairs: DataFrame, sketches: DataFrame, shingles: DataFrame, si
     total = F.col("size_a") + F.col("size_b")
     pairs = pairs.filter(apart * (part + whole) <= total * (whole - part))
     pairs = pairs.filter(F.least("size_a", "size_b") * whole >= F.greatest("size_a", "size_b") * part).select("a", "b")
-    for end in ("a", "b"):
-        own = shingles.select(F.col("id").alias(end), F.col("packed").alias(f"packed_{end}"))
-        pairs = spread_join(pairs, own, [end], "inner", ["a", "b"], 4)
+    few = cut_lineage(pairs)
+    pairs = few.join(shingles.select(F.col("id").alias("a"), F.col("packed").alias("packed_a")), "a")
+    hubs = shingles.join(few.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
+    pairs = spread_join(pairs, hubs.select(F.col("id").alias("b"), F.col("packed").alias("packed_b")), ["b"], "inner", ["a"], 4)
 
     @F.arrow_udf(returnType="boolean")
     def similar(first: pa.Array, second: pa.Array) -> pa.Array:
@@ -337,6 +334,106 @@ def similar_pairs(pairs: DataFrame, sketches: DataFrame, shingles: DataFrame, si
     return pairs.filter(similar("packed_a", "packed_b")).select("a", "b")
 
 
+def _star_pairs(seats: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Every id with the smallest and the largest of each of its keys."""
+    hubs = crowds.select("key", "least", "most")
+    near = spread_join(seats, hubs, ["key"], "inner", ["id"], 4)
+    ends = F.when(F.col("id") == F.col("least"), F.array("most")).otherwise(F.array("least", "most"))
+    return near.select(F.col("id").alias("x"), F.explode(ends).alias("y")).filter("x <> y")
+
+
+def possible_pairs(t: pa.Table, part: int, whole: int) -> tuple[np.ndarray, ...]:
+    """Positions of two rows of one group with different labels that may be similar, and in how many bits they differ."""
+    keys = ["key", "low", "high"]
+    starts = group_starts(t, keys)
+    sizes = np.diff(np.append(starts, t.num_rows))
+    group, small = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes <= 16, sizes)
+    label, own, size = (t[c].to_numpy() for c in ("label", "own", "size"))
+    within = t["low"].to_numpy() == t["high"].to_numpy()
+    bits = pa.concat_arrays(t["bits"].chunks).flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def compare(x: np.ndarray, y: np.ndarray) -> None:
+        keep = (label[x] != label[y]) & (within[x] | (own[x] != own[y]))
+        keep &= np.minimum(size[x], size[y]) * whole >= np.maximum(size[x], size[y]) * part
+        x, y = x[keep], y[keep]
+        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+        keep = apart * (part + whole) <= (size[x] + size[y]) * (whole - part)
+        found.append((x[keep], y[keep], apart[keep]))
+
+    for step in range(1, 16):
+        x = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
+        compare(x, x + step)
+    for start, n in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
+        for at in range(start, start + n, 128):
+            x, y = np.meshgrid(np.arange(at, min(at + 128, start + n)), np.arange(at, start + n), indexing="ij")
+            compare(x[x < y], y[x < y])
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _block_pairs(seats: DataFrame, crowds: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Pairs of ids of one key with different labels that may be similar: all, or for every id its nearest.
+
+    The ids of a key are dealt to blocks, and each two blocks are compared in a task of their own.
+    """
+    part, whole = Fraction(str(similarity)).as_integer_ratio()
+    met = spread_join(seats, crowds.select("key", "n"), ["key"], "inner", ["id"], 4)
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    met = met.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    place = ["key", "low", "high"]
+    met = met.select(*place, "own", "id", "label", "size", "bits").repartition(*place).sortWithinPartitions(*place)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, place):
+            x, y, apart = possible_pairs(t, part, whole)
+            if nearest:
+                x, y, apart = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([apart, apart])
+                order = np.lexsort((apart, x))
+                x, y = x[order], y[order]
+                first = np.diff(x, prepend=-1) > 0
+                x, y = x[first], y[first]
+            ids = t["id"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x], pa.int64()), pa.array(ids[y], pa.int64())], ["x", "y"])
+
+    return met.mapInArrow(pairs, "x long, y long")
+
+
+def copy_roots(met: DataFrame, sketches: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """`node, root` of the groups connected by similar pairs among the ids that share a key.
+
+    First every id is compared with two others of each of its keys, which joins nearly all of a
+    group.  Only keys that still hold several groups are searched further, in blocks: for every
+    id the nearest of another group, then all pairs of different groups that are still open.
+    Pairs of one group are never needed, so the result is that of comparing all.
+    """
+    links = tried = None
+    roots = met.sparkSession.createDataFrame([], "node long, root long")
+    for step in ("stars", "nearest", "all"):
+        known = sketches.join(roots.withColumnRenamed("node", "id"), "id", "left")
+        seats = met.join(known.withColumn("label", F.coalesce("root", "id")).drop("root"), "id")
+        crowds = seats.groupBy("key").agg(
+            F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"),
+            F.min("label").alias("_low"), F.max("label").alias("_high"),
+        )
+        crowds = crowds.filter("_low <> _high")
+        if step == "stars":
+            pairs = _star_pairs(met, crowds)
+        else:
+            pairs = _block_pairs(seats, cut_lineage(crowds), similarity, step == "nearest")
+        pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        pairs = cut_lineage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        tried = pairs if tried is None else tried.union(pairs)
+        found = cut_lineage(similar_pairs(pairs, sketches, shingles, similarity))
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            roots = components(links)
+    return roots
+
+
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `docs`, all columns, without near copies: of every group the smallest `doc_id` stays.
 
@@ -376,10 +473,7 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
 
     shingles = texts.select("id", packed(F.col("text").cast("binary")).alias("packed"))
     shingles = cut_lineage(shingles.dropDuplicates(["id"]))
-    pairs = met.select(F.col("id").alias("a"), "key").join(met.select(F.col("id").alias("b"), "key"), "key")
-    pairs = pairs.filter("a < b").select("a", "b").distinct()
-    links = similar_pairs(pairs, sketches, shingles, similarity)
-    roots = components(links).withColumnRenamed("node", "id")
+    roots = copy_roots(met, sketches, shingles, similarity).withColumnRenamed("node", "id")
     known = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = known.groupBy("root").agg(F.min("least").alias("first")).select("first.*")
     one = Window.partitionBy("_t1", "_t2", "_id").orderBy(F.lit(0))

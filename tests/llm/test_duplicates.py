@@ -200,12 +200,29 @@ def expected_of(rows):
     return {rows[i][0] for i in set(roots_of(len(rows), pairs))}
 
 
-def test_copies_are_counted_exactly(spark):
+@pytest.mark.parametrize("block", [256, 3])
+def test_copies_are_counted_exactly(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
     rows = mixed_copies()
     found = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in found) == sorted(expected_of(rows))
 
 
+def test_pages_of_a_template_are_not_all_compared(spark, monkeypatch):
+    compared, similar_pairs = [], simhash.similar_pairs
+
+    def counted(pairs, *others):
+        compared.append(pairs.count())
+        return similar_pairs(pairs, *others)
+
+    monkeypatch.setattr(simhash, "similar_pairs", counted)
+    head = [f"t{x}" for x in range(200)]
+    rows = [(i, " ".join([*head[: i % 200], f"own{i}", *head[i % 200 :]])) for i in range(400)]
+    found = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in found] == [0]
+    assert 0 < sum(compared) < 400 * 20
+
+
 def test_lattice_decoding():
     y = np.random.default_rng(4).standard_normal((200, 8)) * 2
     point = lattice.nearest_point(y)
