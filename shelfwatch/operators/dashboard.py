@@ -9,8 +9,6 @@ from ..functions.scoring import platform_tier, score_tier
 from ..session import cut_lineage
 from .ranking import first_rows, number_rows, spread_join
 
-FIRST_SOURCES = 1000
-
 
 def stats(games: DataFrame, feeds: DataFrame) -> DataFrame:
     """One row from one pass over each table.  `total_platforms` counts feed rows."""
@@ -35,12 +33,15 @@ def numbered_sources(sources: DataFrame) -> DataFrame:
     )
 
 
-def nested(games: DataFrame, sources: DataFrame, first_sources: int = FIRST_SOURCES) -> DataFrame:
-    """Games with the list of their first `first_sources` sources by domain and URL, empty when there are none.
+def nested(games: DataFrame, sources: DataFrame, first_sources: int | None = None) -> DataFrame:
+    """Games with the list of all their sources by domain and URL, empty when there are none.
 
-    One row per game, whatever its number of sources; `numbered_sources` has all of them.
+    One row per game, whatever its number of sources; `first_sources` shows only the first so
+    many, and `numbered_sources` has them as rows.
     """
-    shown = first_rows(sources.select("game_id", "domain", "url"), ["game_id"], ["domain", "url"], first_sources, "n")
+    shown = sources.select("game_id", "domain", "url")
+    if first_sources is not None:
+        shown = first_rows(shown, ["game_id"], ["domain", "url"], first_sources, "n")
     lists = shown.groupBy(F.col("game_id").alias("id")).agg(
         F.sort_array(F.collect_list(F.struct("domain", "url"))).alias("game_sources")
     )

@@ -109,6 +109,13 @@ def test_pages(games, sources):
     assert {("2", 1, "u1"), ("2", 2, "u2"), ("3", 1, "u3"), ("5", 1, "u4")} <= numbered
 
 
+def test_no_source_is_lost(spark, games):
+    many = spark.range(1500).select(F.lit("2").alias("game_id"), F.lit("d1").alias("domain"), F.format_string("u%04d", "id").alias("url"))
+    for rows in (dashboard.nested(games, many), dashboard.games(games, many, limit=5)):
+        urls = {r.id: [s.url for s in r.game_sources] for r in rows.collect()}
+        assert urls["2"] == [f"u{i:04}" for i in range(1500)]
+
+
 def test_cards(games):
     cards = {r.clean_name: r for r in dashboard.card(games).collect()}
     assert [cards[n].score_tier for n in ("one", "two", "three", "four")] == ["gray", "cyan", "yellow", "magenta"]
