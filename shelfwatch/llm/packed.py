@@ -22,7 +22,7 @@ def bucket_slices(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, slice
     """Non-empty runs of sorted hashes by their leading bits."""
     bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     starts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
-    for a, b in zip(starts, np.append(starts[1:], len(hashes)), strict=True):
+    for a, b in zip(starts, np.append(starts[1:], len(hashes))):
         yield int(bucket[a]), slice(a, b)
 
 

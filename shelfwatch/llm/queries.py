@@ -11,7 +11,21 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shared_path
 from ..workloads.registry import Query
-from . import context_tree, lattice, media, mixing, packing, quality, simhash, suffix_dedup, token_files, warc
+from . import (
+    alignment,
+    context_tree,
+    divergence,
+    lattice,
+    media,
+    mixing,
+    packing,
+    quality,
+    relative_lz,
+    simhash,
+    suffix_dedup,
+    token_files,
+    warc,
+)
 from .ship import ship
 
 QUERIES: dict[str, Query] = {}
@@ -138,6 +152,87 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizations of all texts, and how common the links are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabularies = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    groups = F.col("groups")
+    digest = F.when(groups == "", "").otherwise(F.sha2(groups, 256)).alias("groups_sha256")
+    aligned = alignment.align(docs, *vocabularies)
+    aligned = cut_lineage(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "links"))
+    return alignment.score_links(aligned, alignment.link_counts(aligned)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+occ AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS c FROM occ GROUP BY lang, source, term),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (
+  SELECT lang, source, term, c, CAST(1 + 1000000000::HUGEINT * (c + 5)
+    // (sum(c) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS BIGINT) AS p
+  FROM dense),
+overall AS (
+  SELECT lang, term, CAST(1 + 1000000000::HUGEINT * (sum(c) + 5)
+    // (sum(sum(c)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS BIGINT) AS q
+  FROM dense GROUP BY lang, term),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM shares a
+  JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM groups g JOIN groups o ON o.lang = g.lang AND o.source <> g.source
+  LEFT JOIN apart a ON a.lang = g.lang AND a.source = g.source AND a.item = o.source),
+terms AS (
+  SELECT s.lang, s.source, 'term' AS part, s.term AS item, p - q AS value
+  FROM shares s JOIN overall o ON o.lang = s.lang AND o.term = s.term WHERE c > 0 AND p > q)
+SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_repeated_passages"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT r, doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM docs),
+windows AS (
+  SELECT r, doc_id, i, md5(string_agg(w, ' ') OVER later) AS s FROM words
+  WINDOW later AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  QUALIFY count(*) OVER later = 50),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+hits AS (SELECT r, i FROM windows JOIN firsts USING (s) WHERE doc_id > first),
+marked AS (
+  SELECT r, i, w, max(h.i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words LEFT JOIN hits h USING (r, i))
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, count(m.i) FILTER (m.gone) AS n_removed,
+  sha256(coalesce(string_agg(m.w, ' ' ORDER BY m.i) FILTER (NOT m.gone), '')) AS kept_sha256
+FROM docs d LEFT JOIN marked m USING (r) GROUP BY d.r, d.doc_id, d.ws
+"""
+
+
+@query
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the passages that earlier documents hold, as digests."""
+    rows = relative_lz.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate(F.col("spans")["length"], F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -13,14 +13,15 @@ SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 def test_queries_are_registered():
     names = __spark_entry__.queries()
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
-def test_vectors_like_sql(spark):
-    name = "op9_embedding_groups"
+@pytest.mark.parametrize("name", ["op9_embedding_groups", "op12_source_divergence", "op13_repeated_passages"])
+def test_like_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF_DIR}/embeddings.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     expected = con.sql(__spark_entry__.oracle_sql()[name]).df()
     found = __spark_entry__.queries()[name](spark, SF_DIR).toPandas()
     rows = [sorted(map(tuple, df[sorted(df.columns)].values.tolist())) for df in (expected, found)]
