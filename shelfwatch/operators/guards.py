@@ -1,8 +1,8 @@
 """Plausibility guards and the fold over the last accepted count.
 
 A check is compared with the last *accepted* check of its domain, so what counts
-as the baseline depends on all earlier decisions.  Run order is cut into spans of
-at most `SPAN` runs, and each span is summarised on its own:
+as the baseline depends on all earlier decisions.  The runs of a domain are counted off
+into spans of at most `SPAN`, and each span is summarised on its own:
 
     a check of count c is accepted from baseline b  <=>  c > 0 and c >= shrink * b
 
@@ -10,8 +10,9 @@ Let m be the largest count of a span.  From any baseline b with m >= shrink * b
 check of count m is accepted, whatever came before it in the span, so all such b
 leave the span with the same state; from a larger b every check of the span is
 rejected and b stays.  A span is therefore described by three values (m, the state
-it is left with, and the same for "no baseline yet"), and a domain with very many
-runs is folded in parallel, span by span.
+it is left with, and the same for "no baseline yet").  Neighbouring spans have the same
+description, so they are merged in a tree of rounds, and the states they are entered with
+come back down: a domain with very many runs is folded in parallel.
 """
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .ranking import number_rows
+
 MIN_FIRST = 10
 SHRINK = 0.5
 SPAN = 4096
+FAN = 64
 
 
 def check_status(new_count: Column, old_count: Column, min_first: int = MIN_FIRST, shrink: float = SHRINK) -> Column:
@@ -76,6 +81,11 @@ def _none() -> Column:
     return F.lit(None).cast(_STATE)
 
 
+def _zero() -> Column:
+    """A baseline that every check with URLs passes."""
+    return F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(-1).cast("bigint").alias("run")).cast(_STATE)
+
+
 def _step(guarded: bool, min_first: int, shrink: float):
     """Next state after one check."""
 
@@ -89,6 +99,18 @@ def _step(guarded: bool, min_first: int, shrink: float):
     return step
 
 
+def _leave(guarded: bool, shrink: float):
+    """Next state after a whole span, from its summary."""
+
+    def leave(state: Column, s: Column) -> Column:
+        if not guarded:
+            return s["r"]
+        moved = F.when((s["m"] > 0) & (s["m"] >= state["c"] * shrink), s["r"]).otherwise(state)
+        return F.when(state.isNull(), s["n"]).otherwise(moved)
+
+    return leave
+
+
 def fold_accepted(
     history: DataFrame,
     initial: DataFrame | None = None,
@@ -96,45 +118,58 @@ def fold_accepted(
     shrink: float = SHRINK,
     guarded: bool = True,
     span: int = SPAN,
+    fan: int = FAN,
 ) -> DataFrame:
     """`history(domain, run, url_count)`, one row per domain and integer run, to
     `(domain, run, url_count, baseline, baseline_run)`: the state before each run.
 
     `initial(domain, url_count)` holds baselines from before; their run is -1.
     With `guarded=False` every check is accepted, so the baseline is the previous run.
+    Runs are counted off into spans of at most `span`, whatever their numbers; up to `fan` neighbours are
+    merged per round until a domain has no more than `fan` of them, and states are handed down the same way.
     """
     step = _step(guarded, min_first, shrink)
-    rows = history.select(
-        "domain", F.floor(F.col("run") / span).alias("span"), F.col("run"), F.col("url_count").cast("bigint").alias("c")
-    )
-    spans = rows.groupBy("domain", "span").agg(F.sort_array(F.collect_list(F.struct("run", "c"))).alias("xs"))
-    start = F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(-1).cast("bigint").alias("run")).cast(_STATE)
-    summary = spans.select(
-        "domain",
-        "span",
-        F.array_max(F.transform("xs", lambda x: x["c"])).alias("m"),
-        F.aggregate("xs", start, step).alias("r"),
-        F.aggregate("xs", _none(), step).alias("n"),
-    )
-    per_domain = summary.groupBy("domain").agg(
-        F.sort_array(F.collect_list(F.struct("span", "m", "r", "n"))).alias("ss")
+    leave = _leave(guarded, shrink)
+    rows = history.select("domain", F.col("run"), F.col("url_count").cast("bigint").alias("c"))
+    placed = number_rows(rows, [F.col("domain"), F.col("run")], "at")
+    spans = placed.groupBy("domain", F.floor(F.col("at") / span).alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("run", "c"))).alias("xs")
     )
+    levels = [
+        cut_lineage(
+            spans.select(
+                "domain",
+                "part",
+                F.array_max(F.transform("xs", lambda x: x["c"])).alias("m"),
+                F.aggregate("xs", _zero(), step).alias("r"),
+                F.aggregate("xs", _none(), step).alias("n"),
+            )
+        )
+    ]
+    most = levels[0].groupBy("domain").count().agg(F.max("count")).first()[0] or 0
+    while most > fan:
+        merged = _neighbours(levels[-1], fan).select(
+            "domain",
+            "part",
+            F.array_max(F.transform("ss", lambda s: s["m"])).alias("m"),
+            F.aggregate("ss", _zero(), leave).alias("r"),
+            F.aggregate("ss", _none(), leave).alias("n"),
+        )
+        levels.append(cut_lineage(merged))
+        most = (most - 2) // fan + 2  # cut at fixed places, so both ends may be partly filled
+
+    top = levels[-1].groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("part", "m", "r", "n"))).alias("ss"))
     if initial is not None:
         state = F.struct(F.col("url_count").cast("bigint").alias("c"), F.lit(-1).cast("bigint").alias("run"))
-        base = initial.select("domain", state.cast(_STATE).alias("init"))
-        per_domain = per_domain.join(base, "domain", "left")
+        base = initial.select("domain", state.cast(_STATE).alias("before"))
+        entered = top.join(base, "domain", "left")
     else:
-        per_domain = per_domain.withColumn("init", _none())
-
-    def leave(state: Column, s: Column) -> Column:
-        if not guarded:
-            return s["r"]
-        moved = F.when((s["m"] > 0) & (s["m"] >= state["c"] * shrink), s["r"]).otherwise(state)
-        return F.when(state.isNull(), s["n"]).otherwise(moved)
-
-    before = _scan("ss", F.col("init"), leave, lambda s: s["span"])
-    starts = per_domain.select("domain", F.inline(before)).withColumnRenamed("key", "span")
-    entered = spans.join(starts.select("domain", "span", "before"), ["domain", "span"])
+        entered = top.withColumn("before", _none())
+    for level in [*levels[-2::-1], None]:
+        before = _scan("ss", F.col("before"), leave, lambda s: s["part"])
+        starts = entered.select("domain", F.inline(before)).select("domain", F.col("key").alias("part"), "before")
+        below = spans if level is None else _neighbours(level, fan)
+        entered = below.join(starts, ["domain", "part"])
     inside = _scan("xs", F.col("before"), step, lambda x: x["run"], lambda x: x["c"])
     return entered.select("domain", F.inline(inside)).select(
         "domain",
@@ -145,6 +180,13 @@ def fold_accepted(
     )
 
 
+def _neighbours(level: DataFrame, fan: int) -> DataFrame:
+    """Summaries of up to `fan` neighbouring parts of a domain, in order, under the number of their parent."""
+    return level.groupBy("domain", F.floor(F.col("part") / fan).alias("parent")).agg(
+        F.sort_array(F.collect_list(F.struct("part", "m", "r", "n"))).alias("ss")
+    ).withColumnRenamed("parent", "part")
+
+
 def _scan(xs: str, init: Column, step, key, value=lambda x: F.lit(None)) -> Column:
     """List of `(key, val, before)`: the state before each element of `xs`."""
     out_type = f"array<struct<key:bigint,val:bigint,before:{_STATE}>>"

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 SPAN = 65536
+SCAN_SPAN = 4096
 
 
 def running_totals(
@@ -48,6 +49,26 @@ def running_number(
     return running_totals(df, keys, order, {name: F.lit(1)}, span)
 
 
+def scan_totals(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], span: int = SCAN_SPAN
+) -> DataFrame:
+    """`running_totals` for any order columns and any share of the largest key: a segmented scan.
+
+    All rows are range-sorted by key and order and numbered; a key is summed in pieces of at most `span`
+    consecutive rows, and the totals of the pieces before it are carried over.  No group of rows is
+    larger than `span`, whatever the values of the order columns.
+    """
+    placed = number_rows(df, [F.col(c) for c in (*keys, *order)], "_place")
+    return running_totals(placed, keys, ["_place"], values, span).drop("_place")
+
+
+def scan_number(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n", span: int = SCAN_SPAN
+) -> DataFrame:
+    """Row number inside a key, from 1, by `scan_totals`."""
+    return scan_totals(df, keys, order, {name: F.lit(1)}, span)
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, name: str) -> DataFrame:
     """The first `n` rows of every key with their number.
 

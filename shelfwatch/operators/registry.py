@@ -12,7 +12,7 @@ Written as sets: the first candidate of a clean name decides "new", the accepted
 candidate of a (clean name, domain) ends the reports of that pair.  Unless a URL is
 listed under two domains, that is the first candidate of the pair and aggregates
 with map-side combine find it.  Pairs that hold such a shared URL compete for it;
-they are resolved separately and exactly by `_greedy`.
+they are resolved separately and exactly by `settle`.
 """
 
 from __future__ import annotations
@@ -21,15 +21,16 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import score
 from ..functions.text import entity_id, timestamp
-from ..session import cut_lineage
-from .ranking import first_per, running_totals
+from ..session import cut_lineage, shared_path
+from .ranking import first_per, scan_number, scan_totals, spread_join
 
 ORDER = ["feed_ord", "pos", "url"]
+BLOCK = 65536
 CANDIDATE = [*ORDER, "domain", "name", "clean_name"]
 
 
@@ -38,6 +39,7 @@ class UpsertResult(NamedTuple):
     games: DataFrame
     sources: DataFrame
     new_sources: DataFrame
+    changed_games: DataFrame
 
 
 class Touched(NamedTuple):
@@ -131,16 +133,39 @@ def _accept(candidates: DataFrame, touched: Touched) -> tuple[DataFrame, DataFra
     if marked.filter("shared").isEmpty():
         return clean, None
     open_edges = marked.filter("not taken").join(dirty, ["clean_name", "domain"], "left_semi")
-    settled = _greedy(open_edges.select("clean_name", "domain", *ORDER, "name"))
+    settled = settle(open_edges.select("clean_name", "domain", *ORDER, "name"))
     return clean.unionByName(settled), dirty
 
 
-def _greedy(edges: DataFrame) -> DataFrame:
+def settle(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """First-come choice where each domain and each URL of a clean name is used once.
 
-    The open edges of a clean name are read once in order, whatever their number; only the domains
-    and URLs taken so far are held.
+    The edges of a clean name are numbered in order and cut into blocks.  A round settles the first blocks
+    that have about `block` edges left, which one task can hold, and then strikes out, over all tasks, every
+    edge whose domain or URL has just been taken.  What a block leaves behind is thus small, and the next
+    round starts at the first edge that is still open.
     """
+    numbered = scan_number(edges, ["clean_name"], [*ORDER, "domain", "name"], "_n")
+    rest = cut_lineage(numbered.select(*edges.columns, F.floor((F.col("_n") - 1) / block).alias("_block")))
+    path, rounds = shared_path(edges.sparkSession, "settled"), 0
+    before = Window.partitionBy("clean_name").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        counts = rest.groupBy("clean_name", "_block").agg(F.count("*").alias("_open"))
+        due = counts.withColumn("_before", F.coalesce(F.sum("_open").over(before), F.lit(0))).filter(F.col("_before") < block)
+        due = cut_lineage(due.select("clean_name", "_block"))
+        now = spread_join(rest, due, ["clean_name", "_block"], "left_semi", ["url"])
+        _greedy(now.select(*edges.columns)).write.parquet(f"{path}/round={rounds}")
+        rounds += 1
+        won = edges.sparkSession.read.schema(edges.schema).parquet(f"{path}/round={rounds - 1}")
+        rest = spread_join(rest, due, ["clean_name", "_block"], "left_anti", ["url"])
+        rest = rest.join(won.select("clean_name", "url"), ["clean_name", "url"], "left_anti")
+        rest = cut_lineage(spread_join(rest, won.select("clean_name", "domain"), ["clean_name", "domain"], "left_anti", ["url"]))
+        if rest.isEmpty():
+            return edges.sparkSession.read.schema(edges.schema).parquet(*[f"{path}/round={i}" for i in range(rounds)])
+
+
+def _greedy(edges: DataFrame) -> DataFrame:
+    """The choice among the edges of one round, read once in order; the domains and URLs taken so far are held."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, domains, urls = None, set(), set()
@@ -195,6 +220,7 @@ def upsert_entities(candidates: DataFrame, games: DataFrame, sources: DataFrame,
 
     `changes(feed_ord, pos, domain, url, name, clean_name, is_new, is_cross, platform_count)`:
     the count of a cross row is the one before its own refresh, NULL for a new entity.
+    `new_sources` and `changed_games` are the rows by which the next registry differs.
     """
     candidates = cut_lineage(candidates.select(*CANDIDATE))
     touched = _touched(candidates, games, sources)
@@ -206,7 +232,7 @@ def upsert_entities(candidates: DataFrame, games: DataFrame, sources: DataFrame,
 
     # The first report of an unknown clean name creates the entity.
     rows = accepted if dirty is None else accepted.unionByName(_contested_reports(candidates, dirty, accepted))
-    counted = running_totals(
+    counted = scan_totals(
         rows, ["clean_name"], [*ORDER, "domain"], {"_sum": F.col("added"), "_rank": F.lit(1)}
     ).join(known, "clean_name", "left")
     is_new = F.col("game_id").isNull() & (F.col("_rank") == 1)
@@ -224,14 +250,17 @@ def upsert_entities(candidates: DataFrame, games: DataFrame, sources: DataFrame,
     totals = gained.join(known.select("clean_name", "held"), "clean_name", "left").select(
         "clean_name", (F.col("gained") + F.coalesce("held", F.lit(0))).cast("int").alias("_total")
     )
-    fresh = insert_games(candidates, games, as_of)
-    merged = games.unionByName(fresh.select(*games.columns)).join(totals, "clean_name", "left")
+    fresh = insert_games(candidates, touched.known, as_of).select(*games.columns)
+    grown = games.join(totals.select("clean_name"), "clean_name", "left_semi").select(*games.columns)
+    merged = fresh.unionByName(grown).join(totals, "clean_name", "left")
     n = F.col("_total")
     refreshed = {"platform_count": n, "score": score(n), "updated_at": timestamp(as_of)}
-    games2 = merged.select(
+    changed = merged.select(
         *[F.when(n.isNotNull(), refreshed[c]).otherwise(F.col(c)).alias(c) if c in refreshed else c for c in games.columns]
     )
-    return UpsertResult(changes, games2, sources.unionByName(new_sources.select(*sources.columns)), new_sources)
+    games2 = games.join(totals.select("clean_name"), "clean_name", "left_anti").select(*games.columns).unionByName(changed)
+    sources2 = sources.unionByName(new_sources.select(*sources.columns))
+    return UpsertResult(changes, games2, sources2, new_sources, changed)
 
 
 def all_changes(new: DataFrame, cross: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import url_host, with_url_parts
 from .maintenance import retain_logs
-from .ranking import first_rows, running_number
+from .ranking import first_rows, running_number, scan_number
 
 # Path segments that are not keywords.
 PLAIN_SEGMENTS = ("index", "page", "post", "article", "news", "blog")
@@ -34,9 +34,8 @@ def by_domain(checks: DataFrame, diff: DataFrame) -> DataFrame:
 
 def domain_urls(diff: DataFrame) -> DataFrame:
     """The URL list of each domain: `(domain, n, url)`."""
-    return running_number(diff.select("domain", "feed_ord", "pos", "url"), ["domain"], ["feed_ord", "pos", "url"]).select(
-        "domain", "n", "url"
-    )
+    rows = diff.select("domain", "feed_ord", "pos", "url")
+    return scan_number(rows, ["domain"], ["feed_ord", "pos", "url"]).select("domain", "n", "url")
 
 
 def active_domains(totals: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ class CheckResult(NamedTuple):
     snapshots: DataFrame
     snapshot_urls: DataFrame
     advanced_urls: DataFrame
+    advanced: DataFrame
 
 
 class DailyResult(NamedTuple):
@@ -47,23 +48,30 @@ def fetch_error(status: Column, error: Column) -> Column:
     return F.coalesce(blank_to_null(error), F.concat(F.lit("HTTP "), status.cast("string")), F.lit("no document"))
 
 
+def listed_rows(documents: DataFrame, mode: str) -> DataFrame:
+    """The URLs of all `documents(domain, ref, content)` as written rows `(domain, ref, pos, url)`.
+
+    Bodies are read and parsed here only, once per run; a document without URLs has one row without a URL.
+    """
+    urls = F.posexplode_outer(url_array(F.col("content"), mode)).alias("pos", "url")
+    rows = documents.select("domain", "ref", urls)
+    return cut_lineage(rows.withColumn("pos", F.col("pos").cast("bigint")))
+
+
 def pair_diff(pairs: DataFrame, listed: DataFrame) -> DataFrame:
     """For every `pairs(feed_ord, domain, left_ref, right_ref)` the URLs of the left
     document that the right one lacks, as `(feed_ord, domain, pos, url)`.
 
-    `listed(domain, ref, urls)` holds the URL lists of all documents; pairs are narrow,
+    `listed(domain, ref, pos, url)` holds the URLs of all documents; pairs are narrow,
     one per feed.
     """
+    listed = listed.filter("url is not null")
     wanted = pairs.select("domain", F.col("left_ref").alias("ref"), "feed_ord", "right_ref")
-    left = listed.join(wanted, ["domain", "ref"]).select(
-        "feed_ord", "domain", "right_ref", F.posexplode("urls").alias("pos", "url")
-    )
+    left = listed.join(wanted, ["domain", "ref"]).select("feed_ord", "domain", "right_ref", "pos", "url")
     held = pairs.select("domain", F.col("right_ref").alias("ref")).distinct()
-    right = listed.join(held, ["domain", "ref"], "left_semi").select(
-        "domain", F.col("ref").alias("right_ref"), F.explode("urls").alias("url")
-    )
+    right = listed.join(held, ["domain", "ref"], "left_semi").select("domain", F.col("ref").alias("right_ref"), "url")
     return left.join(right.distinct(), ["domain", "right_ref", "url"], "left_anti").select(
-        "feed_ord", "domain", F.col("pos").cast("bigint").alias("pos"), "url"
+        "feed_ord", "domain", "pos", "url"
     )
 
 
@@ -79,16 +87,14 @@ def snapshot_check(
 ) -> CheckResult:
     """Check every document against the last accepted snapshot of its domain.
 
-    URL rows are compared with the stored snapshot first, and only the few that
-    are left are matched with their check, so URL lists are never shuffled just
-    to be filtered.  The narrow fold result (one row per feed) is checkpointed,
-    because five outputs read it.
+    The bodies are parsed once; every output reads the written URL rows.  These are
+    compared with the stored snapshot first, and only the few that are left are
+    matched with their check, so URL lists are never shuffled just to be filtered.
+    The narrow fold result (one row per feed) is checkpointed, because five outputs
+    read it.
     """
-    ok = fetched(docs)
-    listed = docs.filter(ok).select(
-        "feed_ord", "domain", F.col("feed_ord").alias("ref"), url_array(F.col("content"), mode).alias("urls")
-    )
-    counts = listed.select("domain", F.col("feed_ord").alias("run"), F.size("urls").alias("url_count"))
+    listed = listed_rows(docs.filter(fetched(docs)).select("domain", F.col("feed_ord").alias("ref"), "content"), mode)
+    counts = listed.groupBy("domain", F.col("ref").alias("run")).agg(F.count("url").alias("url_count"))
     folded = cut_lineage(accepted_baseline(counts, snapshots, min_first, shrink))
 
     meta = docs.select("feed_ord", "feed_url", "domain", fetch_error(docs["status"], docs["error"]).alias("_failed"))
@@ -117,15 +123,11 @@ def snapshot_check(
     compared = folded.filter("status = 'ok'").select(
         F.col("run").alias("feed_ord"), "domain", F.col("run").alias("left_ref"), F.col("baseline_run").alias("right_ref")
     )
-    rows = listed.select("feed_ord", "domain", F.posexplode("urls").alias("pos", "url"))
+    rows = listed.filter("url is not null").select(F.col("ref").alias("feed_ord"), "domain", "pos", "url")
     unseen = rows.join(snapshot_urls.select("domain", "url").distinct(), ["domain", "url"], "left_anti")
     stored = compared.filter(F.col("right_ref") == CURRENT).select("feed_ord", "domain")
-    from_stored = unseen.join(stored, ["feed_ord", "domain"], "left_semi").select(
-        "feed_ord", "domain", F.col("pos").cast("bigint").alias("pos"), "url"
-    )
-    diff = from_stored.unionByName(
-        pair_diff(compared.filter(F.col("right_ref") != CURRENT), listed.drop("feed_ord"))
-    )
+    from_stored = unseen.join(stored, ["feed_ord", "domain"], "left_semi").select("feed_ord", "domain", "pos", "url")
+    diff = from_stored.unionByName(pair_diff(compared.filter(F.col("right_ref") != CURRENT), listed))
 
     last = folded.filter("accepted").groupBy("domain").agg(F.max_by(F.struct("run", "url_count"), "run").alias("w"))
     winners = last.select("domain", "w.run", "w.url_count")
@@ -136,17 +138,14 @@ def snapshot_check(
         timestamp(as_of).alias("updated_at"),
     )
     passed_over = folded.join(winners, ["domain", "run"], "left_anti").select(F.col("run").alias("feed_ord"))
-    advanced = (
-        listed.join(passed_over, "feed_ord", "left_anti")
-        .select("domain", F.posexplode("urls").alias("pos", "url"))
-        .withColumn("pos", F.col("pos").cast("bigint"))
-    )
+    advanced = rows.join(passed_over, "feed_ord", "left_anti").select("domain", "pos", "url")
     return CheckResult(
         checks,
         diff,
         upsert_snapshots(snapshots, headers),
         replace_urls(snapshot_urls, advanced, winners.select("domain")),
         advanced,
+        headers,
     )
 
 
@@ -298,7 +297,7 @@ def daily_check(docs: DataFrame, state: DataFrame, as_of, force: bool = False) -
         .unionByName(state.select("domain", F.lit(LATEST).cast("bigint").alias("ref"), F.col("latest").alias("content")))
         .filter("content is not null")
     )
-    listed = documents.select("domain", "ref", url_array(F.col("content"), "lenient").alias("urls"))
+    listed = listed_rows(documents, "lenient")
     pairs = refs.filter("left_ref is not null and right_ref is not null")
     diff = pair_diff(pairs.select("feed_ord", "domain", "left_ref", "right_ref"), listed)
     checks = refs.select(

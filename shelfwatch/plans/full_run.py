@@ -36,6 +36,9 @@ class RunResult(NamedTuple):
     logs: DataFrame
     log_items: DataFrame
     report: dict[str, DataFrame]
+    added: dict[str, DataFrame]
+    as_of: object
+    keep_days: int
 
 
 def load_state(spark: SparkSession, root: str) -> State:
@@ -55,14 +58,16 @@ def full_run(docs: DataFrame, state: State, as_of, gen: int = 0, keep_days: int
 
     `docs` carries `feed_ord` from `feeds.feed_order`.  The candidates are
     checkpointed once: they are a small part of the URLs and many steps read them.
+    The result has the next tables whole, and `added`, the rows by which they differ.
     """
     check = snapshot_check(docs, state.snapshots, state.snapshot_urls, as_of, gen)
     diff = cut_lineage(check.diff)
     up = registry.upsert_entities(cut_lineage(extract_entities(diff)), state.games, state.sources, as_of)
     changes = cut_lineage(up.changes)
-    logs = state.logs.unionByName(registry.log_rows(changes, as_of))
+    new_logs, new_items = registry.log_rows(changes, as_of), registry.log_items(changes, as_of)
+    logs = state.logs.unionByName(new_logs)
     kept, _ = retain_logs(logs, as_of, keep_days)
-    items = state.log_items.unionByName(registry.log_items(changes, as_of))
+    items = state.log_items.unionByName(new_items)
     kept_items = items.join(kept.select(kept["id"].alias("log_id")), "log_id", "left_semi").select(*items.columns)
     return RunResult(
         with_new_counts(check.checks, diff),
@@ -75,25 +80,22 @@ def full_run(docs: DataFrame, state: State, as_of, gen: int = 0, keep_days: int
         kept,
         kept_items,
         reports.run_report(check.checks, changes, logs, as_of, keep_days),
+        {
+            "games": up.changed_games,
+            "game_sources": up.new_sources,
+            "snapshot_urls": check.advanced_urls,
+            "snapshots": check.advanced,
+            "update_logs": new_logs,
+            "update_log_items": new_items,
+        },
+        as_of,
+        keep_days,
     )
 
 
 def commit_run(spark: SparkSession, root: str, gen: int, result: RunResult, batch: int | None = None) -> None:
-    """Registry first, then snapshots: a run that stops in between finds the same news again."""
-    tables.commit(
-        spark,
-        root,
-        gen,
-        {
-            "games": result.games,
-            "game_sources": result.sources,
-            "snapshot_urls": result.advanced_urls,
-            "snapshots": result.snapshots,
-            "update_logs": result.logs,
-            "update_log_items": result.log_items,
-        },
-        batch,
-    )
+    """Adds what the run changed, registry first, then snapshots: a run that stops in between finds the same news again."""
+    tables.commit(spark, root, gen, result.added, batch, False, result.as_of, result.keep_days)
 
 
 def forced_run(docs: DataFrame, state: DataFrame, as_of) -> tuple[DailyResult, dict[str, DataFrame]]:

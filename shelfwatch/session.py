@@ -14,7 +14,8 @@ def build_session(app: str = "shelfwatch", master: str | None = None, **conf: st
 
     Skewed joins are split at run time even when that costs one more
     exchange, since one site may own a large share of all rows.  Joins whose
-    partitions turn out small are hashed instead of sorted.
+    partitions turn out small are hashed instead of sorted.  Streaming state is kept
+    outside the heap and only its changes are written per batch.
     """
     b = (
         SparkSession.builder.appName(app)
@@ -23,6 +24,11 @@ def build_session(app: str = "shelfwatch", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
+        .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     )
     if master:
         b = b.master(master)

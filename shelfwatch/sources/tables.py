@@ -1,11 +1,13 @@
 """Table versions on plain Parquet.
 
-A run writes each table it changes to `<root>/<table>/gen=<n>` and then appends one
+A run writes what it changes of a table to `<root>/<table>/version=<n>` and then appends one
 manifest row per table.  Readers follow the manifest, so they see all tables of a run
 or none, and a run that is repeated writes the same folders again.
 
-`snapshot_urls` is append-only: a run writes the URLs of the snapshots it accepted, and
-the header row of a domain says which version holds its URLs.
+A version is whole or an addition to those since the last whole one, so a run that changes k
+entities writes k rows.  Of `games` and `snapshots` the last row of a key counts; the URLs of a
+snapshot are those of the version its header names; log rows are dropped by the time of their
+version, so retention opens no log file.
 """
 
 from __future__ import annotations
@@ -15,12 +17,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.text import timestamp
+from ..operators.quality import days_before
 from ..operators.ranking import spread_join
 from ..schemas import TABLES
 
 MANIFEST = T.StructType(
-    [T.StructField("table", T.StringType()), T.StructField("gen", T.LongType()), T.StructField("batch", T.LongType())]
+    [
+        T.StructField("table", T.StringType()),
+        T.StructField("version", T.LongType()),
+        T.StructField("batch", T.LongType()),
+        T.StructField("whole", T.BooleanType()),
+        T.StructField("at", T.TimestampType()),
+        T.StructField("keep_from", T.TimestampType()),
+    ]
 )
+KEYS = {"games": ["id", "clean_name"], "snapshots": ["domain"]}
+LOGS = ("update_logs", "update_log_items")
 
 
 def _manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -32,10 +45,15 @@ def _manifest(spark: SparkSession, root: str) -> DataFrame:
         raise
 
 
-def _versions(spark: SparkSession, root: str) -> dict[str, int]:
-    """Latest version per table: one row per table name comes back."""
-    latest = _manifest(spark, root).groupBy("table").agg(F.max("gen").alias("gen"))
-    return {r["table"]: r["gen"] for r in latest.collect()}
+def _live(spark: SparkSession, root: str, name: str) -> list[int]:
+    """The versions that make up a table: the last whole one and the additions since; one row per run comes back."""
+    rows = _manifest(spark, root).filter(F.col("table") == name)
+    whole = F.coalesce(F.max(F.when(F.col("whole"), F.col("version"))), F.lit(-1))
+    start = rows.agg(whole.alias("start"), F.max("keep_from").alias("oldest"))
+    rows = rows.crossJoin(F.broadcast(start)).filter("version >= start")
+    if name in LOGS:
+        rows = rows.filter("at is null or oldest is null or at >= oldest")
+    return sorted({r["version"] for r in rows.select("version").collect()})
 
 
 def last_batch(spark: SparkSession, root: str) -> int:
@@ -44,31 +62,53 @@ def last_batch(spark: SparkSession, root: str) -> int:
 
 
 def next_gen(spark: SparkSession, root: str) -> int:
-    return max(_versions(spark, root).values(), default=-1) + 1
+    return _manifest(spark, root).agg(F.coalesce(F.max("version") + 1, F.lit(0))).first()[0]
 
 
 def commit(
-    spark: SparkSession, root: str, gen: int, frames: dict[str, DataFrame], batch: int | None = None
+    spark: SparkSession,
+    root: str,
+    gen: int,
+    frames: dict[str, DataFrame],
+    batch: int | None = None,
+    whole: bool = True,
+    as_of=None,
+    keep_days: int | None = None,
 ) -> None:
-    """Write the tables of a run in the given order, then publish them together."""
+    """Write the tables of a run in the given order, then publish them together.
+
+    With `whole=False` the frames hold only what the run adds or changes at `as_of`; log
+    versions from more than `keep_days` before are dropped from then on.
+    """
     for name, df in frames.items():
-        df.select(*TABLES[name].fieldNames()).write.mode("overwrite").parquet(f"{root}/{name}/gen={gen}")
-    rows = spark.createDataFrame([(name, gen, batch) for name in frames], MANIFEST)
-    rows.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+        df.select(*TABLES[name].fieldNames()).write.mode("overwrite").parquet(f"{root}/{name}/version={gen}")
+    at = F.lit(None).cast("timestamp") if as_of is None else timestamp(as_of)
+    keep = F.lit(None).cast("timestamp") if keep_days is None else days_before(as_of, keep_days)
+    rows = spark.createDataFrame([(name, gen, batch, whole) for name in frames], MANIFEST[:4])
+    rows.select("*", at.alias("at"), keep.alias("keep_from")).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    versions = _versions(spark, root)
-    schema = TABLES[name]
-    if name not in versions:
+    live, schema = _live(spark, root, name), TABLES[name]
+    if not live:
         return spark.createDataFrame([], schema)
-    if name != "snapshot_urls":
-        return spark.read.schema(schema).parquet(f"{root}/{name}/gen={versions[name]}")
-    with_gen = T.StructType(schema.fields + [T.StructField("gen", T.LongType())])
-    stored = spark.read.schema(with_gen).option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
-    stored = stored.filter(F.col("gen") <= versions[name])
-    headers = read_table(spark, root, "snapshots").select("domain", "gen")
-    return spread_join(stored, headers, ["domain", "gen"], "left_semi", ["url"]).select(*schema.fieldNames())
+    stored = (
+        spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.LongType())]))
+        .option("basePath", f"{root}/{name}")
+        .parquet(*[f"{root}/{name}/version={v}" for v in live])
+    )
+    if name in KEYS:
+        # Joins that keep or drop keys are pushed below this aggregate, so few rows are looked up without sorting all.
+        rest = [c for c in schema.fieldNames() if c not in KEYS[name]]
+        last = stored.groupBy(*KEYS[name]).agg(F.max_by(F.struct(*rest), "version").alias("_last"))
+        return last.select(*KEYS[name], "_last.*").select(*schema.fieldNames())
+    if name == "snapshot_urls":
+        headers = read_table(spark, root, "snapshots").select("domain", F.col("gen").alias("version"))
+        stored = spread_join(stored, headers, ["domain", "version"], "left_semi", ["url"])
+    if name == "update_log_items":
+        logs = read_table(spark, root, "update_logs").select(F.col("id").alias("log_id"))
+        stored = spread_join(stored, logs, ["log_id"], "left_semi", ["url"])
+    return stored.select(*schema.fieldNames())
 
 
 def create_tables(spark: SparkSession, root: str) -> None:
@@ -97,4 +137,4 @@ def describe_columns(df: DataFrame, table: str) -> DataFrame:
 
 
 def table_exists(spark: SparkSession, root: str, name: str) -> bool:
-    return name in _versions(spark, root)
+    return bool(_live(spark, root, name))

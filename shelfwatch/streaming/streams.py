@@ -1,23 +1,28 @@
 """Continuous variants.
 
-All sinks are idempotent by batch: a batch that runs again after a failure writes
-the same folder again.
+All sinks are idempotent: a batch that runs again after a failure writes the same
+folder again, or the file sink's log keeps its rows once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import timestamp
-from ..operators.guards import accepted_baseline
+from ..operators.guards import MIN_FIRST, SHRINK, check_status, is_success
 from ..operators.ranking import first_per
 from ..plans.full_run import commit_run, full_run, load_state
-from ..session import cut_lineage
 from ..sources import tables
 from ..sources.documents import documents_of
 
+CHECKED = "domain string, run long, url_count long, baseline long, baseline_run long"
+
 
 def landing_stream(spark: SparkSession, path: str) -> DataFrame:
     """Landed files as a stream of `(path, content)`, one file per row."""
@@ -50,37 +55,45 @@ def stream_diff(files: DataFrame, root: str, checkpoint: str, fetch_meta, as_of)
     )
 
 
-def stream_baseline(counts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Last accepted count per domain over a stream of `(domain, run, url_count)`.
+def baseline_checks(counts: DataFrame, min_first: int = MIN_FIRST, shrink: float = SHRINK) -> DataFrame:
+    """Every row of a stream `(domain, run, url_count)` with the state of its domain before it.
 
-    Runs arrive in order from batch to batch.  A batch is folded in parallel from the
-    state the batch before it left; checks go to `<out>/checks/batch=<n>`, the state to
-    `<out>/state/batch=<n>`.
+    The state store holds the last accepted count and run per domain; a batch reads and writes the
+    states of the domains it has rows of.  Batches count in the order in which they arrive, the rows
+    of a domain inside a batch in that of their runs, so a late run is judged by what was accepted before it
+    came.  A batch's rows of a domain are folded in one task: limit the files of a batch if they are many.
     """
-    spark = counts.sparkSession
-    state_schema = "domain string, url_count bigint, run bigint"
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        if batch_id:
-            state = spark.read.schema(state_schema).parquet(f"{out}/state/batch={batch_id - 1}")
-        else:
-            state = spark.createDataFrame([], state_schema)
-        checked = cut_lineage(accepted_baseline(batch, state))
-        seen = F.when(F.col("baseline_run") == -1, F.col("_run")).otherwise(F.col("baseline_run"))
-        rows = checked.join(state.select("domain", F.col("run").alias("_run")), "domain", "left")
-        rows.withColumn("baseline_run", seen).drop("_run").write.mode("overwrite").parquet(
-            f"{out}/checks/batch={batch_id}"
-        )
-        newest = (
-            checked.filter("accepted")
-            .groupBy("domain")
-            .agg(F.max_by("url_count", "run").alias("url_count"), F.max("run").alias("run"))
-        )
-        kept = state.join(newest.select("domain"), "domain", "left_anti").select("domain", "url_count", "run")
-        kept.unionByName(newest).write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["run", "url_count"], kind="stable")
+        count, run = state.get if state.exists else (None, None)
+        before = []
+        for c, r in zip(rows["url_count"].tolist(), rows["run"].tolist(), strict=True):
+            before.append((count, run))
+            if c > 0 and (c >= min_first if count is None else c >= count * shrink):
+                count, run = c, r
+        if count is not None:
+            state.update((count, run))
+        baseline, baseline_run = zip(*before, strict=True)
+        yield pd.DataFrame({
+            "domain": key[0], "run": rows["run"].to_numpy(), "url_count": rows["url_count"].to_numpy(),
+            "baseline": pd.array(baseline, "Int64"), "baseline_run": pd.array(baseline_run, "Int64"),
+        })
+
+    rows = counts.select("domain", F.col("run").cast("long"), F.col("url_count").cast("long"))
+    folded = rows.groupBy("domain").applyInPandasWithState(
+        fold, CHECKED, "url_count long, run long", "append", GroupStateTimeout.NoTimeout
+    )
+    status = check_status(F.col("url_count"), F.col("baseline"), min_first, shrink)
+    return folded.withColumn("status", status).withColumn("accepted", is_success(F.col("status")))
+
 
+def stream_baseline(counts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Writes `baseline_checks` to `<out>/checks`, each row once."""
     return (
-        counts.writeStream.foreachBatch(fold)
+        baseline_checks(counts)
+        .writeStream.format("parquet")
+        .option("path", f"{out}/checks")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
