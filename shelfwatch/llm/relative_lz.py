@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from .packed import bucket_slices, joined, mixed, pack_sorted, parted, squeezed, unpack_sorted, unsqueezed
 from .rows import bring_back, set_aside
+from .suffix_dedup import sliding
 
 PORTION_BYTES = 4 << 20
 WINDOW = 50
@@ -105,12 +106,10 @@ class Portion:
             return
         at = np.arange(n - ANCHOR + 1)
         code = self.hashes(at, at + ANCHOR) | np.uint64(1)
-        rows = np.lib.stride_tricks.sliding_window_view(code, REACH + 1)
-        least = np.concatenate([rows[i : i + 65536].min(axis=1) for i in range(0, len(rows), 65536)])
+        least = sliding(np.minimum, code, REACH + 1)
         least[self.doc[: len(least)] != self.doc[WINDOW - 1 :]] = 0
         edge = np.zeros(REACH, np.uint64)
-        most = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, least, edge]), REACH + 1)
-        chosen = np.concatenate([most[i : i + 65536].max(axis=1) for i in range(0, len(most), 65536)]) == code
+        chosen = sliding(np.maximum, np.concatenate([edge, least, edge]), REACH + 1) == code
         at = np.flatnonzero(chosen)
         order = np.argsort(code[at], kind="stable")
         self.anchor, self.code = at[order], code[at[order]]
@@ -165,7 +164,8 @@ class Portion:
 
     def sendable(self, s: Stretches, some: slice) -> bytes:
         lines = [self.line[a:b].tobytes() for a, b in zip(self.starts[s.first[some]], self.ends[s.last[some] - 1], strict=True)]
-        return squeezed([s.doc[some].tobytes(), (s.last[some] - s.first[some]).astype("u1").tobytes(), b" ".join(lines)])
+        size = (s.last[some] - s.first[some]).astype("u1")
+        return squeezed([s.doc[some].tobytes(), size.tobytes(), pack_sorted(s.key[some]), b"\n".join(lines)])
 
     def repeated_words(self, s: Stretches, masks: np.ndarray) -> np.ndarray:
         """Which words go; bit i of a stretch's mask stands for the window that begins at its word i."""
@@ -194,11 +194,11 @@ class Reference:
         here[inside] = words
         here[self.stops] = words.max(initial=0) + 1 + np.arange(len(sizes))
         self.doc = np.repeat(docs, sizes + 1)
-        self.ranks, reach = [here], 1
+        self.ranks, reach = [here.astype(np.int32)], 1
         while reach <= sizes.max(initial=0):
             beyond = np.append(here[reach:], np.zeros(min(reach, n), np.int64))
             here = np.unique(here * (here.max(initial=0) + 2 + n) + beyond, return_inverse=True)[1]
-            self.ranks.append(here)
+            self.ranks.append(here.astype(np.int32))
             reach *= 2
         self.order = np.argsort(here)
         place = np.empty(n, np.int64)
@@ -280,18 +280,37 @@ def anchor_states(group: pa.Table, crowd: int) -> pa.Table:
 
 
 def factor_stretches(group: pa.Table) -> pa.Table:
-    """A mask for every stretch: bit i for a repeated window at its word i."""
+    """A mask for every stretch: bit i for a repeated window at its word i.
+
+    Of equal stretches of an anchor the one with the smallest id stands for all, and in larger ids every window is
+    repeated.  Where an anchor has different stretches, they are indexed and factored.
+    """
     parts = [unsqueezed(d) for d in group["sent"].to_pylist()]
     docs = [np.frombuffer(p[0], np.int64) for p in parts]
-    sizes = np.concatenate([np.frombuffer(p[1], np.uint8) for p in parts]).astype(np.int64)
-    words = pa.array(b" ".join(p[2] for p in parts).split(b" "), pa.binary()).dictionary_encode().indices.to_numpy()
-    block = Reference(words, sizes, np.concatenate(docs))
+    doc, sizes = np.concatenate(docs), np.concatenate([np.frombuffer(p[1], np.uint8) for p in parts]).astype(np.int64)
+    key = np.concatenate([unpack_sorted(p[2]) for p in parts])
+    lines = pa.chunked_array([pc.split_pattern(pa.array([p[3]], pa.binary()), b"\n").flatten() for p in parts])
+    line = lines.combine_chunks().dictionary_encode()
+    order = np.lexsort((doc, line.indices.to_numpy(), key))
+    new_key = np.diff(key[order], prepend=~key[order[:1]]) != 0
+    first = np.flatnonzero(new_key | (np.diff(line.indices.to_numpy()[order], prepend=-1) != 0))
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    anchor = np.cumsum(new_key)[first]
+    first = order[first]
+    several = np.flatnonzero(np.bincount(anchor)[anchor] > 1)
+
+    chosen = first[several]
+    text = line.dictionary.take(line.indices.take(pa.array(chosen)))
+    words = pc.split_pattern(text, b" ").flatten().dictionary_encode().indices.to_numpy()
+    block = Reference(words, sizes[chosen], doc[chosen])
     repeated = block.repeated()
-    first = np.append(0, block.stops + 1)[:-1]
-    mask = np.zeros(len(sizes), np.uint32)
+    begin = np.append(0, block.stops + 1)[:-1]
+    mask = np.zeros(len(first), np.uint32)
     for i in range(REACH + 1):
-        mask |= (repeated[np.minimum(first + i, block.stops)]).astype(np.uint32) << np.uint32(i)
-    return _answers(group, 2, mask, [len(d) for d in docs])
+        mask[several] |= (repeated[np.minimum(begin + i, block.stops)]).astype(np.uint32) << np.uint32(i)
+    every = (np.uint32(2) << (sizes - WINDOW).astype(np.uint32)) - np.uint32(1)
+    return _answers(group, 2, np.where(doc > doc[first][which], every, mask[which]), [len(d) for d in docs])
 
 
 def _read(answers: pa.Table, step: int, dtype: str) -> np.ndarray:
