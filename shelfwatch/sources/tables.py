@@ -105,6 +105,11 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     if name == "snapshot_urls":
         headers = read_table(spark, root, "snapshots").select("domain", F.col("gen").alias("version"))
         stored = spread_join(stored, headers, ["domain", "version"], "left_semi", ["url"])
+    if name == "update_logs":
+        # A whole version may hold rows of any time.
+        oldest = _manifest(spark, root).agg(F.max("keep_from")).first()[0]
+        if oldest is not None:
+            stored = stored.filter(F.col("checked_at").isNull() | (F.col("checked_at") >= F.lit(oldest)))
     if name == "update_log_items":
         logs = read_table(spark, root, "update_logs").select(F.col("id").alias("log_id"))
         stored = spread_join(stored, logs, ["log_id"], "left_semi", ["url"])

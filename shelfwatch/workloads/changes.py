@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import diff, guards, maintenance, registry, reports, snapshots
+from ..operators import diff, feeds, guards, maintenance, registry, reports, snapshots
 from ..operators.extract import extract_entities, extract_urls
 from ..plans.full_run import forced_run
 from ..session import cut_lineage
@@ -417,6 +417,28 @@ def entity_changes(spark, d):
     return _upsert(spark, d).changes.fillna(-1, ["platform_count"])
 
 
+@query(
+    "feed_add_checked",
+    _UPSERT
+    + """, asked AS (SELECT *, s_suppkey % 2 = 0 AS known, s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0 AS good,
+           strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(s_suppkey AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS created FROM supplier)
+SELECT 'feed' AS part, 'https://s' || s_suppkey || '.example.com/sitemap.xml' AS url,
+  CASE WHEN NOT known THEN '2024-02-01 00:00:00' WHEN s_acctbal >= 0 THEN created ELSE 'none' END AS created_at,
+  CASE WHEN good THEN '2024-02-01 00:00:00' ELSE created END AS updated_at FROM asked WHERE known OR good
+UNION ALL SELECT 'new_url', url, '', '' FROM changes JOIN asked ON s_suppkey = feed_ord WHERE good AND is_new""",
+)
+def feed_add_checked(spark, d):
+    """Half of the sites are listed; two thirds are added, and a quarter of all checks fail."""
+    all_feeds = fx.feeds(spark, d)
+    k = F.regexp_extract("url", "//s([0-9]+)", 1).cast("bigint")
+    stored, adds = all_feeds.filter(k % 2 == 0), all_feeds.filter(k % 3 != 0).select("url")
+    checks = all_feeds.select(k.alias("feed_ord"), F.col("url").alias("feed_url"), (k % 4 != 0).alias("success"))
+    grown, urls = feeds.add_checked(stored, adds, checks, _upsert(spark, d).changes, fx.at("2024-02-01"))
+    rows = grown.select(F.lit("feed").alias("part"), "url", fx.second("created_at").alias("created_at"), fx.second("updated_at").alias("updated_at"))
+    shown = urls.select(F.lit("new_url").alias("part"), "url", F.lit("").alias("created_at"), F.lit("").alias("updated_at"))
+    return rows.fillna("none", ["created_at"]).unionByName(shown)
+
+
 @query(
     "entity_registry",
     _UPSERT

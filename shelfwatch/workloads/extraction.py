@@ -10,6 +10,7 @@ from ..sources.request_logs import request_rows
 from . import fixtures as fx
 from .fixtures import with_ctes
 from .registry import query
+from .reporting import placed
 
 
 @query("extract_urls_strict", with_ctes("page_urls") + "SELECT feed_ord, domain, pos, url FROM page_urls")
@@ -223,9 +224,33 @@ def keyword_distinct10(spark, d):
     return reports.distinct_keywords(_page_urls(spark, d)).select("keyword")
 
 
-@query("host_distribution", with_ctes("page_urls") + "SELECT domain, count(*) AS count FROM page_urls GROUP BY domain")
+@query(
+    "keyword_digest",
+    with_ctes("page_paths").rstrip()
+    + ","
+    + _SIMPLE.rstrip()
+    + """, found AS (SELECT keyword, min((feed_ord, pos, seg)) AS first FROM tokens GROUP BY keyword ORDER BY first LIMIT 10)
+SELECT count(*) AS feeds, count(*) FILTER (status = 200) AS success, count(*) FILTER (status <> 200) AS errors,
+  count(*) FILTER (status <> 200 AND feed_ord % 3 = 0) AS timeouts, CAST(round(100.0 * count(*) FILTER (feed_ord % 7 <> 0) / count(*)) AS INTEGER) AS progress,
+  (SELECT count(*) FROM page_urls) AS new_urls, (SELECT string_agg(keyword, ', ' ORDER BY first) FROM found) AS keywords FROM page_docs""",
+)
+def keyword_digest(spark, d):
+    """The digest of all page URLs; failed pages of every third feed timed out, every seventh feed was not reached."""
+    failed = F.col("status") != 200
+    checks = fx.page_docs(spark, d).select(
+        (~failed).alias("success"), (failed & (F.col("feed_ord") % 3 == 0)).alias("timeout"), (F.col("feed_ord") % 7 == 0).alias("threw")
+    )
+    return reports.keyword_digest(checks, _page_urls(spark, d))
+
+
+@query(
+    "host_distribution",
+    with_ctes("page_urls")
+    + """SELECT domain, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, min((feed_ord, pos))) AS place
+         FROM page_urls GROUP BY domain""",
+)
 def host_distribution(spark, d):
-    return reports.host_distribution(_page_urls(spark, d))
+    return placed(reports.host_distribution(_page_urls(spark, d)))
 
 
 @query(

@@ -1,9 +1,12 @@
 """Whole jobs: files in and out, table versions, full runs and streams."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.extract import extract_urls
-from ..plans.full_run import State, full_run
+from ..operators.extract import extract_entities, extract_urls
+from ..plans.full_run import commit_run, full_run, load_state
 from ..session import shared_path
 from ..sources import tables
 from ..sources.documents import read_documents
@@ -62,27 +65,75 @@ def tables_reset(spark, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+_RUN_AT = "2024-02-20 08:00:00"
+_BLANK = "'' AS url, '' AS name, '' AS clean_name, false AS is_new, false AS is_cross"
+
+
 @query(
     "full_run",
     CHECK.rstrip()
     + ","
     + CHECK_DIFF.rstrip()
-    + ", urls AS (SELECT DISTINCT url FROM diff),"
+    + ", urls AS (SELECT DISTINCT url FROM diff UNION SELECT url FROM stored),"
     + ENTITIES.rstrip()
-    + """, candidates AS (SELECT d.*, e.name, e.clean_name FROM diff d JOIN entities e ON e.url = d.url),
+    + f""", held AS (SELECT DISTINCT e.name, e.clean_name, s.domain, s.url FROM stored s JOIN entities e ON e.url = s.url),
+sources AS (SELECT clean_name, domain, min(url) AS url FROM held GROUP BY clean_name, domain),
+games AS (SELECT clean_name, min(name) AS name, count(DISTINCT domain) AS n FROM held GROUP BY clean_name),
+candidates AS (SELECT d.*, e.name, e.clean_name FROM diff d JOIN entities e ON e.url = d.url),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY clean_name ORDER BY feed_ord, pos, url) AS r FROM (
-  SELECT *, row_number() OVER (PARTITION BY clean_name, domain ORDER BY feed_ord, pos, url) AS k FROM candidates) WHERE k = 1)
-SELECT feed_ord, pos, domain, url, name, clean_name, r = 1 AS is_new, r > 1 AS is_cross,
-  CASE WHEN r = 1 THEN -1 ELSE r - 1 END AS platform_count FROM firsts""",
+  SELECT *, row_number() OVER (PARTITION BY clean_name, domain ORDER BY feed_ord, pos, url) AS k FROM candidates c
+  WHERE NOT EXISTS (SELECT 1 FROM sources s WHERE s.clean_name = c.clean_name AND s.domain = c.domain)) WHERE k = 1),
+changes AS (SELECT f.*, g.n IS NULL AND r = 1 AS is_new, coalesce(g.n, 0) + r - 1 AS before FROM firsts f LEFT JOIN games g ON g.clean_name = f.clean_name),
+log AS (SELECT *, checked_at < TIMESTAMP '{_RUN_AT}' - INTERVAL 30 DAY AS old FROM (
+  SELECT 'u' || user_id || '.example.com' AS domain, CAST(json_extract_string(props, '$.k') AS BIGINT) AS n, ts AS checked_at FROM events))
+SELECT 'change' AS part, feed_ord, pos, domain, url, name, clean_name, is_new, NOT is_new AS is_cross,
+  CASE WHEN is_new THEN -1 ELSE before END AS n FROM changes
+UNION ALL SELECT 'cleaned', 0, 0, '', {_BLANK}, count(*) FROM log WHERE old
+UNION ALL SELECT 'log', 0, 0, domain, {_BLANK}, n FROM log WHERE NOT old
+UNION ALL SELECT 'log', feed_ord, 0, domain, {_BLANK}, count(*) FROM changes GROUP BY feed_ord, domain
+UNION ALL SELECT 'item', feed_ord, pos, '', url, name, '', false, NOT is_new, CASE WHEN is_new THEN -1 ELSE before END FROM changes
+UNION ALL SELECT 'game', 0, 0, '', '', coalesce(any_value(g.name), min(f.name) FILTER (f.r = 1)), clean_name, false, false,
+  coalesce(any_value(g.n), 0) + count(f.r) FROM games g FULL JOIN firsts f USING (clean_name) GROUP BY clean_name
+UNION ALL SELECT 'source', 0, 0, domain, url, '', '', false, false, 0 FROM (
+  SELECT domain, url FROM sources UNION ALL SELECT domain, url FROM firsts)""",
 )
-def full_run_changes(spark, d):
+def full_run_tables(spark, d):
+    """A run over the stored catalogs, the entities behind them and the events as logs; its changes and the tables it leaves."""
     headers, urls = stored_snapshot(spark, d)
-    none = fx.listings(spark, d).filter(F.lit(False))
-    blank = {n: spark.createDataFrame([], s) for n, s in tables.TABLES.items()}
-    state = State(
-        headers, urls, fx.games_of(none), fx.sources_of(none), blank["update_logs"], blank["update_log_items"]
-    )
-    return full_run(fx.page_docs(spark, d), state, "2024-01-05 08:00:00").changes.fillna(-1, ["platform_count"])
+    known = extract_entities(urls.withColumn("feed_ord", F.lit(0).cast("bigint"))).withColumn("listed_at", fx.at("2024-01-01"))
+    games = fx.games_of(known.groupBy("clean_name", "domain", "listed_at").agg(F.min("name").alias("name")))
+    sources = fx.sources_of(known.groupBy("clean_name", "domain", "listed_at").agg(F.min("url").alias("url")))
+    logs = fx.logs(spark, d).select(
+        F.col("id").cast("string").alias("id"), "domain", F.lit(0).cast("bigint").alias("feed_ord"), "new_games_count",
+        F.col("checked_at").cast("timestamp").alias("checked_at"),
+    )
+    items = spark.createDataFrame([], tables.TABLES["update_log_items"])
+    root = shared_path(spark, "tables")
+    names = ("games", "game_sources", "snapshot_urls", "snapshots", "update_logs", "update_log_items")
+    tables.commit(spark, root, 0, dict(zip(names, (games, sources, urls, headers, logs, items), strict=True)))
+    result = full_run(fx.page_docs(spark, d), load_state(spark, root), _RUN_AT, 1)
+    commit_run(spark, root, 1, result)
+
+    read = {n: tables.read_table(spark, root, n) for n in names}
+    shape = {
+        "feed_ord": F.lit(0).cast("bigint"), "pos": F.lit(0).cast("bigint"), "domain": F.lit(""), "url": F.lit(""), "name": F.lit(""),
+        "clean_name": F.lit(""), "is_new": F.lit(False), "is_cross": F.lit(False),
+    }
+
+    def part(name, rows, n, *shown):
+        columns = [(F.col(c) if c in shown else default).alias(c) for c, default in shape.items()]
+        return rows.select(F.lit(name).alias("part"), *columns, n.cast("bigint").alias("n"))
+
+    count = F.coalesce("platform_count", F.lit(-1))
+    parts = [
+        part("change", result.changes, count, *shape),
+        part("cleaned", result.report["cleaned"], F.col("deleted")),
+        part("log", read["update_logs"], F.col("new_games_count"), "domain", "feed_ord"),
+        part("item", read["update_log_items"], count, "feed_ord", "pos", "url", "name", "is_cross"),
+        part("game", read["games"], F.col("platform_count"), "name", "clean_name"),
+        part("source", read["game_sources"], F.lit(0), "domain", "url"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- streams ---------------------------------------------------------------

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import dashboard, diff, feeds, guards, maintenance, quality, registry, reports
+from ..session import cut_lineage
 from . import fixtures as fx
 from .fixtures import AS_OF, EVENTS_AS_OF, day, second, with_ctes
 from .registry import query
@@ -47,10 +48,18 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY feed_ord,
 )
 
 
-def _placed(df):
-    """Adds the row's place in the frame's own order, so that the order is compared too."""
-    at = df.withColumn("_at", F.monotonically_increasing_id())
-    return at.withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+def placed(df):
+    """Adds the row's place in the frame's own order, so that the order is compared too.
+
+    Only the row counts of the sorted tasks meet in one place.
+    """
+    task = F.shiftright("_id", 33)
+    sorted_ = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_task", task))
+    counts = sorted_.groupBy("_task").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_id") - F.shiftleft(F.col("_task"), 33) + 1
+    return sorted_.join(F.broadcast(starts), "_task").select(*df.columns, place.alias("place"))
 
 
 def _place(order: str) -> str:
@@ -59,7 +68,7 @@ def _place(order: str) -> str:
 
 @query("all_new_urls", _CHECKS + f"SELECT feed_ord, pos, domain, url, {_place('feed_ord, pos')} FROM diff")
 def all_new_urls(spark, d):
-    return _placed(reports.new_urls(_diff(spark, d)))
+    return placed(reports.new_urls(_diff(spark, d)))
 
 
 @query("domain_totals", _CHECKS + "SELECT domain, total_new, first_feed FROM totals")
@@ -73,7 +82,7 @@ def domain_totals(spark, d):
     + f"SELECT domain, total_new, first_feed, {_place('total_new DESC, first_feed')} FROM totals WHERE total_new > 0",
 )
 def domains_with_news(spark, d):
-    return _placed(reports.ranked_domains(reports.by_domain(_checks(spark, d), _diff(spark, d))))
+    return placed(reports.ranked_domains(reports.by_domain(_checks(spark, d), _diff(spark, d))))
 
 
 @query("domain_url_lists", _CHECKS + "SELECT domain, n, url FROM numbered")
@@ -246,17 +255,6 @@ def embed_report(spark, d):
     return reports.embed_report(_checks(spark, d), _diff(spark, d))["summary"]
 
 
-@query(
-    "keyword_digest",
-    _CHECKS
-    + _CHAT.format(_CHANGED).replace(
-        " AS new_urls", " AS new_urls, (SELECT string_agg(k, ', ') FROM (SELECT 'play' AS k FROM diff LIMIT 1)) AS keywords"
-    ),
-)
-def keyword_digest(spark, d):
-    return reports.keyword_digest(_checks(spark, d), _diff(spark, d))
-
-
 # --- dashboard -------------------------------------------------------------
 
 
@@ -402,7 +400,7 @@ def games_per_domain_top20(spark, d):
           WHERE checked_at > TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 7 DAY GROUP BY 1""",
 )
 def new_per_day(spark, d):
-    return _dated(_placed(quality.new_per_day(fx.logs(spark, d), fx.at(EVENTS_AS_OF), at="checked_at")), "date")
+    return _dated(placed(quality.new_per_day(fx.logs(spark, d), fx.at(EVENTS_AS_OF), at="checked_at")), "date")
 
 
 @query(
@@ -437,7 +435,7 @@ def games_today(spark, d):
           {_place('games.first_seen DESC NULLS FIRST, name')} FROM games WHERE first_seen > TIMESTAMP '{AS_OF}'""",
 )
 def games_since(spark, d):
-    return _dated(_placed(quality.games_since(fx.games(spark, d), fx.at(AS_OF))), "first_seen")
+    return _dated(placed(quality.games_since(fx.games(spark, d), fx.at(AS_OF))), "first_seen")
 
 
 def _snapshots(spark, d):
@@ -455,12 +453,12 @@ _SMALL = "SELECT domain, url_count, strftime(updated_at, '%Y-%m-%d') AS updated_
 
 @query("implausible_snapshots", _SNAPSHOTS + _SMALL.format(place=_place("snapshots.updated_at DESC NULLS FIRST, domain")))
 def implausible_snapshots(spark, d):
-    return _dated(_placed(quality.implausible(_snapshots(spark, d))), "updated_at")
+    return _dated(placed(quality.implausible(_snapshots(spark, d))), "updated_at")
 
 
 @query("implausible_by_count", _SNAPSHOTS + _SMALL.format(place=_place("url_count, domain")))
 def implausible_by_count(spark, d):
-    return _dated(_placed(quality.implausible(_snapshots(spark, d), order="count")), "updated_at")
+    return _dated(placed(quality.implausible(_snapshots(spark, d), order="count")), "updated_at")
 
 
 @query("implausible_count", _SNAPSHOTS + "SELECT count(*) AS count FROM snapshots WHERE url_count < 10")
@@ -687,33 +685,28 @@ def _ordered_feeds(spark, d):
 
 @query(
     "feed_append_outcomes",
-    """SELECT c_custkey AS add_ord, url, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'failed'
-         WHEN known OR NOT first THEN 'updated' ELSE 'added' END AS outcome,
-         CASE WHEN c_mktsegment = 'MACHINERY' THEN 'HTTP 500' WHEN known OR NOT first THEN 'known feed updated' ELSE 'added' END AS message
-       FROM (SELECT *, s_suppkey IS NOT NULL AS known, 'https://s' || c_custkey || '.example.com/sitemap.xml' AS url, true AS first
-             FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey)""",
+    """WITH adds AS (SELECT c_custkey AS add_ord, c_custkey // 3 AS k, 'https://s' || c_custkey // 3 || '.example.com/sitemap.xml' AS url FROM customer),
+       tried AS (SELECT *, k % 5 <> 0 AS success, k IN (SELECT s_suppkey FROM supplier) OR add_ord > min(add_ord) OVER (PARTITION BY k) AS listed
+                 FROM adds),
+       outcomes AS (SELECT *, CASE WHEN NOT success THEN 'failed' WHEN listed THEN 'updated' ELSE 'added' END AS outcome FROM tried)
+       SELECT 'outcome' AS part, add_ord AS ord, url, outcome,
+         CASE outcome WHEN 'failed' THEN 'HTTP 500' WHEN 'updated' THEN 'known feed updated' ELSE 'added' END AS message FROM outcomes
+       UNION ALL SELECT 'list', s_suppkey, 'https://s' || s_suppkey || '.example.com/sitemap.xml', '', '' FROM supplier
+       UNION ALL SELECT 'list', (SELECT max(s_suppkey) FROM supplier) + 1 + add_ord, url, '', '' FROM outcomes WHERE outcome = 'added'""",
 )
 def feed_append_outcomes(spark, d):
+    """Every feed is asked for three times; the outcomes and the grown list."""
+    k = F.floor(F.col("c_custkey") / 3)
     rows = fx.table(spark, d, "customer").select(
         F.col("c_custkey").alias("add_ord"),
-        F.concat(F.lit("https://s"), F.col("c_custkey").cast("string"), F.lit(".example.com/sitemap.xml")).alias("url"),
-        (F.col("c_mktsegment") != "MACHINERY").alias("success"),
+        F.concat(F.lit("https://s"), k.cast("string"), F.lit(".example.com/sitemap.xml")).alias("url"),
+        (k % 5 != 0).alias("success"),
+    )
+    checks = rows.select("url", "success", F.when(F.col("success"), F.lit("")).otherwise(F.lit("HTTP 500")).alias("error")).distinct()
+    grown, outcome = feeds.append_feeds(_ordered_feeds(spark, d), rows.select("add_ord", "url"), checks)
+    return outcome.select(F.lit("outcome").alias("part"), F.col("add_ord").alias("ord"), "url", "outcome", "message").unionByName(
+        grown.select(F.lit("list").alias("part"), F.col("feed_ord").alias("ord"), "url", F.lit("").alias("outcome"), F.lit("").alias("message"))
     )
-    checks = rows.withColumn("error", F.when(F.col("success"), F.lit("")).otherwise(F.lit("HTTP 500")))
-    return feeds.append_feeds(_ordered_feeds(spark, d), rows.select("add_ord", "url"), checks)[1]
-
-
-@query(
-    "feed_add_checked",
-    _CHECKS
-    + """SELECT 'https://c' || feed_ord || '.example.com/sitemap.xml' AS url FROM checks WHERE success""",
-)
-def feed_add_checked(spark, d):
-    feed_url = F.concat(F.lit("https://"), "domain", F.lit("/sitemap.xml"))
-    checks = _checks(spark, d).withColumn("feed_url", feed_url)
-    changes = _diff(spark, d).withColumn("is_new", F.lit(True))
-    none = fx.feeds(spark, d).filter(F.lit(False))
-    return feeds.add_checked(none, checks.select(F.col("feed_url").alias("url")), checks, changes, _now())[0].select("url")
 
 
 @query(
@@ -751,13 +744,13 @@ _LISTED = f"SELECT url, coalesce(strftime(created_at, {_FMT}), 'none') AS create
 
 @query("feed_list_old_first", with_ctes("feeds") + _LISTED.format(place=_place("feeds.created_at ASC NULLS LAST, url")))
 def feed_list_old_first(spark, d):
-    rows = _placed(feeds.list_feeds(fx.feeds(spark, d)))
+    rows = placed(feeds.list_feeds(fx.feeds(spark, d)))
     return rows.select("url", second("created_at").alias("created_at"), "place").fillna("none", ["created_at"])
 
 
 @query("feed_list_new_first", with_ctes("feeds") + _LISTED.format(place=_place("feeds.created_at DESC NULLS FIRST, url")))
 def feed_list_new_first(spark, d):
-    rows = _placed(feeds.list_feeds(fx.feeds(spark, d), newest_first=True))
+    rows = placed(feeds.list_feeds(fx.feeds(spark, d), newest_first=True))
     return rows.select("url", second("created_at").alias("created_at"), "place").fillna("none", ["created_at"])
 
 
@@ -796,7 +789,7 @@ def skipped_feeds(spark, d):
          FROM feeds GROUP BY domain""",
 )
 def distinct_domains(spark, d):
-    return _placed(feeds.distinct_domains(fx.feeds(spark, d))).select("domain", "place")
+    return placed(feeds.distinct_domains(fx.feeds(spark, d))).select("domain", "place")
 
 
 @query("feed_count", with_ctes("feeds") + "SELECT count(*) AS feeds FROM feeds")
