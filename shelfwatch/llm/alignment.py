@@ -38,9 +38,6 @@ class ByteSide(Encoder):
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(self.encode(t), self._type).astype(np.int64) for t in texts]
 
-    def release(self) -> None:
-        self._pieces.clear()
-
 
 class PieceSide:
     """A vocabulary of pieces that adds the space before a text itself."""

@@ -43,6 +43,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, group
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True)], names
             )
+        encode.release()
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

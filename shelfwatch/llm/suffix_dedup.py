@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .packed import bucket_slices, joined, mixed, pack_sorted, parted, unpack_sorted
 from .rows import bring_back, set_aside
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 17
 WINDOW = 50
 GRAM = 24
@@ -279,6 +279,7 @@ def _cut(table: pa.Table, block: Block, removed: np.ndarray, whole_characters: b
             stay[x:y] = False
         kept.append(text[stay].tobytes())
         start = end
+    pa.default_memory_pool().release_unused()
     frame = table.drop_columns(["_block"])
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
     return frame.append_column("_kept", pa.array(kept, pa.binary())).append_column("_spans", pa.array(spans, pairs))
@@ -304,6 +305,7 @@ def remove_repeats(
     schema = T.StructType([*rows.schema, T.StructField("_kept", T.BinaryType()), T.StructField("_spans", SPANS)])
 
     def ask_repeats(table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         block = Block(table)
         several = block.several()
         rows = [

@@ -90,6 +90,10 @@ class Encoder:
         pieces = self._split[text.isascii()](text.lower() if self._lower else text)
         return b"".join(map(self._pieces.__getitem__, pieces))
 
+    def release(self) -> None:
+        """Forgets the pieces seen so far; to be called when a task ends, since the worker outlives it."""
+        self._pieces.clear()
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
