@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import platform_tier, score_tier
 from ..session import cut_lineage
-from .ranking import first_rows, number_rows, spread_join
+from .ranking import first_rows, number_rows, rows_between, spread_join
 
 
 def stats(games: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -51,8 +51,12 @@ def nested(games: DataFrame, sources: DataFrame, first_sources: int | None = Non
     )
 
 
+def _best_order() -> list[Column]:
+    return [F.col("score").desc_nulls_first(), F.col("first_seen").desc_nulls_first(), F.col("clean_name")]
+
+
 def _newest_best(games: DataFrame) -> DataFrame:
-    return games.orderBy(F.col("score").desc_nulls_first(), F.col("first_seen").desc_nulls_first(), "clean_name")
+    return games.orderBy(*_best_order())
 
 
 def games_page(
@@ -67,8 +71,9 @@ def games_page(
 ) -> DataFrame:
     """The rows of a page, before their sources are nested.
 
-    With an offset the page size is `limit` or 50.  By default the domain filter
-    applies to the finished page, so a page may be short.
+    With an offset the page size is `limit` or 50, and the page is found by its place, so that
+    the rows before it are not collected.  By default the domain filter applies to the finished
+    page, so a page may be short.
     """
     rows = games
     if min_platforms:
@@ -78,11 +83,10 @@ def games_page(
     of_domain = sources.filter(F.col("domain") == domain).select(F.col("game_id").alias("id")) if domain else None
     if domain and domain_before_paging:
         rows = rows.join(of_domain, "id", "left_semi").select(*games.columns)
-    page = _newest_best(rows)
     if offset:
-        page = page.offset(offset).limit(limit or 50)
-    elif limit:
-        page = page.limit(limit)
+        page = rows_between(rows, _best_order(), offset, limit or 50)
+    else:
+        page = _newest_best(rows).limit(limit) if limit else _newest_best(rows)
     if domain and not domain_before_paging:
         page = page.join(of_domain, "id", "left_semi").select(*games.columns)
     return page

@@ -12,7 +12,7 @@ from ..functions import slugs
 from ..functions.text import ONE_LINE, SPACES, trim_spaces
 from ..functions.urls import with_url_parts
 
-_STRICT = rf"(?i)<loc>[{SPACES}]*(https?://[^<{SPACES}]+)[{SPACES}]*</loc>"
+STRICT = rf"(?i)<loc>[{SPACES}]*(https?://[^<{SPACES}]+)[{SPACES}]*</loc>"
 _LENIENT = rf"(?i)<loc[^>]*>({ONE_LINE}*?)</loc>"
 _BLOCK = r"(?is)<url[^>]*>(.*?)</url>"
 _LASTMOD = rf"(?i)<lastmod[^>]*>({ONE_LINE}*?)</lastmod>"
@@ -24,7 +24,7 @@ def _is_http(url: Column) -> Column:
 
 def strict_urls(content: Column) -> Column:
     """URLs of a document in order, duplicates kept, entities left as they are."""
-    return F.regexp_extract_all(content, F.lit(_STRICT), F.lit(1))
+    return F.regexp_extract_all(content, F.lit(STRICT), F.lit(1))
 
 
 def lenient_urls(content: Column) -> Column:

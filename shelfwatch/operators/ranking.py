@@ -88,11 +88,11 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return df.groupBy(*keys).agg(first).select(*keys, "_f.*").select(*df.columns)
 
 
-def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Dense global number from 0 in the given order.
+def _sorted_ranges(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """The sorted rows with `_id` and the range `_task` they lie in, and each range's first place and size.
 
     A range sort and one number per task: only the row counts of the tasks are
-    summed in one place.  The sorted rows are checkpointed, so a task that runs
+    summed in one place.  The sorted rows are written, so a task that runs
     again cannot number its rows differently.
     """
     tag = F.monotonically_increasing_id()
@@ -100,9 +100,34 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     cut = cut_lineage(cut.withColumn("_task", F.shiftright("_id", 33)))
     counts = cut.groupBy("_task").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return cut, counts.select("_task", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+
+
+def _with_place(cut: DataFrame, starts: DataFrame, name: str) -> DataFrame:
     row = F.col("_id") - F.shiftleft(F.col("_task"), 33)
-    return cut.join(F.broadcast(starts), "_task").withColumn(name, F.col("_start") + row).select(*df.columns, name)
+    return cut.join(F.broadcast(starts), "_task").withColumn(name, F.col("_start") + row)
+
+
+def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Dense global number from 0 in the given order."""
+    cut, starts = _sorted_ranges(df, order)
+    return _with_place(cut, starts.select("_task", "_start"), name).select(*df.columns, name)
+
+
+def rows_between(df: DataFrame, order: Sequence[Column], first: int, n: int) -> DataFrame:
+    """The `n` rows from place `first` (from 0) on in the given order, however deep.
+
+    Whole ranges before and behind the page are skipped by their counts, and of the written rows only
+    the ranges of the page are read; no task gets more than its share of these.
+    """
+    cut, starts = _sorted_ranges(df, order)
+    here = starts.filter((F.col("_start") < first + n) & (F.col("_start") + F.col("_n") > first))
+    low, high = here.agg(F.min("_task"), F.max("_task")).first()
+    if low is None:
+        return df.limit(0)
+    pages = cut.filter(F.col("_task").between(low, high))
+    placed = _with_place(pages, here.select("_task", "_start"), "_place")
+    return placed.filter(F.col("_place").between(first, first + n - 1)).select(*df.columns)
 
 
 def spread_join(

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_host
+from ..operators.extract import STRICT, strict_urls
+from ..operators.ranking import scan_number, spread_join
+from ..session import cut_lineage
 
+OPEN_TAG = "<loc>"
 FETCH_META = "path string, feed_ord bigint, feed_url string, status int, error string"
 
 
@@ -31,7 +35,8 @@ def read_documents(spark: SparkSession, path: str, fetch_meta: DataFrame) -> Dat
     """One row per landed file; `.gz` files are unpacked by the reader.
 
     One file is one row, so landed files stay within the 50 MB that the sitemap
-    protocol allows a document.  `fetch_meta.path` is the file's full URI.
+    protocol allows a document; `read_urls` has no such bound.  `fetch_meta.path` is
+    the file's full URI.
     """
     files = spark.read.text(path, wholetext=True)
     return documents_of(
@@ -39,6 +44,39 @@ def read_documents(spark: SparkSession, path: str, fetch_meta: DataFrame) -> Dat
     )
 
 
+def read_urls(spark: SparkSession, path: str, fetch_meta: DataFrame) -> DataFrame:
+    """The URLs (strict rule) of landed files of any size: `(feed_ord, feed_url, domain, status, error, pos, url)`.
+
+    Files are read in records that begin behind a `<loc>` tag, so a plain file is split over several tasks and
+    no document is ever one row; a URL never crosses a record.  What stands before the first tag of a file is
+    no record of that kind, so a URL at its very start does not count.  Only narrow URL rows are numbered and
+    joined with the fetch records; files without a record are left out.
+    """
+    source = F.col("_metadata")
+    records = spark.read.text(path, lineSep=OPEN_TAG).select(
+        source["file_path"].alias("path"), source["file_block_start"].alias("block"), "value"
+    )
+    body = F.concat(F.lit(OPEN_TAG), F.col("value"))
+    urls = records.select(
+        "path",
+        "block",
+        F.monotonically_increasing_id().alias("record"),
+        body.rlike(f"^{STRICT}").alias("at_start"),
+        F.posexplode_outer(strict_urls(body)).alias("k", "url"),
+    )
+    urls = cut_lineage(urls)
+    heads = urls.filter("block = 0").groupBy("path").agg(F.min("record").alias("head"))
+    rows = urls.filter("url is not null").join(heads, "path", "left")
+    in_head = (F.col("block") == 0) & (F.col("record") == F.col("head")) & F.col("at_start") & (F.col("k") == 0)
+    rows = rows.filter(~F.coalesce(in_head, F.lit(False))).select("path", "block", "record", "k", "url")
+    numbered = scan_number(rows, ["path"], ["block", "record", "k"], "n")
+    meta = _key(fetch_meta.select("path", "feed_ord", "feed_url", "status", "error"))
+    found = spread_join(_key(numbered), meta, ["path"], "inner", ["url"])
+    return found.select(
+        "feed_ord", "feed_url", url_host(F.col("feed_url")).alias("domain"), "status", "error", (F.col("n") - 1).alias("pos"), "url"
+    )
+
+
 def decode_feed_list(df: DataFrame, col: str = "value") -> DataFrame:
     """A JSON array of urls to rows `(..., feed_ord, url)`; missing or broken JSON is an empty list."""
     urls = F.coalesce(F.from_json(F.col(col), "array<string>"), F.array().cast("array<string>"))

@@ -5,11 +5,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.extract import extract_entities, extract_urls
+from ..operators.extract import extract_entities
 from ..plans.full_run import commit_run, full_run, load_state
 from ..session import shared_path
 from ..sources import tables
-from ..sources.documents import read_documents
+from ..sources.documents import read_urls
 from ..sources.request_logs import request_rows, write_request_csv
 from ..streaming import streams
 from . import fixtures as fx
@@ -23,14 +23,18 @@ from .registry import query
     with_ctes("page_urls") + "SELECT feed_ord, domain, status, pos, url FROM page_urls",
 )
 def landed_documents(spark, d):
-    """Documents landed as one gzip file each, read back with their fetch records."""
+    """Documents landed as one file each, every other one with gzip, read back in records with their fetch records."""
     docs = fx.page_docs(spark, d)
-    path = shared_path(spark, "landing")
-    docs.select("feed_ord", "content").write.partitionBy("feed_ord").text(path, compression="gzip", lineSep="\n")
-    files = spark.read.text(path, wholetext=True).select("feed_ord", F.col("_metadata.file_path").alias("path"))
-    meta = docs.drop("content").join(files, "feed_ord").select("path", "feed_ord", "feed_url", "status", "error")
-    rows = extract_urls(read_documents(spark, path, meta))
-    return rows.select("feed_ord", "domain", "status", F.col("pos").cast("bigint").alias("pos"), "url")
+    paths = [shared_path(spark, f"landing-{kind}") for kind in ("gzip", "none")]
+    rows = []
+    for odd, (path, kind) in enumerate(zip(paths, ("gzip", "none"), strict=True)):
+        some = docs.filter(F.col("feed_ord") % 2 == odd)
+        some.select("feed_ord", "content").write.partitionBy("feed_ord").text(path, compression=kind, lineSep="\n")
+        # One row per file: its path and, from the folder's name, its feed.
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("feed_ord", "path")
+        meta = some.drop("content").join(files, "feed_ord").select("path", "feed_ord", "feed_url", "status", "error")
+        rows.append(read_urls(spark, path, meta))
+    return rows[0].unionByName(rows[1]).select("feed_ord", "domain", "status", "pos", "url")
 
 
 @query(

@@ -1,10 +1,9 @@
 """Report, dashboard and quality queries (2.5-2.8, 2.11 of the inventory)."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import dashboard, diff, feeds, guards, maintenance, quality, registry, reports
-from ..session import cut_lineage
+from ..operators.ranking import number_rows
 from . import fixtures as fx
 from .fixtures import AS_OF, EVENTS_AS_OF, day, second, with_ctes
 from .registry import query
@@ -49,17 +48,9 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY feed_ord,
 
 
 def placed(df):
-    """Adds the row's place in the frame's own order, so that the order is compared too.
-
-    Only the row counts of the sorted tasks meet in one place.
-    """
-    task = F.shiftright("_id", 33)
-    sorted_ = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_task", task))
-    counts = sorted_.groupBy("_task").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.col("_start") + F.col("_id") - F.shiftleft(F.col("_task"), 33) + 1
-    return sorted_.join(F.broadcast(starts), "_task").select(*df.columns, place.alias("place"))
+    """Adds the row's place in the frame's own order, so that the order is compared too."""
+    own = df.withColumn("_own", F.monotonically_increasing_id())
+    return number_rows(own, [F.col("_own")], "place").select(*df.columns, (F.col("place") + 1).alias("place"))
 
 
 def _place(order: str) -> str:

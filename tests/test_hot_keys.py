@@ -123,3 +123,11 @@ def test_a_batch_touches_its_own_states(spark, tmp_path):
         key=str,
     )
     assert [(b, br) for d, r, b, br, _ in got if (d, r) == ("d3", 1)].count((30, 0)) == 1 and len(got) == 58
+
+
+@pytest.mark.parametrize("first, n", [(0, 3), (700_000, 50), (999_990, 50), (2_000_000, 5)])
+def test_deep_pages(spark, first, n):
+    """A page far down is found by the row counts of ranges."""
+    rows = spark.range(MILLION).select((F.col("id") * 7919 % MILLION).alias("v"))
+    got = [r.v for r in ranking.rows_between(rows, [F.col("v").desc()], first, n).orderBy(F.col("v").desc()).collect()]
+    assert got == [MILLION - 1 - p for p in range(first, min(first + n, MILLION))]

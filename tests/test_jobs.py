@@ -1,5 +1,6 @@
 import gzip
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfwatch.operators.feeds import feed_order
 from shelfwatch.plans.full_run import commit_run, full_run, load_state
 from shelfwatch.sources import tables
-from shelfwatch.sources.documents import decode_feed_list, read_documents
+from shelfwatch.sources.documents import decode_feed_list, read_documents, read_urls
 from shelfwatch.sources.request_logs import extract_to_csv, request_rows
 from shelfwatch.streaming import streams
 
@@ -155,3 +156,43 @@ def test_feed_order_is_stable_over_partitions(spark):
     rows = feed_order(df).orderBy("feed_ord").collect()
     assert [r.feed_ord for r in rows] == list(range(1000))
     assert [(r.created_at, r.url) for r in rows] == sorted((r.created_at, r.url) for r in rows)
+
+
+def test_urls_of_documents_in_records(spark, tmp_path):
+    """Files are read in records over several tasks; the URLs and their order are those of the whole text."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    texts = {
+        "big.xml": "<urlset>\n" + "".join(
+            f"<url><loc>{' ' * (i % 3)}https://h/games/g-{i}\n</loc></url>" + ("<URL><LOC>http://H/up</LOC></URL>" if i % 5 == 0 else "") for i in range(4000)
+        ),
+        "headless.xml": "https://no.start/a</loc><loc>https://h/b</loc>",
+        "starts.xml": "<loc>https://h/c</loc><loc>ftp://h/d</loc><loc>https://h/e",
+        "none.xml": "<urlset></urlset>",
+        "odd.xml": "<loc a='b'>https://h/f</loc><LOC>https://h/g</LOC><loc><![CDATA[https://h/h]]></loc>",
+    }
+    for name, text in texts.items():
+        (folder / name).write_text(text)
+    (folder / "packed.xml.gz").write_bytes(gzip.compress(texts["big.xml"].encode()))
+    texts["packed.xml.gz"] = texts["big.xml"]
+    (folder / "blank.xml").write_text("")
+    names = sorted([*texts, "blank.xml"])
+    meta = spark.createDataFrame([((folder / n).as_uri(), i, f"https://{n}/s.xml", 200, None) for i, n in enumerate(names)], META)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = read_urls(spark, str(folder), meta).orderBy("feed_ord", "pos").collect()
+        assert spark.read.text(str(folder), lineSep="<loc>").rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    whole = re.compile(r"<loc>\s*(https?://[^<\s]+)\s*</loc>", re.I)
+    expected = [(i, pos, url) for i, n in enumerate(names) for pos, url in enumerate(whole.findall(texts.get(n, "")))]
+    assert [(r.feed_ord, r.pos, r.url) for r in got] == expected
+    assert {r.domain for r in got} == {"big.xml", "packed.xml.gz", "headless.xml", "starts.xml", "odd.xml"}
+
+
+def test_no_exchange_carries_bodies(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<loc>https://h/a</loc>")
+    meta = spark.createDataFrame([], META)
+    plan = read_urls(spark, str(tmp_path), meta)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "value" not in plan
