@@ -9,6 +9,7 @@ regexes only.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hosts import ENDS_IN_NUMBER, ascii_host, bound, ipv4, ipv6
 from .text import SPACES, blank_to_null
 
 _SCHEME = rf"(?i)^[{SPACES}]*https?:[/\\]*"
@@ -17,6 +18,8 @@ _HOST = rf"(\[[0-9a-f:.]+\]|(?:{_NAME}|%[0-9a-f]{{2}})+)"
 # A port has at most 16 bits.
 _PORT = r"0*(?:[0-9]{0,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])"
 _AUTHORITY = _SCHEME + r"(?:[^/\\?#]*@)?" + _HOST + rf"(?::{_PORT})?(?=[/\\?#]|[{SPACES}]*$)"
+# Hosts that stay as they are: ASCII, and the last label begins with a letter and is no hexadecimal number.
+_PLAIN_HOST = r"^(?:[!-$&-Z\\^-~]*\.)?[a-z_][!-$&-,/-Z\\^-~-]*$"
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _PATH = _SCHEME + rf"[^/\\?#]+([^?#]*?)(?:[{SPACES}]*$|[?#])"
 # Characters a URL path carries percent-encoded.
@@ -28,15 +31,40 @@ _RARE = _ENCODED + r"|\\|" + _DOTS
 def url_host(url: Column) -> Column:
     """Lower-case host without user info and port; NULL when the URL is invalid.
 
-    Percent-encoded hosts are decoded; four decimal numbers are an address and must be bytes.
+    Percent-encoded hosts are decoded, international labels are given in ASCII, and hosts that end in a
+    number or stand in brackets are addresses in their standard form.
     """
-    host = F.lower(F.regexp_extract(url, _AUTHORITY, 1))
+    return bound(F.lower(F.regexp_extract(url, _AUTHORITY, 1)), _standard_host)
+
+
+def _standard_host(host: Column) -> Column:
+    return F.when(host.rlike(_PLAIN_HOST), host).when(host != "", _special_host(host))
+
+
+def _special_host(host: Column) -> Column:
+    named = bound(bound(_decoded(host), ascii_host), _named_host)
+    return F.when(host.startswith("["), ipv6(host)).otherwise(named)
+
+
+def _decoded(host: Column) -> Column:
     decoded = F.lower(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))))
-    host = F.when(F.contains(host, F.lit("%")), F.when(decoded.rlike(rf"^{_NAME}+$"), decoded)).otherwise(host)
+    return F.when(F.contains(host, F.lit("%")), F.when(decoded.rlike(rf"^{_NAME}+$"), decoded)).otherwise(host)
+
+
+def written_host(url: Column) -> Column:
+    """As `url_host`, but international and numeric hosts stay as they are written, four decimal numbers being bytes.
+
+    It stays inside generated code; the site rules need no more.
+    """
+    host = _decoded(F.lower(F.regexp_extract(url, _AUTHORITY, 1)))
     numbers = host.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
     return blank_to_null(F.when(~numbers | host.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"), host))
 
 
+def _named_host(host: Column) -> Column:
+    return F.when(host.rlike(ENDS_IN_NUMBER), ipv4(host)).otherwise(host)
+
+
 def _encode_char(c: Column) -> Column:
     return F.when(c == " ", F.lit("%20")).when(c.rlike(_ENCODED), F.url_encode(c)).otherwise(c)
 
@@ -80,8 +108,8 @@ def url_path(url: Column) -> Column:
 
 
 def with_url_parts(df: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
-    """Adds host and path of column `url`, each regex run once per row."""
+    """Adds `written_host` and path of column `url`, each regex run once per row."""
     url = F.col("url")
-    raw = df.select("*", url_host(url).alias(host), _raw_path(url).alias("_raw"))
+    raw = df.select("*", written_host(url).alias(host), _raw_path(url).alias("_raw"))
     clean = F.when(F.col(host).isNotNull(), _clean_path(F.col("_raw")))
     return raw.select(*df.columns, host, clean.alias(path))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import slugs
-from ..functions.urls import with_url_parts
+from ..functions.urls import url_host, with_url_parts
 from ..operators import extract, reports
 from ..sources.documents import decode_feed_list
 from ..sources.request_logs import request_rows
@@ -77,6 +77,30 @@ def page_hosts(spark, d):
     return with_url_parts(_page_urls(spark, d)).select("feed_ord", "pos", "url", "host")
 
 
+# Names and their ASCII forms, as the standard's tables give them.
+_NAMES = [("bücher", "xn--bcher-kva"), ("faß", "xn--fa-hia"), ("例え", "xn--r8jz45g"), ("почта", "xn--80a1acny"), ("plain", "plain")]
+_WRITTEN = "CASE s_suppkey % 5 " + " ".join(f"WHEN {i} THEN '{w}'" for i, (w, _) in enumerate(_NAMES)) + " END"
+
+
+@query(
+    "standard_hosts",
+    f"""SELECT s_suppkey, 's' || s_suppkey || '.' || CASE s_suppkey % 5 {" ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(_NAMES))} END
+          || '.example' AS named, '10.0.' || s_suppkey // 256 % 256 || '.' || s_suppkey % 256 AS hexadecimal,
+          '0.' || s_suppkey // 65536 % 256 || '.' || s_suppkey // 256 % 256 || '.' || s_suppkey % 256 AS number,
+          '[2001:db8::' || CASE WHEN s_suppkey % 65536 = 0 THEN '' ELSE lower(hex(s_suppkey % 65536)) END || ']' AS bracketed FROM supplier""",
+)
+def standard_hosts(spark, d):
+    """Every supplier under an international name, as a number, as hexadecimal parts and as a long bracketed address."""
+    rows = fx.table(spark, d, "supplier").selectExpr(
+        "s_suppkey",
+        f"'HTTPS://S' || s_suppkey || '.' || {_WRITTEN} || '.Example:8443/x' AS named",
+        "'http://0xA.0.0x' || hex(s_suppkey % 65536) AS hexadecimal",
+        "'http://' || s_suppkey % 16777216 || '/x' AS number",
+        "'http://[2001:0DB8:0:0:0:0:0:' || hex(s_suppkey % 65536) || ']:80/x' AS bracketed",
+    )
+    return rows.select("s_suppkey", *[url_host(F.col(c)).alias(c) for c in ("named", "hexadecimal", "number", "bracketed")])
+
+
 @query("page_paths", with_ctes("page_paths") + "SELECT feed_ord, pos, url, path FROM page_paths")
 def page_paths(spark, d):
     return with_url_parts(_page_urls(spark, d)).select("feed_ord", "pos", "url", "path")
