@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranking import spread_join
+from ..operators.ranking import scan_number, spread_join
 from ..session import cut_lineage
 from .components import components, spanning_links
 from .groups import group_starts, whole_groups
@@ -273,7 +273,7 @@ COPY_KEYS = 40
 KEY_ROWS = 5
 SKETCH_WORDS = 8
 SHINGLE = 5
-BLOCK = 256
+BLOCK = 1024
 SIMILARITY = 0.8
 
 
@@ -342,48 +342,148 @@ def _star_pairs(seats: DataFrame, crowds: DataFrame) -> DataFrame:
     return near.select(F.col("id").alias("x"), F.explode(ends).alias("y")).filter("x <> y")
 
 
+class CopyTree:
+    """Vantage-point search among sets of shingles, by their parities, for pairs that may be similar.
+
+    Parities differ in no more bits than the sets do in members, and two sets at the least
+    similarity differ in at most `size * (whole - part) / part` members, whichever of the two
+    sizes is taken; so the triangle inequality drops only pairs that are not similar.
+    """
+
+    def __init__(self, label: np.ndarray, size: np.ndarray, bits: np.ndarray, part: int, whole: int):
+        self.label, self.size, self.bits, self.part, self.whole = label, size, bits, part, whole
+        self.reach = size * (whole - part) // part
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        self.compared = 0
+
+    def compare(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Of pairs of positions, those with different labels that may be similar."""
+        size, part, whole = self.size, self.part, self.whole
+        keep = (self.label[x] != self.label[y]) & (np.minimum(size[x], size[y]) * whole >= np.maximum(size[x], size[y]) * part)
+        x, y = x[keep], y[keep]
+        self.compared += len(x)
+        apart = np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(axis=1, dtype=np.int64)
+        keep = apart * (part + whole) <= (size[x] + size[y]) * (whole - part)
+        self.found.append((x[keep], y[keep], apart[keep]))
+
+    def inside(self, s: np.ndarray) -> None:
+        """All pairs of a set: those of the near and the far half, and those across the edge."""
+        if len(s) <= LEAF:
+            x, y = np.triu_indices(len(s), 1)
+            return self.compare(s[x], s[y])
+        d = self._distances(s, s[0])
+        edge = np.sort(d)[(len(d) - 1) // 2]
+        near = d <= edge
+        if near.all():
+            x = np.arange(len(s))
+            for at in range(0, len(s), LEAF):
+                i, j = np.meshgrid(x[at : at + LEAF], x[at:], indexing="ij")
+                self.compare(s[i[i < j]], s[j[i < j]])
+            return
+        reach = self.reach[s]
+        self.inside(s[near])
+        self.inside(s[~near])
+        self.across(s[near & (d + reach > edge)], s[~near & (d - reach <= edge)])
+
+    def across(self, a: np.ndarray, b: np.ndarray) -> None:
+        """All pairs of a member of `a` with one of `b`."""
+        if not len(a) or not len(b):
+            return
+        if min(len(a), len(b)) > LEAF:
+            da, db = self._distances(a, b[0]), self._distances(b, b[0])
+            edge = np.sort(np.concatenate([da, db]))[(len(a) + len(b) - 1) // 2]
+            ra, rb = self.reach[a], self.reach[b]
+            na, nb = da <= edge, db <= edge
+            parts = [
+                (a[na], b[nb]), (a[~na], b[~nb]),
+                (a[na & (da + ra > edge)], b[~nb & (db - rb <= edge)]), (a[~na & (da - ra <= edge)], b[nb & (db + rb > edge)]),
+            ]
+            if sum(len(x) * len(y) for x, y in parts) < 0.9 * len(a) * len(b):
+                for x, y in parts:
+                    self.across(x, y)
+                return
+        for i in range(0, len(a), LEAF):
+            for j in range(0, len(b), 8 * LEAF):
+                x, y = np.meshgrid(a[i : i + LEAF], b[j : j + 8 * LEAF], indexing="ij")
+                self.compare(x.ravel(), y.ravel())
+
+    def _distances(self, s: np.ndarray, vantage: int) -> np.ndarray:
+        return np.bitwise_count(self.bits[s] ^ self.bits[vantage]).sum(axis=1, dtype=np.int64)
+
+
 def possible_pairs(t: pa.Table, part: int, whole: int) -> tuple[np.ndarray, ...]:
-    """Positions of two rows of one group with different labels that may be similar, and in how many bits they differ."""
+    """Positions of two rows of one place with different labels that may be similar, and in how many bits they differ.
+
+    A place holds the ids of one block, or of two blocks (`low`, `high`) whose members meet each other.
+    """
     keys = ["key", "low", "high"]
     starts = group_starts(t, keys)
     sizes = np.diff(np.append(starts, t.num_rows))
     group, small = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes <= 16, sizes)
-    label, own, size = (t[c].to_numpy() for c in ("label", "own", "size"))
-    within = t["low"].to_numpy() == t["high"].to_numpy()
+    label, own, low, high = (t[c].to_numpy() for c in ("label", "own", "low", "high"))
     bits = pa.concat_arrays(t["bits"].chunks).flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-
-    def compare(x: np.ndarray, y: np.ndarray) -> None:
-        keep = (label[x] != label[y]) & (within[x] | (own[x] != own[y]))
-        keep &= np.minimum(size[x], size[y]) * whole >= np.maximum(size[x], size[y]) * part
-        x, y = x[keep], y[keep]
-        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-        keep = apart * (part + whole) <= (size[x] + size[y]) * (whole - part)
-        found.append((x[keep], y[keep], apart[keep]))
-
+    tree = CopyTree(label, t["size"].to_numpy(), bits, part, whole)
     for step in range(1, 16):
         x = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
-        compare(x, x + step)
+        x = x[(low[x] == high[x]) | (own[x] != own[x + step])]
+        tree.compare(x, x + step)
     for start, n in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
-        for at in range(start, start + n, 128):
-            x, y = np.meshgrid(np.arange(at, min(at + 128, start + n)), np.arange(at, start + n), indexing="ij")
-            compare(x[x < y], y[x < y])
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+        s = np.arange(start, start + n)
+        if low[start] != high[start]:
+            tree.across(s[own[s] == low[start]], s[own[s] == high[start]])
+            continue
+        names, counts = np.unique(label[s], return_counts=True)
+        common = label[s] == names[counts.argmax()]
+        tree.inside(s[~common])
+        tree.across(s[~common], s[common])
+    return tuple(np.concatenate(c) for c in zip(*tree.found, strict=True))
+
+
+def _places(seats: DataFrame, crowds: DataFrame, part: int, whole: int) -> DataFrame:
+    """The ids of each key dealt to places: `key, low, high, own`, with `id, label, size, bits`.
+
+    A key of at most `BLOCK` ids is one place.  In a larger one the ids, those of its commonest
+    label apart, are ordered by their distance to a vantage point (its smallest id) and cut into
+    blocks, so that a block is a shell; two blocks are a place unless the triangle inequality
+    or the sizes rule out that they hold a similar pair, or all their ids have the commonest label.
+    """
+    columns = ["id", "label", "size", "bits"]
+    met = spread_join(seats, crowds.select("key", "n", "least"), ["key"], "inner", ["id"], 4)
+    zeros = [F.lit(0).cast("long").alias(c) for c in ("low", "high", "own")]
+    few = met.filter(F.col("n") <= BLOCK).select("key", *zeros, *columns)
+    crowded = cut_lineage(met.filter(F.col("n") > BLOCK).drop("n"))
+    vantage = crowded.filter("id = least").select("key", F.col("bits").alias("vantage"))
+    common = crowded.groupBy("key", "label").agg(F.count("*").alias("n"))
+    common = common.groupBy("key").agg(F.max(F.struct("n", "label")).alias("_m")).select("key", F.col("_m.label").alias("common"))
+    apart = F.zip_with("bits", "vantage", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(apart, F.lit(0), lambda n, x: n + x)
+    shells = spread_join(crowded, vantage.join(common, "key"), ["key"], "inner", ["id"], 4)
+    side = (F.col("label") == F.col("common")).cast("long")
+    shells = scan_number(shells.select("key", side.alias("side"), apart.alias("d"), *columns), ["key", "side"], ["d", "id"], "at")
+    block = F.floor((F.col("at") - 1) / BLOCK) * 2 + F.col("side")
+    shells = cut_lineage(shells.select("key", "d", block.alias("own"), *columns))
+    blocks = cut_lineage(shells.groupBy("key", "own").agg(
+        F.min("d").alias("near"), F.max("d").alias("far"), F.min("size").alias("least"), F.max("size").alias("most"),
+    ))
+    a = blocks.select("key", *[F.col(c).alias(f"a_{c}") for c in ("own", "near", "far", "least", "most")])
+    b = blocks.select("key", *[F.col(c).alias(f"b_{c}") for c in ("own", "near", "far", "least", "most")])
+    gap = F.greatest(F.col("a_near") - F.col("b_far"), F.col("b_near") - F.col("a_far"))
+    pairs = a.join(b, "key").filter("a_own <= b_own AND (a_own % 2 = 0 OR b_own % 2 = 0)").filter(
+        (gap * (part + whole) <= (F.col("a_most") + F.col("b_most")) * (whole - part))
+        & (F.col("a_most") * whole >= F.col("b_least") * part)
+        & (F.col("b_most") * whole >= F.col("a_least") * part)
+    )
+    pairs = pairs.select("key", F.col("a_own").alias("low"), F.col("b_own").alias("high"))
+    seated = pairs.withColumn("own", F.explode(F.array_distinct(F.array("low", "high"))))
+    many = shells.join(seated, ["key", "own"]).select("key", "low", "high", "own", *columns)
+    return few.union(many)
 
 
 def _block_pairs(seats: DataFrame, crowds: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """Pairs of ids of one key with different labels that may be similar: all, or for every id its nearest.
-
-    The ids of a key are dealt to blocks, and each two blocks are compared in a task of their own.
-    """
+    """Pairs of ids of one key with different labels that may be similar: all, or for every id its nearest."""
     part, whole = Fraction(str(similarity)).as_integer_ratio()
-    met = spread_join(seats, crowds.select("key", "n"), ["key"], "inner", ["id"], 4)
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    met = met.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     place = ["key", "low", "high"]
-    met = met.select(*place, "own", "id", "label", "size", "bits").repartition(*place).sortWithinPartitions(*place)
+    met = _places(seats, crowds, part, whole).repartition(*place).sortWithinPartitions(*place)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, place):
@@ -404,8 +504,9 @@ def copy_roots(met: DataFrame, sketches: DataFrame, shingles: DataFrame, similar
     """`node, root` of the groups connected by similar pairs among the ids that share a key.
 
     First every id is compared with two others of each of its keys, which joins nearly all of a
-    group.  Only keys that still hold several groups are searched further, in blocks: for every
-    id the nearest of another group, then all pairs of different groups that are still open.
+    group.  Only keys that still hold several groups are searched further, in shells around a
+    vantage point and, inside these, by vantage-point trees: for every id the nearest of another
+    group, then all pairs of different groups that are still open.
     Pairs of one group are never needed, so the result is that of comparing all.
     """
     links = tried = None

@@ -223,6 +223,27 @@ def test_pages_of_a_template_are_not_all_compared(spark, monkeypatch):
     assert 0 < sum(compared) < 400 * 20
 
 
+def test_copy_tree_finds_all_pairs():
+    pick = np.random.default_rng(11)
+    for spread in (2, 12, 24):
+        hubs = pick.integers(0, 2, (5, 512), dtype=np.uint8)
+        sets = hubs[pick.integers(0, 5, 700)] ^ (pick.random((700, 512)) < spread / 512)
+        bits = np.packbits(sets.astype(np.uint8), axis=1, bitorder="little").view("<u8")
+        label, size = pick.integers(0, 90, 700), pick.integers(60, 240, 700)
+        tree = simhash.CopyTree(label, size, bits, 4, 5)
+        tree.inside(np.arange(400))
+        tree.across(np.arange(400), np.arange(400, 700))
+        tree.inside(np.arange(400, 700))
+        x, y = np.triu_indices(700, 1)
+        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
+        size_x, size_y = size[x], size[y]
+        keep = (label[x] != label[y]) & (np.minimum(size_x, size_y) * 5 >= np.maximum(size_x, size_y) * 4)
+        keep &= apart * 9 <= size_x + size_y
+        expected = set(zip(x[keep].tolist(), y[keep].tolist(), strict=True))
+        found = [(min(a, b), max(a, b)) for found in tree.found for a, b in zip(found[0].tolist(), found[1].tolist(), strict=True)]
+        assert len(found) == len(set(found)) and set(found) == expected and expected
+
+
 def test_lattice_decoding():
     y = np.random.default_rng(4).standard_normal((200, 8)) * 2
     point = lattice.nearest_point(y)
