@@ -13,10 +13,11 @@ learning ends the path: the mixture stops at the deepest one that was.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,6 @@ DEPTH = 6
 BLOCK_BYTES = 8 << 20
 TREE_GROUPS = 512
 FOLDS = 10
-STEPS = 4096.0
 END = 255
 WINDOWS, WORDS, TOTALS = 0, 1, 2
 ASKED = "kind int, bucket long, block long, asked binary"
@@ -35,7 +35,6 @@ ANSWERED = "kind int, block long, bucket long, answer binary"
 COUNTED = "grove int, bucket long, counted binary"
 SMALL = 1 << 12
 CHUNK = 1 << 16
-SEARCHED = 1 << 18
 
 
 def _log_gammas(half: float) -> np.ndarray:
@@ -141,13 +140,24 @@ def groves(window: np.ndarray, depth: int) -> np.ndarray:
     return (mixed(window >> np.uint64(8 * (depth - 1))) % np.uint64(TREE_GROUPS)).astype(np.int32)
 
 
+def window_slices(window: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of distinct windows in order, per bucket of their hashes."""
+    code = mixed(window)
+    order = np.argsort(code)
+    for bucket, s in bucket_slices(code[order], buckets):
+        some = order[s]
+        yield bucket, some[np.argsort(window[some])]
+
+
 class Block:
     """The texts of one block, lower-cased: windows, words, and their learning counts."""
 
     def __init__(self, table: pa.Table, depth: int):
-        texts = [(t or b"").lower() for t in table["text"].cast(pa.binary()).to_pylist()]
+        text = pa.concat_arrays(table["text"].cast(pa.string()).chunks)
+        text = pc.ascii_lower(pc.fill_null(text, ""))
         self.learn = table["_learn"].to_numpy()
-        self.words = [t.split() for t in texts]
+        self._words(text)
+        texts = text.cast(pa.binary()).to_pylist()
         self.lengths = np.array([len(t) + 1 for t in texts])
         self.begins = np.cumsum(self.lengths) - self.lengths
         gap = bytes([END]) * depth
@@ -159,32 +169,46 @@ class Block:
             self.windows[begin : begin + length] = every[at : at + length]
             at += length + depth
 
+    def _words(self, text: pa.Array) -> None:
+        """Words by code and the text of each; the empty word is the end of a text."""
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(text))
+        text_of = np.repeat(np.arange(len(text)), pc.list_value_length(split).to_numpy())
+        found = split.flatten().dictionary_encode()
+        code, words = found.indices.to_numpy(), found.dictionary.cast(pa.binary()).to_pylist()
+        if b"" in words:  # a text without words
+            full = code != words.index(b"")
+            code, text_of = code[full], text_of[full]
+        else:
+            words.append(b"")
+        self.words, self.end = words, words.index(b"")
+        ends = np.full(len(text), self.end, code.dtype)
+        self.word_code = np.concatenate([code, ends])
+        self.text_of = np.concatenate([text_of, np.arange(len(text))])
+
     def window_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct windows by hash and how often each occurs in texts to learn from."""
+        """Distinct windows and how often each occurs in texts to learn from."""
         tagged = self.windows << np.uint64(1)
         tagged |= np.repeat(~self.learn, self.lengths)
         tagged.sort()
         every = tagged >> np.uint64(1)
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        learn = np.add.reduceat((tagged & np.uint64(1) == 0).astype(np.int64), first)
-        every = every[first]
-        order = np.argsort(mixed(every))
-        return every[order], learn[order]
-
-    def word_counts(self, buckets: int) -> list[tuple[int, list[bytes], np.ndarray]]:
-        """Distinct words in order and their learning counts, per bucket; the end is the empty word."""
-        learn, rest = ([w for w, k in zip(self.words, self.learn, strict=True) if k == kind] for kind in (True, False))
-        counts: Counter[bytes] = Counter(chain.from_iterable(learn))
-        counts.update(dict.fromkeys(chain.from_iterable(rest), 0))
-        counts[b""] = len(learn)
-        words = list(counts)
-        code = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        return every[first], np.add.reduceat((tagged & np.uint64(1) == 0).astype(np.int64), first)
+
+    def window_codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct windows and for every window its place among these."""
+        found = pa.array(self.windows).dictionary_encode()
+        return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+    def word_counts(self) -> np.ndarray:
+        """How often each distinct word occurs in texts to learn from."""
+        return np.bincount(self.word_code[self.learn[self.text_of]], minlength=len(self.words))
+
+    def word_slices(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Places of the distinct words in order, per bucket of their hashes."""
+        code = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
         order = np.argsort(code)
-        out = []
         for bucket, s in bucket_slices(code[order], buckets):
-            some = sorted([words[i] for i in order[s].tolist()])
-            out.append((bucket, some, np.fromiter((counts[w] for w in some), np.int64, len(some))))
-        return out
+            yield bucket, np.array(sorted(order[s].tolist(), key=self.words.__getitem__))
 
 
 def _rows(names_types: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
@@ -204,8 +228,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, block_b
     A row is held out if crc32(doc_id as text) mod `folds` is 0; a row with a null id is not.  A-Z
     are lower-cased; a null text is empty.  Returns per row `doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score, n_bytes, bits_per_byte`: `score` is the log10 probability of
-    the text and its end (a sum over its bytes of values kept to 1/4096, like the codes of an
-    arithmetic coder), `base_score` that of its words and its end under smoothed word
+    the text and its end (a sum over its bytes of values in single precision), `base_score` that of its words and its end under smoothed word
     counts.  Without rows to learn from every bit has probability 1/2.  Repeated rows count as
     often as they occur; an empty table gives no rows.  Other columns are not read.
     """
@@ -217,13 +240,13 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, block_b
 
     def ask(table: pa.Table) -> pa.Table:
         block, number = Block(table, depth), table["_block"][0].as_py()
-        window, count = block.window_counts()
-        rows = []
-        for b, s in bucket_slices(mixed(window), blocks):
-            order = np.argsort(window[s])
-            rows.append((WINDOWS, b, number, squeezed([pack_sorted(window[s][order]), pack_counts(count[s][order])])))
-        for b, words, count in block.word_counts(blocks):
-            rows.append((WORDS, b, number, squeezed([b"\n".join(words), pack_counts(count)])))
+        (window, count), rows = block.window_counts(), []
+        for b, some in window_slices(window, blocks):
+            rows.append((WINDOWS, b, number, squeezed([pack_sorted(window[some]), pack_counts(count[some])])))
+        count = block.word_counts()
+        for b, some in block.word_slices(blocks):
+            words = b"\n".join([block.words[i] for i in some.tolist()])
+            rows.append((WORDS, b, number, squeezed([words, pack_counts(count[some])])))
         return _rows(ASKED_TYPES, rows)
 
     def count_windows(group: pa.Table) -> pa.Table:
@@ -323,7 +346,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, block_b
         rows = []
         for x, y in zip(starts, np.append(starts[1:], len(b)), strict=True):
             some = order[x:y]
-            data = squeezed([pack_sorted(window[some]), np.minimum(np.rint(-STEPS * out[some]), 65535).astype("<u2").tobytes()])
+            data = squeezed([pack_sorted(window[some]), out[some].astype("<f4").tobytes()])
             rows.append((WINDOWS, int(b[x]), data))
         return _rows(MODEL_TYPES, rows)
 
@@ -334,7 +357,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, block_b
         parts = [unsqueezed(d) for d in model["model"].to_pylist()]
         window = np.concatenate([unpack_sorted(p[0]) for p in parts])
         order = np.argsort(window)
-        window, value = window[order], np.concatenate([np.frombuffer(p[1], "<u2") for p in parts])[order]
+        window, value = window[order], np.concatenate([np.frombuffer(p[1], "<f4") for p in parts])[order]
         rows = []
         for b, bucket, data in zip(*(group[c].to_pylist() for c in ("block", "bucket", "asked")), strict=True):
             found = value[np.searchsorted(window, unpack_sorted(unsqueezed(data)[0]))]
@@ -346,28 +369,22 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, block_b
         rows = answers.sort_by("bucket")
         kind = rows["kind"].to_numpy()
         of = {k: rows.filter(pa.array(kind == k))["answer"].to_pylist() for k in (WINDOWS, WORDS)}
-        window, _ = block.window_counts()
-        slices = [s for _, s in bucket_slices(mixed(window), blocks)]
-        ordered = np.concatenate([np.sort(window[s]) for s in slices])
-        value = np.frombuffer(b"".join(of[WINDOWS]), "<u2") / -STEPS
-        order = np.argsort(ordered)
-        ordered, value = ordered[order], value[order]
-        scores = np.empty(len(block.windows))
-        for at in range(0, len(scores), SEARCHED):  # sorted, searches run along the table
-            some = block.windows[at : at + SEARCHED]
-            by_window = np.argsort(some)
-            scores[at + by_window] = value[np.searchsorted(ordered, some[by_window])]
-        words = [w for _, some, _ in block.word_counts(blocks) for w in some]
-        counts = np.frombuffer(b"".join(unsqueezed(d)[0] for d in of[WORDS]), "<i8")
-        term = dict(zip(words, np.log10(counts + 0.1).tolist(), strict=True))
-        new = {w for w, n in zip(words, (counts == 0).tolist(), strict=True) if n}
-        tokens = [len(w) + 1 for w in block.words]
-        known = [n - sum(map(new.__contains__, w)) - (b"" in new) for n, w in zip(tokens, block.words, strict=True)]
-        base = [sum(map(term.__getitem__, w)) + term[b""] for w in block.words]
+        window, code = block.window_codes()
+        value = np.empty(len(window))
+        at = np.concatenate([some for _, some in window_slices(window, blocks)])
+        value[at] = np.frombuffer(b"".join(of[WINDOWS]), "<f4")
+        scores = np.add.reduceat(value[code], block.begins)
+        counts = np.empty(len(block.words), np.int64)
+        at = np.concatenate([some for _, some in block.word_slices(blocks)])
+        counts[at] = np.frombuffer(b"".join(unsqueezed(d)[0] for d in of[WORDS]), "<i8")
+        n = len(block.lengths)
+        tokens = np.bincount(block.text_of, minlength=n)
+        known = np.bincount(block.text_of[(counts > 0)[block.word_code]], minlength=n)
+        base = np.bincount(block.text_of, np.log10(counts + 0.1)[block.word_code], n)
         return pa.table({
             "doc_id": table["doc_id"], "held_out": pa.array(~block.learn),
             "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
-            "terms": pa.array(base, pa.float64()), "score": pa.array(np.add.reduceat(scores, block.begins)),
+            "terms": pa.array(base, pa.float64()), "score": pa.array(scores),
             "n_bytes": pa.array(block.lengths - 1, pa.int64()),
         })
 
