@@ -18,8 +18,10 @@ from ..functions.text import timestamp
 from ..operators.guards import MIN_FIRST, SHRINK, check_status, is_success
 from ..operators.ranking import first_per
 from ..plans.full_run import commit_run, full_run, load_state
+from ..session import cut_lineage
 from ..sources import tables
 from ..sources.documents import documents_of
+from ..sources.members import Members
 
 CHECKED = "domain string, run long, url_count long, baseline long, baseline_run long"
 
@@ -101,16 +103,25 @@ def stream_baseline(counts: DataFrame, out: str, checkpoint: str) -> StreamingQu
 
 
 def stream_first_seen(
-    entities: DataFrame, out: str, checkpoint: str, order: tuple[str, ...] = ("feed_ord", "pos", "url")
+    entities: DataFrame,
+    out: str,
+    checkpoint: str,
+    order: tuple[str, ...] = ("feed_ord", "pos", "url"),
+    members: Members | None = None,
 ) -> StreamingQuery:
     """Appends the first row, in `order`, of every clean name that no earlier batch had.
 
-    The first row of a name in a batch is a minimum, combined before the exchange.
+    The first row of a name in a batch is a minimum, combined before the exchange.  With `members`
+    the stored names are behind filters, and a batch opens only the partitions of names it may
+    hold already; without, all stored names are read.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
         rows = first_per(batch, ["clean_name"], list(order))
-        if batch_id:
+        if members:
+            rows = cut_lineage(members.unseen(rows, "clean_name", batch_id))
+            members.add(rows, "clean_name", batch_id)
+        elif batch_id:
             stored = batch.sparkSession.read.parquet(out).filter(F.col("batch") < batch_id)
             rows = rows.join(stored.select("clean_name"), "clean_name", "left_anti").select(*batch.columns)
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

@@ -10,7 +10,9 @@ from ..plans.full_run import commit_run, full_run, load_state
 from ..session import shared_path
 from ..sources import tables
 from ..sources.documents import read_urls
+from ..sources.members import Members
 from ..sources.request_logs import request_rows, write_request_csv
+from ..sources.url_store import append_urls, diff_stored, url_store
 from ..streaming import streams
 from . import fixtures as fx
 from .changes import CHECK, CHECK_DIFF, show_baseline, stored_snapshot, walk
@@ -178,6 +180,47 @@ def stream_first_seen(spark, d):
     return spark.read.parquet(out).select("clean_name", "feed_ord", "pos", "url", "domain")
 
 
+@query(
+    "stream_first_seen_filtered",
+    with_ctes("listings")
+    + """SELECT clean_name, feed_ord, pos, url, domain, pos % 3 AS batch FROM (SELECT *, row_number() OVER
+           (PARTITION BY clean_name ORDER BY pos % 3, feed_ord, pos, url) AS k FROM listings) WHERE k = 1""",
+)
+def stream_first_seen_filtered(spark, d):
+    """Three portions; stored names lie behind filters, and only partitions that may hold a name are opened."""
+    landing, out, state, stored = (shared_path(spark, n) for n in ("listed", "first-seen", "first-seen-state", "members"))
+    rows = fx.listings(spark, d).select("clean_name", "feed_ord", "pos", "url", "domain")
+    members = Members(stored, parts=32, words=1 << 12)
+    for portion in range(3):
+        rows.filter(F.col("pos") % 3 == portion).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(rows.schema).parquet(landing)
+        streams.stream_first_seen(stream, out, state, members=members).awaitTermination()
+    found = spark.read.parquet(out)
+    return found.select("clean_name", "feed_ord", "pos", "url", "domain", F.col("batch").cast("long").alias("batch"))
+
+
+_SHRUNK = "feed_ord % 3 = 0"
+
+
+@query(
+    "stored_url_diff",
+    with_ctes("listings")
+    + f"""SELECT feed_ord, domain, pos, url FROM listings n WHERE is_open AND NOT EXISTS (SELECT 1 FROM listings o
+           WHERE o.domain = n.domain AND o.url = n.url
+             AND o.listed_at < CASE WHEN {_SHRUNK.replace("feed_ord", "o.feed_ord")} THEN TIMESTAMP '1995-01-01' ELSE TIMESTAMP '1999-01-01' END)""",
+)
+def stored_url_diff(spark, d):
+    """Two runs are stored in buckets, the second for every third site with fewer URLs; the third is compared with them."""
+    store = url_store(spark, shared_path(spark, "urls"))
+    old = fx.old_listings(spark, d)
+    append_urls(store, old, 0)
+    append_urls(store, old.filter(_SHRUNK).filter(F.col("listed_at") < fx.at("1995-01-01")), 1)
+    sites = fx.listings(spark, d).select("feed_ord", "domain").distinct()
+    headers = sites.select("domain", F.expr(f"IF({_SHRUNK}, 1L, 0L)").alias("gen"))
+    new = fx.new_listings(spark, d).select("feed_ord", "domain", "pos", "url")
+    return diff_stored(new, headers, spark.table(store))
+
+
 _LATE = "run % 7 = 3"
 
 

@@ -1,9 +1,13 @@
 """Report, dashboard and quality queries (2.5-2.8, 2.11 of the inventory)."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import dashboard, diff, feeds, guards, maintenance, quality, registry, reports
+from ..operators.name_search import search_names, write_name_index
 from ..operators.ranking import number_rows
+from ..session import shared_path
 from . import fixtures as fx
 from .fixtures import AS_OF, EVENTS_AS_OF, day, second, with_ctes
 from .registry import query
@@ -291,6 +295,24 @@ def game_list_page(spark, d):
     )
 
 
+# Whole words, wildcards of both kinds, upper case, fewer than three letters, and a name that does not occur.
+SEARCHES = ("ring", "red_w", "gr%-1%a", "GREEN-", "-7", "o_%k", "no such game")
+
+
+@query(
+    "game_search_indexed",
+    with_ctes("games")
+    + f"""SELECT search, clean_name, platform_count, score FROM games
+           JOIN (SELECT unnest({list(SEARCHES)}) AS search) ON name ILIKE '%' || search || '%'""",
+)
+def game_search_indexed(spark, d):
+    """Several searches over one stored catalog with a trigram index."""
+    path = shared_path(spark, "names")
+    write_name_index(fx.games(spark, d), path)
+    found = [search_names(spark, path, s).select(F.lit(s).alias("search"), "clean_name", "platform_count", "score") for s in SEARCHES]
+    return reduce(lambda a, b: a.unionAll(b), found)
+
+
 _ON_SITE = "id IN (SELECT game_id FROM sources WHERE domain = 's5.example.com')"
 
 
