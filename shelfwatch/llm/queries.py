@@ -69,6 +69,21 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLES["op3_warc_bundles"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+s AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS sha FROM p),
+d AS (
+  SELECT page_id, payload_bytes, sha, array_to_string(list_transform(range(0, 32), lambda i: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(sha, 1 + i // 8 * 10, 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER), 1)), '')
+    AS payload_digest, min(page_id) OVER (PARTITION BY sha) AS first FROM s)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM d
+"""
+
+
 @query
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives written from all pages, read back through their index."""

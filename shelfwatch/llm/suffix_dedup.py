@@ -8,7 +8,9 @@ hash is its anchor, so equal windows have equal anchors at equal places.
   pass 1   the anchor itself: which anchors occur in more than one document;
   pass 2   the anchor with all bytes of the windows around it: where an earlier document has the
            same, all its windows are repeated, and where an anchor has one context only, the work is done;
-  pass 3   what is left: the windows at each offset around the anchor, by their full 50 bytes.
+  pass 3   what is left: the windows at each offset around the anchor, by seven digits of eight bytes.
+
+The passes over anchors and contexts compare 64-bit hashes of their bytes, pass 3 the bytes.
 
 Texts are dealt once to blocks of bounded size.  A block asks about its distinct digits in
 packed arrays, cut by the digit's leading bits; the answers come back in the same order.
@@ -48,6 +50,25 @@ def hash_rows(rows: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
+def equal_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a byte matrix that occur more than once, and the number of the group of each.
+
+    Most-significant-digit passes: each sorts what is left inside its groups by the next eight bytes,
+    splits the groups there and drops rows that are alone.
+    """
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    digits = wide.view(">u8")
+    live, group = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+    for column in range(digits.shape[1]):
+        digit = digits[live, column].astype(np.uint64)
+        order = np.lexsort((digit, group))
+        live, group = live[order], _runs(group[order], digit[order])
+        several = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+        live, group = live[several], group[several]
+    return live, group
+
+
 def sliding(take, values: np.ndarray, width: int) -> np.ndarray:
     """Minimum or maximum of every `width` neighbours."""
     reach = 1
@@ -234,11 +255,11 @@ def answer_windows(group: pa.Table) -> pa.Table:
         some = np.flatnonzero((shown["left"] >= offset) & (shown["right"] >= REACH - offset))
         if not len(some):
             continue
-        key = hash_rows(shown["bytes"][some, REACH - offset : REACH - offset + WINDOW])
-        order = np.lexsort((doc[some], key))
-        run, d = _runs(key[order]), doc[some][order]
+        rows, same = equal_rows(shown["bytes"][some, REACH - offset : REACH - offset + WINDOW])
+        order = np.lexsort((doc[some[rows]], same))
+        rows, run = some[rows[order]], _runs(same[order])
         starts = np.flatnonzero(np.diff(run, prepend=-1))
-        found = some[order[d > d[starts][run]]]
+        found = rows[doc[rows] > doc[rows][starts][run]]
         mask[found] |= np.uint32(1 << offset)
     sizes = [len(p[1]) // 8 for p in parts]
     return _answers(group, 3, [x.tobytes() for x in np.split(mask, np.cumsum(sizes)[:-1])])

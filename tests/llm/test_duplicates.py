@@ -66,6 +66,19 @@ def hard_texts():
     return texts + ["ab" * 200, "ab" * 150, "", "short", "q" * 49, "q" * 50, "q" * 51]
 
 
+def test_equal_rows_by_digits():
+    pick = np.random.default_rng(3)
+    for width in (1, 8, 50):
+        rows = pick.integers(0, 2, (400, width)).astype(np.uint8)
+        rows[200:300] = rows[:100]
+        rows[300:, : width - 1] = rows[:100, : width - 1]  # differ, if at all, in the last byte
+        live, group = suffix_dedup.equal_rows(rows)
+        texts = [r.tobytes() for r in rows]
+        assert sorted(live) == [i for i, t in enumerate(texts) if texts.count(t) > 1]
+        assert len({(texts[i], g) for i, g in zip(live, group)}) == len(set(group)) == len({texts[i] for i in live})
+    assert not len(suffix_dedup.equal_rows(np.zeros((0, 50), np.uint8))[0])
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 700])
 def test_repeated_strings(spark, docs, no_docs, block_bytes):
     rows = [(i * 37 % 101, t) for i, t in enumerate(hard_texts())]

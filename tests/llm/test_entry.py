@@ -17,12 +17,14 @@ def test_queries_are_registered():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
-@pytest.mark.parametrize("name", ["op9_embedding_groups", "op12_source_divergence", "op13_repeated_passages"])
+@pytest.mark.parametrize("name", ["op3_warc_bundles", "op9_embedding_groups", "op12_source_divergence", "op13_repeated_passages"])
 def test_like_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     expected = con.sql(__spark_entry__.oracle_sql()[name]).df()
     found = __spark_entry__.queries()[name](spark, SF_DIR).toPandas()
-    rows = [sorted(map(tuple, df[sorted(df.columns)].values.tolist())) for df in (expected, found)]
+    columns = sorted(expected.columns)
+    plain = [df[columns].astype(object).where(df[columns].notna(), None).values.tolist() for df in (expected, found)]
+    rows = [sorted((tuple(int(v) if isinstance(v, float) and v.is_integer() else v for v in r) for r in x), key=repr) for x in plain]
     assert sorted(expected.columns) == sorted(found.columns) and rows[0] == rows[1]
