@@ -71,6 +71,12 @@ def tables_reset(spark, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+def known_games(known):
+    """One game per clean name, however many spellings its sites have: the smallest name, the count of all its sites."""
+    names = known.groupBy("clean_name").agg(F.min("name").alias("name"))
+    return fx.games_of(known.select("clean_name", "domain", "listed_at").distinct().join(names, "clean_name"))
+
+
 _RUN_AT = "2024-02-20 08:00:00"
 _BLANK = "'' AS url, '' AS name, '' AS clean_name, false AS is_new, false AS is_cross"
 
@@ -107,7 +113,7 @@ def full_run_tables(spark, d):
     """A run over the stored catalogs, the entities behind them and the events as logs; its changes and the tables it leaves."""
     headers, urls = stored_snapshot(spark, d)
     known = extract_entities(urls.withColumn("feed_ord", F.lit(0).cast("bigint"))).withColumn("listed_at", fx.at("2024-01-01"))
-    games = fx.games_of(known.groupBy("clean_name", "domain", "listed_at").agg(F.min("name").alias("name")))
+    games = known_games(known)
     sources = fx.sources_of(known.groupBy("clean_name", "domain", "listed_at").agg(F.min("url").alias("url")))
     logs = fx.logs(spark, d).select(
         F.col("id").cast("string").alias("id"), "domain", F.lit(0).cast("bigint").alias("feed_ord"), "new_games_count",

@@ -11,6 +11,7 @@ from shelfwatch.sources import tables
 from shelfwatch.sources.documents import decode_feed_list, read_documents, read_urls
 from shelfwatch.sources.request_logs import extract_to_csv, request_rows
 from shelfwatch.streaming import streams
+from shelfwatch.workloads.jobs import known_games
 
 META = "path string, feed_ord bigint, feed_url string, status int, error string"
 
@@ -196,3 +197,10 @@ def test_no_exchange_carries_bodies(spark, tmp_path):
     meta = spark.createDataFrame([], META)
     plan = read_urls(spark, str(tmp_path), meta)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and "value" not in plan
+
+
+def test_known_games_have_one_row_per_clean_name(spark):
+    rows = [("ench", "Ench", "a"), ("ench", "ench", "b"), ("ench", "ench.", "b"), ("was", "was", "a")]
+    known = spark.createDataFrame(rows, "clean_name string, name string, domain string")
+    games = known_games(known.withColumn("listed_at", F.lit("2024-01-01").cast("timestamp_ntz")))
+    assert sorted((g.clean_name, g.name, g.platform_count) for g in games.collect()) == [("ench", "Ench", 2), ("was", "was", 1)]
