@@ -140,11 +140,22 @@ def _accept(candidates: DataFrame, touched: Touched) -> tuple[DataFrame, DataFra
 def settle(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """First-come choice where each domain and each URL of a clean name is used once.
 
-    The edges of a clean name are numbered in order and cut into blocks.  A round settles the first blocks
-    that have about `block` edges left, which one task can hold, and then strikes out, over all tasks, every
-    edge whose domain or URL has just been taken.  What a block leaves behind is thus small, and the next
-    round starts at the first edge that is still open.
+    A clean name with at most `block` edges is settled at once in one task.  The edges of a larger one are
+    numbered in order and cut into blocks.  A round settles the first blocks that have about `block` edges
+    left, which one task can hold, and then strikes out, over all tasks, every edge whose domain or URL has
+    just been taken.  What a block leaves behind is thus small, and the next round starts at the first edge
+    that is still open.
     """
+    large = cut_lineage(edges.groupBy("clean_name").agg(F.count("*").alias("_n")).filter(F.col("_n") > block).select("clean_name"))
+    if large.isEmpty():
+        return _greedy(edges)
+    small = edges.join(large, "clean_name", "left_anti").select(*edges.columns)
+    rows = spread_join(edges, large, ["clean_name"], "left_semi", ["url"]).select(*edges.columns)
+    return _greedy(small).unionByName(_settle_in_rounds(rows, block))
+
+
+def _settle_in_rounds(edges: DataFrame, block: int) -> DataFrame:
+    """`settle` for the clean names that one task cannot hold."""
     numbered = scan_number(edges, ["clean_name"], [*ORDER, "domain", "name"], "_n")
     rest = cut_lineage(numbered.select(*edges.columns, F.floor((F.col("_n") - 1) / block).alias("_block")))
     path, rounds = shared_path(edges.sparkSession, "settled"), 0
@@ -159,7 +170,9 @@ def settle(edges: DataFrame, block: int = BLOCK) -> DataFrame:
         won = edges.sparkSession.read.schema(edges.schema).parquet(f"{path}/round={rounds - 1}")
         rest = spread_join(rest, due, ["clean_name", "_block"], "left_anti", ["url"])
         rest = rest.join(won.select("clean_name", "url"), ["clean_name", "url"], "left_anti")
-        rest = cut_lineage(spread_join(rest, won.select("clean_name", "domain"), ["clean_name", "domain"], "left_anti", ["url"]))
+        # The planner takes the repeated rows for as few as there were before, so they are never sent to all tasks.
+        taken = won.select("clean_name", "domain").hint("merge")
+        rest = cut_lineage(spread_join(rest, taken, ["clean_name", "domain"], "left_anti", ["url"]))
         if rest.isEmpty():
             return edges.sparkSession.read.schema(edges.schema).parquet(*[f"{path}/round={i}" for i in range(rounds)])
 

@@ -131,3 +131,13 @@ def test_deep_pages(spark, first, n):
     rows = spark.range(MILLION).select((F.col("id") * 7919 % MILLION).alias("v"))
     got = [r.v for r in ranking.rows_between(rows, [F.col("v").desc()], first, n).orderBy(F.col("v").desc()).collect()]
     assert got == [MILLION - 1 - p for p in range(first, min(first + n, MILLION))]
+
+
+def test_small_names_are_settled_without_rounds(spark):
+    """No row is repeated for a salt, so nothing large can be sent to all tasks."""
+    rows = [(f"n{k % 5}", f"d{k % 7}", f"u{k % 3}", k % 2, k, "N") for k in range(60)]
+    settled = registry.settle(spark.createDataFrame(rows, EDGES), 100)
+    assert "Generate" not in settled._jdf.queryExecution().executedPlan().toString()
+    assert not [f for f in settled.inputFiles() if "settled" in f]
+    got = {(r.clean_name, r.domain, r.url, r.pos) for r in settled.collect()}
+    assert got == {(f"n{n}", *e) for n in range(5) for e in greedy([(r[3], r[4], r[1], r[2]) for r in rows if r[0] == f"n{n}"])}
