@@ -267,8 +267,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFram
     )
 
 
-# How near copies are found: a pair at the least similarity shares one of the keys but for a chance
-# of (1 - 0.8 ** 5) ** 40, one in eight million; shingles of five words decide.
+# How near copies are found: texts whose SimHash prints are linked by vantage points meet. The prints miss
+# pairs near the least similarity, so keys of least hashes are the way for the rest: such a pair shares one
+# but for a chance of (1 - 0.8 ** 5) ** 40, one in eight million. Shingles of five words decide.
 COPY_KEYS = 40
 KEY_ROWS = 5
 SKETCH_WORDS = 8
@@ -297,10 +298,18 @@ def parities(shingles: np.ndarray) -> np.ndarray:
 
 
 def copy_prints(text: bytes) -> list[int]:
-    """Two hashes of the set of shingles, its size and parities, then its keys."""
+    """Two hashes of the set of shingles, its size, SimHash print and parities, then its keys."""
     shingles = np.unique(shingle_hashes(text, SHINGLE, 42))
     whole = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist()
-    return [*whole, len(shingles), *parities(shingles).tolist(), *min_hash_keys(shingles)]
+    return [*whole, len(shingles), fingerprint(shingles), *parities(shingles).tolist(), *min_hash_keys(shingles)]
+
+
+def print_keys(prints: DataFrame) -> DataFrame:
+    """`id, key` for rows `id, print`: ids have one key if a chain of prints within 4 bits joins theirs."""
+    distinct = cut_lineage(prints.select("print").distinct())
+    roots = components(close_links(distinct.select(F.col("print").alias("id"), "print"))).withColumnRenamed("node", "print")
+    named = spread_join(prints, roots, ["print"], "left", ["id"])
+    return named.select("id", F.xxhash64(F.lit("print"), F.coalesce("root", "print")).alias("key"))
 
 
 def similar_pairs(pairs: DataFrame, sketches: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -539,8 +548,8 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     """The rows of `docs`, all columns, without near copies: of every group the smallest `doc_id` stays.
 
     A group is connected by pairs whose sets of five-word shingles have a Jaccard similarity of
-    `similarity` at least, counted exactly; candidates are pairs that share a key of least hashes.  Equal texts are copies, null and wordless texts of
-    each other too.  A null `doc_id` counts as larger than all; of rows that are equal in id
+    `similarity` at least, counted exactly; candidates are pairs whose SimHash prints are linked or
+    that share a key of least hashes.  Equal texts are copies, null and wordless texts of each other too.  A null `doc_id` counts as larger than all; of rows that are equal in id
     and text one stays.  An empty table gives no rows.
     """
     @F.arrow_udf(returnType="array<long>")
@@ -559,9 +568,10 @@ def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
         F.min(F.struct("_id", "_t1", "_t2")).alias("least"), F.any_value("prints").alias("prints")
     )
     classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()))
-    own_keys = F.array_distinct(F.slice("prints", SKETCH_WORDS + 4, COPY_KEYS))
-    keys = classes.select("id", F.explode(own_keys).alias("key"))
-    sketches = classes.select("id", F.col("prints")[2].alias("size"), F.slice("prints", 4, SKETCH_WORDS).alias("bits"))
+    near = print_keys(classes.filter(F.col("prints")[2] > 0).select("id", F.col("prints")[3].alias("print")))
+    own_keys = F.array_distinct(F.slice("prints", SKETCH_WORDS + 5, COPY_KEYS))
+    keys = cut_lineage(near.unionByName(classes.select("id", F.explode(own_keys).alias("key"))))
+    sketches = classes.select("id", F.col("prints")[2].alias("size"), F.slice("prints", 5, SKETCH_WORDS).alias("bits"))
     met = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = cut_lineage(keys.join(met, "key").select("id", "key"))
     texts = classes.join(met.select("id").distinct(), "id", "left_semi").select("id", "least.*")

@@ -313,3 +313,12 @@ def test_pipeline(spark):
         ids = kept
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == ids
+
+
+def test_near_copies_meet_by_their_simhash(spark):
+    """The stage's candidates come from SimHash prints too, not from keys of least hashes alone."""
+    words = [f"word{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words[::-1]), " ".join(f"x{w}" for w in words)]
+    rows = [(i, simhash.copy_prints(t.encode())[3]) for i, t in enumerate(texts)]
+    keys = {r.id: r.key for r in simhash.print_keys(spark.createDataFrame(rows, "id long, print long")).collect()}
+    assert keys[0] == keys[1] and len({keys[0], keys[2], keys[3]}) == 3
