@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import platform_tier, score_tier
 from ..session import cut_lineage
-from .ranking import first_rows, number_rows, rows_between, spread_join
+from .ranking import first_rows, rows_between, sorted_number
 
 
 def stats(games: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -26,10 +26,8 @@ def high_score(games: DataFrame) -> DataFrame:
 
 def numbered_sources(sources: DataFrame) -> DataFrame:
     """All sources with their number `n` inside the game, by domain and URL, from 1: one row each."""
-    numbered = number_rows(sources, [F.col("game_id"), F.col("domain"), F.col("url")], "_at")
-    firsts = numbered.groupBy("game_id").agg(F.min("_at").alias("_first"))
-    return spread_join(numbered, firsts, ["game_id"], "inner", ["url"]).select(
-        "game_id", (F.col("_at") - F.col("_first") + 1).alias("n"), "domain", "url"
+    return sorted_number(sources.select("game_id", "domain", "url"), "game_id", ["domain", "url"], "n").select(
+        "game_id", "n", "domain", "url"
     )
 
 

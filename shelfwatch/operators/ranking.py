@@ -8,10 +8,14 @@ consecutive order values.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
@@ -130,6 +134,45 @@ def rows_between(df: DataFrame, order: Sequence[Column], first: int, n: int) ->
     return placed.filter(F.col("_place").between(first, first + n - 1)).select(*df.columns)
 
 
+def sorted_number(df: DataFrame, key: str, order: Sequence[str], name: str) -> DataFrame:
+    """Row number inside a key, from 1, with one exchange of the rows.
+
+    A range sort deals the rows; each task counts them off as they pass, and only a task's first key can
+    have begun in the tasks before it.  What these hold of that key is added from one row per task: of an
+    earlier task it is the last key.  Null keys are numbered together.
+    """
+    schema = T.StructType([*df.schema, T.StructField(name, T.LongType(), False), T.StructField("_task", T.IntegerType(), False)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = batch.column(key).dictionary_encode("encode").indices.to_numpy()
+            starts = np.append(0, np.flatnonzero(code[1:] != code[:-1]) + 1)
+            at = np.arange(batch.num_rows)
+            number = at - np.repeat(starts, np.diff(np.append(starts, batch.num_rows))) + 1
+            if last is not None and batch.column(key)[0].as_py() == last[0]:
+                head = starts[1] if len(starts) > 1 else batch.num_rows
+                number[:head] += seen
+            last, seen = (batch.column(key)[-1].as_py(),), int(number[-1])
+            columns = [*batch.columns, pa.array(number, pa.int64()), pa.array(np.full(batch.num_rows, task), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, name, "_task"])
+
+    placed = cut_lineage(df.orderBy(key, *order).mapInArrow(count, schema))
+    held = placed.groupBy("_task").agg(
+        F.min_by(F.struct(F.col(key).alias("k")), F.struct(key, name)).alias("first"),
+        F.max(F.struct(F.col(key).alias("k"), F.col(name).alias("n"))).alias("last"),
+    )
+    held = cut_lineage(held.select("_task", F.col("first.k").alias("first"), F.col("last.k").alias("last"), F.col("last.n").alias("n")))
+    earlier = held.select(F.col("_task").alias("_before"), F.col("last").alias("_last"), F.col("n").alias("_held"))
+    carried = held.join(earlier, (F.col("_before") < F.col("_task")) & F.col("_last").eqNullSafe(F.col("first")))
+    carried = carried.groupBy("_task", F.col("first").alias("_first")).agg(F.sum("_held").alias("_held"))
+    joined = placed.join(F.broadcast(carried), "_task", "left")
+    own = F.when(F.col(key).eqNullSafe(F.col("_first")), F.coalesce("_held", F.lit(0))).otherwise(0)
+    return joined.select(*df.columns, (F.col(name) + own).alias(name))
+
+
 def spread_join(
     big: DataFrame, small: DataFrame, keys: Sequence[str], how: str, spread_by: Sequence[str], parts: int = 16
 ) -> DataFrame:

@@ -389,8 +389,7 @@ def _candidates(spark, d):
 
 def _registry(spark, d):
     """The registry of the old listings, as stored tables."""
-    old = fx.old_listings(spark, d)
-    return cut_lineage(fx.games_of(old)), cut_lineage(fx.sources_of(old))
+    return cut_lineage(fx.games(spark, d, fx.LISTED_BEFORE)), cut_lineage(fx.sources(spark, d, fx.LISTED_BEFORE))
 
 
 def _upsert(spark, d):

@@ -141,3 +141,21 @@ def test_small_names_are_settled_without_rounds(spark):
     assert not [f for f in settled.inputFiles() if "settled" in f]
     got = {(r.clean_name, r.domain, r.url, r.pos) for r in settled.collect()}
     assert got == {(f"n{n}", *e) for n in range(5) for e in greedy([(r[3], r[4], r[1], r[2]) for r in rows if r[0] == f"n{n}"])}
+
+
+@pytest.mark.parametrize("batch", [3, 10000])
+def test_numbers_go_on_over_tasks(spark, batch):
+    """One key over all sorted ranges, small ones beside it, and a null key."""
+    pick = np.random.default_rng(batch)
+    rows = [(("k", "a", "z", None)[min(3, k % 9)] if k % 9 < 4 else "k", f"d{k % 11}", f"u{k}") for k in pick.permutation(900).tolist()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = ranking.sorted_number(spark.createDataFrame(rows, "key string, domain string, url string"), "key", ["domain", "url"], "n").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for key in ("k", "a", "z", None):
+        expected = sorted(r[1:] for r in rows if r[0] == key)
+        assert [(r.domain, r.url) for r in sorted((r for r in got if r.key == key), key=lambda r: r.n)] == expected
+        assert sorted(r.n for r in got if r.key == key) == list(range(1, len(expected) + 1))
