@@ -103,8 +103,7 @@ def _touched(candidates: DataFrame, games: DataFrame, sources: DataFrame) -> Tou
     known = games.select("clean_name", F.col("id").alias("game_id"), F.col("platform_count").alias("stored"))
     known = cut_lineage(known.join(names, "clean_name", "left_semi"))
     pairs = sources.join(known.select("game_id", "clean_name"), "game_id").select("clean_name", "domain").distinct()
-    urls = sources.select("url").join(candidates.select("url").distinct(), "url", "left_semi")
-    return Touched(known, cut_lineage(pairs), urls)
+    return Touched(known, cut_lineage(pairs), sources.select("url"))
 
 
 def _accept(candidates: DataFrame, touched: Touched) -> tuple[DataFrame, DataFrame | None]:
@@ -120,7 +119,7 @@ def _accept(candidates: DataFrame, touched: Touched) -> tuple[DataFrame, DataFra
     listed = edges.select("url", F.lit(1).alias("n"), F.lit(False).alias("held"))
     held = touched.urls.select("url", F.lit(0).alias("n"), F.lit(True).alias("held"))
     contested = listed.unionByName(held).groupBy("url").agg(F.sum("n").alias("n"), F.max("held").alias("taken"))
-    contested = contested.filter("n > 1 or taken").select("url", "taken")
+    contested = contested.filter("n > 1 or n > 0 and taken").select("url", "taken")
     marked = edges.join(contested, "url", "left").select(
         *edges.columns, F.coalesce("taken", F.lit(False)).alias("taken"), F.col("taken").isNotNull().alias("shared")
     )

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from ..operators import diff, feeds, guards, maintenance, registry, reports, snapshots
 from ..operators.extract import extract_entities, extract_urls
 from ..plans.full_run import forced_run
-from ..session import cut_lineage
 from . import fixtures as fx
 from .fixtures import with_ctes
 from .registry import query
@@ -388,8 +387,8 @@ def _candidates(spark, d):
 
 
 def _registry(spark, d):
-    """The registry of the old listings, as stored tables."""
-    return cut_lineage(fx.games(spark, d, fx.LISTED_BEFORE)), cut_lineage(fx.sources(spark, d, fx.LISTED_BEFORE))
+    """The registry of the old listings."""
+    return fx.registry(spark, d, fx.LISTED_BEFORE)
 
 
 def _upsert(spark, d):

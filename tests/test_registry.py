@@ -5,6 +5,7 @@ import pytest
 from shelfwatch.functions.text import entity_id
 from shelfwatch.operators import registry
 from shelfwatch.schemas import GAME_SOURCES, GAMES
+from shelfwatch.workloads import fixtures as fx
 from pyspark.sql import functions as F
 
 AT = "2024-05-01 00:00:00"
@@ -127,3 +128,13 @@ def test_mirrors_are_settled_in_one_pass(spark):
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
     spark.sparkContext.setJobGroup("", "")
     assert got == {(f"d{i:02}", f"u{i:02}") for i in range(n)} and len(jobs) <= 3
+
+
+def test_registry_fixture_is_that_of_the_listings(spark):
+    """Games and sources from numbers are those grouped by their texts, and are not dealt by these."""
+    root = "/root/testdata/sf0.001"
+    old = fx.old_listings(spark, root)
+    games, sources = fx.registry(spark, root, fx.LISTED_BEFORE)
+    for got, expected in ((games, fx.games_of(old)), (sources, fx.sources_of(old))):
+        assert got.columns == expected.columns and got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
