@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .rows import bring_back, set_aside
 from .tokens import Encoder, byte_letters
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 RESULTS = ["n_a", "n_b", "n_groups", "n_links", "groups", "links"]
 COUNTS = "a_id long, b_id long, n long"
 
