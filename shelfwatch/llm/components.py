@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import spread_join
 from ..session import cut_lineage
 
+# Links that one task settles at once, 16 bytes each; more are settled in rounds over all tasks.
+AT_ONCE = 1 << 19
+
 
 def spanning_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, smallest node) with the same components as the links (a, b), one per node at most."""
@@ -31,16 +37,35 @@ def spanning_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[moved], nodes[label[moved]]
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _settled(links: DataFrame) -> DataFrame:
+    """`components` of links `u, v` that one task can hold."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in batches if b.num_rows]
+        if not found:
+            return
+        u, v = (np.concatenate(c) for c in zip(*found, strict=True))
+        nodes, roots = spanning_links(u, v)
+        least = np.unique(roots)
+        ends = [pa.array(np.concatenate(c), pa.int64()) for c in ((nodes, least), (roots, least))]
+        yield pa.RecordBatch.from_arrays(ends, ["node", "root"])
+
+    return cut_lineage(links.coalesce(1).mapInArrow(settle, "node long, root long"))
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", at_once: int = AT_ONCE) -> DataFrame:
     """`node, root` for every node that has a link to another: the smallest node reachable from it.
 
-    Alternates large-star and small-star steps: each node hands its larger, then its smaller,
-    neighbours to its smallest one.  Only minima are aggregated and every round is written to
-    the shared folder; the number of rounds grows with the logarithm of the longest path.
+    At most `at_once` links are settled in one task.  For more, large-star and small-star steps
+    alternate: each node hands its larger, then its smaller, neighbours to its smallest one.  Only
+    minima are aggregated and every round is written to the shared folder; the number of rounds
+    grows with the logarithm of the longest path.
     Links with a null end and links of a node to itself are dropped.
     """
     links = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     links = cut_lineage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if links.count() <= at_once:
+        return _settled(links)
     seen = None
     while True:
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

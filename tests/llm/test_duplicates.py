@@ -39,6 +39,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [0, 1 << 19])
+def test_components_settle_few_links_at_once(spark, at_once):
+    """Every job leaves something in the driver: links that one task can hold are not settled in rounds."""
+    pairs = [(i, i + 1) for i in range(64) if i % 16] + [(-5, 3), (-5, -9), (100, 200)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    spark.sparkContext.setJobGroup(f"components-{at_once}", "components")
+    found = {r.node: r.root for r in components(links, at_once=at_once).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{at_once}"))
+    spark.sparkContext.setJobGroup("", "")
+    shift = roots_of(300, [(a + 9, b + 9) for a, b in pairs])
+    assert found == {i: shift[i + 9] - 9 for p in pairs for i in p}
+    assert at_once == 0 or jobs <= 8
+
+
 def removed_bytes(rows):
     """Brute force: which bytes of each (id, text) go."""
     first = {}
