@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+import re
+import uuid
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +36,30 @@ def documents_of(files: DataFrame, fetch_meta: DataFrame, missing: bool = True)
     )
 
 
+def land_documents(docs: DataFrame, folder: str, zipped: bool = False) -> DataFrame:
+    """Writes the content of every document to a file of its own and gives the fetch records with the files' paths.
+
+    All files lie in one folder, which a reader lists at once, and a task writes many of them.  A task that runs again
+    writes other files; those of its first attempt are in no record, so `read_urls` leaves them out.
+    """
+    uri = re.sub("^(file:)?/+", "file:///", folder)
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path, recursive=True)
+
+    def land(content: str | None) -> str:
+        name = f"{uuid.uuid4().hex}.txt{'.gz' * zipped}"
+        body = (content or "").encode()
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_output_stream(f"{path}/{name}", compression=None) as out:
+            out.write(gzip.compress(body) if zipped else body)
+        return f"{uri}/{name}"
+
+    # In batches of rows of Python's own, so that no batch holds more than a hundred bodies.
+    landed = F.udf(land, "string", useArrow=False).asNondeterministic()
+    rest = [c for c in docs.columns if c != "content"]
+    return cut_lineage(docs.select(landed("content").alias("path"), *rest))
+
+
 def read_documents(spark: SparkSession, path: str, fetch_meta: DataFrame) -> DataFrame:
     """One row per landed file; `.gz` files are unpacked by the reader.
 

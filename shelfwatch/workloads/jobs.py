@@ -9,7 +9,7 @@ from ..operators.extract import extract_entities
 from ..plans.full_run import commit_run, full_run, load_state
 from ..session import shared_path
 from ..sources import tables
-from ..sources.documents import read_urls
+from ..sources.documents import land_documents, read_urls
 from ..sources.members import Members
 from ..sources.request_logs import request_rows, write_request_csv
 from ..sources.url_store import append_urls, diff_stored, url_store
@@ -26,16 +26,11 @@ from .registry import query
 )
 def landed_documents(spark, d):
     """Documents landed as one file each, every other one with gzip, read back in records with their fetch records."""
-    docs = fx.page_docs(spark, d)
-    paths = [shared_path(spark, f"landing-{kind}") for kind in ("gzip", "none")]
-    rows = []
-    for odd, (path, kind) in enumerate(zip(paths, ("gzip", "none"), strict=True)):
-        some = docs.filter(F.col("feed_ord") % 2 == odd)
-        some.select("feed_ord", "content").write.partitionBy("feed_ord").text(path, compression=kind, lineSep="\n")
-        # One row per file: its path and, from the folder's name, its feed.
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("feed_ord", "path")
-        meta = some.drop("content").join(files, "feed_ord").select("path", "feed_ord", "feed_url", "status", "error")
-        rows.append(read_urls(spark, path, meta))
+    docs, rows = fx.page_docs(spark, d), []
+    odd = F.coalesce(F.col("feed_ord") % 2 != 0, F.lit(False))
+    for some, kind in ((docs.filter(~odd), "gzip"), (docs.filter(odd), "none")):
+        path = shared_path(spark, f"landing-{kind}")
+        rows.append(read_urls(spark, path, land_documents(some, path, kind == "gzip")))
     return rows[0].unionByName(rows[1]).select("feed_ord", "domain", "status", "pos", "url")
 
 

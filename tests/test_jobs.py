@@ -5,12 +5,15 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwatch.operators.extract import strict_urls
 from shelfwatch.operators.feeds import feed_order
 from shelfwatch.plans.full_run import commit_run, full_run, load_state
 from shelfwatch.sources import tables
-from shelfwatch.sources.documents import decode_feed_list, read_documents, read_urls
+from shelfwatch.sources.documents import decode_feed_list, land_documents, read_documents, read_urls
 from shelfwatch.sources.request_logs import extract_to_csv, request_rows
 from shelfwatch.streaming import streams
+from shelfwatch.workloads import fixtures as fx
+from shelfwatch.workloads import jobs
 from shelfwatch.workloads.jobs import known_games
 
 META = "path string, feed_ord bigint, feed_url string, status int, error string"
@@ -204,3 +207,16 @@ def test_known_games_have_one_row_per_clean_name(spark):
     known = spark.createDataFrame(rows, "clean_name string, name string, domain string")
     games = known_games(known.withColumn("listed_at", F.lit("2024-01-01").cast("timestamp_ntz")))
     assert sorted((g.clean_name, g.name, g.platform_count) for g in games.collect()) == [("ench", "Ench", 2), ("was", "was", 1)]
+
+
+def test_landed_documents_of_odd_pages(spark, tmp_path):
+    """Negative, null and repeated page ids; each document is one file of a single folder, which is listed at once."""
+    rows = [(i, f"https://h{i}.example.com/p", f'<a href="/x{i}">x</a>') for i in (-3, -2, 0, 1, 1)]
+    rows += [(None, "https://n.example.com/", "none"), (5, "https://e.example.com/", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = sorted(map(tuple, jobs.landed_documents(spark, str(tmp_path)).collect()), key=repr)
+    docs = fx.page_docs(spark, str(tmp_path))
+    expected = docs.select("feed_ord", "domain", "status", F.posexplode(strict_urls(F.col("content"))).alias("pos", "url"))
+    assert found == sorted(map(tuple, expected.collect()), key=repr)
+    meta = land_documents(docs, str(tmp_path / "landed"))
+    assert len(list((tmp_path / "landed").glob("*.txt"))) == meta.select("path").distinct().count() == len(rows)
