@@ -65,14 +65,19 @@ SITE_RULES = (
     SiteRule("friv.com", r"/(?:game|play)/([^/]+)$"),
 )
 
-# Patterns of all other sites, the first match wins.
-OTHER_SITES = (r"(?i)/(?:games?|play|g)/([^/]+)$", r"(?i)/([^/]+)-game$", r"(?i)/([^/]+)\.html?$")
-ONE_SEGMENT = r"^/([^/]+)$"
+# Rules of all other sites, the first match wins: what lies in one of these folders, what ends so, a lone segment.
+GAME_FOLDERS = ("games", "game", "play", "g")
+GAME_END = r"(?i)/([^/]+)-game$"
+PAGE_END = r"(?i)/([^/]+)\.html?$"
+# Names that stay as they are; the end is the very end, not the one before a last line break.
+_NORMAL = r"^[a-z0-9]++(?:-[a-z0-9]++)*+\z"
 
 
 def is_content_path(path: Column) -> Column:
-    """One combined scan instead of one per exclusion."""
-    return ~path.rlike("(?i)" + "|".join(f"(?:{p})" for p in EXCLUDED_PATHS))
+    """One combined scan instead of one per exclusion; those that begin with a slash share it."""
+    inner = "|".join(f"(?:{p[1:]})" for p in EXCLUDED_PATHS if p.startswith("/"))
+    others = "|".join(f"(?:{p})" for p in EXCLUDED_PATHS if not p.startswith("/"))
+    return ~path.rlike(f"(?i)/(?:{inner})|{others}")
 
 
 def _rule_slug(rule: SiteRule, host: Column, path: Column) -> Column:
@@ -87,10 +92,23 @@ def _rule_slug(rule: SiteRule, host: Column, path: Column) -> Column:
 
 
 def _other_slug(path: Column) -> Column:
-    named = [
-        blank_to_null(F.regexp_replace(F.regexp_extract(path, p, 1), r"\.html?$", "")) for p in OTHER_SITES
-    ]
-    return F.coalesce(*named, blank_to_null(F.regexp_extract(path, ONE_SEGMENT, 1)))
+    """The rules for all other sites look at the last segment of a path as `url_path` gives it (visible ASCII only)
+    and the segment before it, so cutting at slashes serves; only ends in -game and .htm meet a regex."""
+    last, lowered = F.substring_index(path, "/", -1), F.lower(path)
+    before = F.substr(lowered, F.lit(1), F.length(path) - F.length(last))
+    named = reduce(lambda a, b: a | b, [before.endswith(f"/{w}/") for w in GAME_FOLDERS])
+    page = lowered.contains(".htm")
+    bare = F.when(page, F.regexp_replace(last, r"\.html?$", "")).otherwise(last)
+
+    def ending(pattern: str) -> Column:
+        return blank_to_null(F.regexp_replace(F.regexp_extract(path, pattern, 1), r"\.html?$", ""))
+
+    return F.coalesce(
+        F.when(named, blank_to_null(bare)),
+        F.when(lowered.endswith("-game"), ending(GAME_END)),
+        F.when(page, ending(PAGE_END)),
+        F.when(F.substring_index(path, "/", 2) == path, F.when(path.startswith("/"), blank_to_null(last))),
+    )
 
 
 def site_slug(host: Column, path: Column, rules: tuple[SiteRule, ...] = SITE_RULES) -> Column:
@@ -116,6 +134,9 @@ def not_suffix(slug: Column) -> Column:
 
 
 def normalize_name(name: Column) -> Column:
-    dashed = F.regexp_replace(F.lower(name), f"[-_{SPACES}]+", "-")
+    """Names whose lower case is normal already, as most are, pay for one test and no replacement."""
+    lowered = F.lower(name)
+    dashed = F.regexp_replace(lowered, f"[-_{SPACES}]+", "-")
     ascii_only = F.regexp_replace(dashed, "[^a-z0-9-]", "")
-    return F.regexp_replace(F.regexp_replace(ascii_only, "^-+|-+$", ""), "-+", "-")
+    cleaned = F.regexp_replace(F.regexp_replace(ascii_only, "^-+|-+$", ""), "-+", "-")
+    return F.when(lowered.rlike(_NORMAL), lowered).otherwise(cleaned)

@@ -26,6 +26,8 @@ _PATH = _SCHEME + rf"[^/\\?#]+([^?#]*?)(?:[{SPACES}]*$|[?#])"
 _ENCODED = r"""[^!-~]|["<>`{}^]"""
 _DOTS = r"/(?:\.|%2[eE]){1,2}(?:/|$)"
 _RARE = _ENCODED + r"|\\|" + _DOTS
+# Most URLs: a lower-case scheme and host, no query, and a path that stays as it is; host and path are cut at slashes.
+_PLAIN_URL = r"^https?://[a-z][a-z0-9.-]*+(?:/(?![.%])[!$-.0-;=@-\[\]_a-z|~]*+)++\z"
 
 
 def url_host(url: Column) -> Column:
@@ -108,8 +110,16 @@ def url_path(url: Column) -> Column:
 
 
 def with_url_parts(df: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
-    """Adds `written_host` and path of column `url`, each regex run once per row."""
-    url = F.col("url")
-    raw = df.select("*", written_host(url).alias(host), _raw_path(url).alias("_raw"))
-    clean = F.when(F.col(host).isNotNull(), _clean_path(F.col("_raw")))
+    """Adds `written_host` and path of column `url`, each regex run once per row; plain URLs pass one test only."""
+    url, plain = F.col("url"), F.col("_plain")
+    tested = df.select("*", url.rlike(_PLAIN_URL).alias("_plain"))
+    cut = F.substring_index(F.substring_index(url, "/", 3), "/", -1)
+    # Behind the two slashes of the scheme and a host of at least one character.
+    rest = F.substr(url, F.locate("/", url, 9))
+    raw = tested.select(
+        "*",
+        F.when(plain, cut).otherwise(written_host(url)).alias(host),
+        F.when(plain, rest).otherwise(_raw_path(url)).alias("_raw"),
+    )
+    clean = F.when(plain, F.col("_raw")).when(F.col(host).isNotNull(), _clean_path(F.col("_raw")))
     return raw.select(*df.columns, host, clean.alias(path))
