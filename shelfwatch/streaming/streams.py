@@ -23,7 +23,8 @@ from ..sources import tables
 from ..sources.documents import documents_of
 from ..sources.members import Members
 
-CHECKED = "domain string, run long, url_count long, baseline long, baseline_run long"
+CHECKED = ("run", "url_count", "baseline", "baseline_run")
+FOLDED = "domain string, " + ", ".join(f"{c} array<long>" for c in CHECKED)
 
 
 def landing_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -66,26 +67,33 @@ def baseline_checks(counts: DataFrame, min_first: int = MIN_FIRST, shrink: float
     came.  A batch's rows of a domain are folded in one task: limit the files of a batch if they are many.
     """
 
+    def whole(values: pd.Series) -> list:
+        if values.dtype.kind == "i":
+            return values.tolist()
+        return [None if v is None or v != v else int(v) for v in values.tolist()]
+
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["run", "url_count"], kind="stable")
+        pairs = [p for f in frames for p in zip(whole(f["run"]), whole(f["url_count"]), strict=True)]
+        pairs.sort(key=lambda p: [(v is None, v or 0) for v in p])
         count, run = state.get if state.exists else (None, None)
         before = []
-        for c, r in zip(rows["url_count"].tolist(), rows["run"].tolist(), strict=True):
+        for r, c in pairs:
             before.append((count, run))
-            if c > 0 and (c >= min_first if count is None else c >= count * shrink):
+            if c is not None and c > 0 and (c >= min_first if count is None else c >= count * shrink):
                 count, run = c, r
         if count is not None:
             state.update((count, run))
+        runs, counts = zip(*pairs, strict=True)
         baseline, baseline_run = zip(*before, strict=True)
-        yield pd.DataFrame({
-            "domain": key[0], "run": rows["run"].to_numpy(), "url_count": rows["url_count"].to_numpy(),
-            "baseline": pd.array(baseline, "Int64"), "baseline_run": pd.array(baseline_run, "Int64"),
-        })
+        columns = {"run": runs, "url_count": counts, "baseline": baseline, "baseline_run": baseline_run}
+        # One row of lists: frames and Arrow columns cost more than the checks of most domains.
+        yield pd.DataFrame({"domain": [key[0]]} | {name: [list(values)] for name, values in columns.items()})
 
     rows = counts.select("domain", F.col("run").cast("long"), F.col("url_count").cast("long"))
     folded = rows.groupBy("domain").applyInPandasWithState(
-        fold, CHECKED, "url_count long, run long", "append", GroupStateTimeout.NoTimeout
+        fold, FOLDED, "url_count long, run long", "append", GroupStateTimeout.NoTimeout
     )
+    folded = folded.select("domain", F.inline(F.arrays_zip(*CHECKED)))
     status = check_status(F.col("url_count"), F.col("baseline"), min_first, shrink)
     return folded.withColumn("status", status).withColumn("accepted", is_success(F.col("status")))
 

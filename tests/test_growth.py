@@ -5,6 +5,11 @@ from pyspark.sql import functions as F
 from shelfwatch.functions import urls
 from shelfwatch.functions.slugs import normalize_name
 from shelfwatch.operators.extract import extract_entities
+from shelfwatch.streaming.streams import baseline_checks
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
 
 
 def test_plain_urls_are_cut_as_the_rules_say(spark):
@@ -30,3 +35,14 @@ def test_slugs_of_other_sites(spark):
 def test_normal_names_are_not_replaced(column):
     names = ["red-fox-1A", "a--b", "-a", "a_b c", "abc\n", "ÄB", "", None]
     assert column(normalize_name, names) == ["red-fox-1a", "a-b", "a", "a-b-c", "abc", "b", "", None]
+
+
+def test_checks_of_a_domain_leave_python_as_one_row(spark, tmp_path):
+    rows = [("a", 3, 20), ("a", 1, 12), ("a", 2, None), ("a", 2, 5), ("b", 1, 3)]
+    spark.createDataFrame(rows, "domain string, run long, url_count long").write.parquet(str(tmp_path / "in"))
+    checks = baseline_checks(spark.readStream.schema("domain string, run long, url_count long").parquet(str(tmp_path / "in")))
+    assert "Generate inline" in plan(checks)
+    query = checks.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    found = {(r.domain, r.run, r.url_count): (r.baseline, r.baseline_run) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {("a", 1, 12): (None, None), ("a", 2, 5): (12, 1), ("a", 2, None): (12, 1), ("a", 3, 20): (12, 1), ("b", 1, 3): (None, None)}
