@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import diff, feeds, guards, maintenance, registry, reports, snapshots
 from ..operators.extract import extract_entities, extract_urls
 from ..plans.full_run import forced_run
+from ..session import cut_lineage
 from . import fixtures as fx
 from .fixtures import with_ctes
 from .registry import query
@@ -592,7 +593,8 @@ def new_cross_by_domain(spark, d):
 
 @query("all_changes", _UPSERT + "SELECT domain, url, CASE WHEN is_new THEN 0 ELSE 1 END AS part FROM changes")
 def all_changes(spark, d):
-    changes = _upsert(spark, d).changes.select("domain", "url", "is_new", "is_cross")
+    # Both parts read the written changes, which are then computed once.
+    changes = cut_lineage(_upsert(spark, d).changes.select("domain", "url", "is_new", "is_cross"))
     return registry.all_changes(changes.filter("is_new"), changes.filter("is_cross")).select("domain", "url", "part")
 
 
@@ -603,5 +605,8 @@ def all_changes(spark, d):
            (PARTITION BY clean_name, domain ORDER BY feed_ord, pos, url) AS k FROM listings) WHERE k = 1""",
 )
 def first_occurrences(spark, d):
-    rows = fx.listings(spark, d).select("clean_name", "domain", "feed_ord", "pos", "url")
-    return registry.first_per(rows, ["clean_name", "domain"], ["feed_ord", "pos", "url"])
+    keys = ["clean_name", "domain"]
+    n = fx.tasks(spark.read.parquet(f"{d}/lineitem.parquet"), fx.TASK_ROWS["lineitem"])
+    # Dealt by the keys, so that the sorts of the minima hold about as many rows however many there are.
+    rows = fx.listings(spark, d).select(*keys, "feed_ord", "pos", "url").repartition(n, *keys)
+    return registry.first_per(rows, keys, ["feed_ord", "pos", "url"])

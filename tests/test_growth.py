@@ -1,11 +1,15 @@
 """Steps whose time or memory must not grow faster than the tables."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from shelfwatch.functions import urls
 from shelfwatch.functions.slugs import normalize_name
 from shelfwatch.operators.extract import extract_entities
 from shelfwatch.streaming.streams import baseline_checks
+from shelfwatch.workloads import changes
+from shelfwatch.workloads import fixtures as fx
 
 
 def plan(df):
@@ -46,3 +50,9 @@ def test_checks_of_a_domain_leave_python_as_one_row(spark, tmp_path):
     query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     found = {(r.domain, r.run, r.url_count): (r.baseline, r.baseline_run) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert found == {("a", 1, 12): (None, None), ("a", 2, 5): (12, 1), ("a", 2, None): (12, 1), ("a", 3, 20): (12, 1), ("b", 1, 3): (None, None)}
+
+
+def test_first_occurrences_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setitem(fx.TASK_ROWS, "lineitem", 1000)
+    text = plan(changes.first_occurrences(spark, "/root/testdata/sf0.001"))
+    assert re.search(r"hashpartitioning\(clean_name#\d+, domain#\d+, [4-9]\), REPARTITION_BY_NUM", text)
