@@ -40,15 +40,28 @@ def nested(games: DataFrame, sources: DataFrame, first_sources: int | None = Non
     shown = sources.select("game_id", "domain", "url")
     if first_sources is not None:
         shown = first_rows(shown, ["game_id"], ["domain", "url"], first_sources, "n")
-    lists = shown.groupBy(F.col("game_id").alias("id")).agg(
+    lists = shown.groupBy(_packed("game_id").alias("_key")).agg(
         F.sort_array(F.collect_list(F.struct("domain", "url"))).alias("game_sources")
     )
     empty = F.array().cast("array<struct<domain:string,url:string>>")
-    return games.join(lists, "id", "left").select(
-        *games.columns, F.coalesce("game_sources", empty).alias("game_sources")
+    packed = games.select(_packed("id").alias("_key"), *[c for c in games.columns if c != "id"])
+    return packed.join(lists, "_key", "left").select(
+        *[_unpacked("_key").alias(c) if c == "id" else F.col(c) for c in games.columns],
+        F.coalesce("game_sources", empty).alias("game_sources"),
     )
 
 
+def _packed(c: str) -> Column:
+    """A text id as bytes for an exchange: hexadecimal ids, which no codec makes smaller, take half; a first byte tells which."""
+    plain = F.concat(F.lit(b"\x00"), F.encode(c, "UTF-8"))
+    return F.when(F.col(c).rlike(r"^(?:[0-9a-f]{2})+\z"), F.concat(F.lit(b"\x01"), F.unhex(c))).otherwise(plain)
+
+
+def _unpacked(key: str) -> Column:
+    rest = F.substr(F.col(key), F.lit(2), F.length(key) - 1)
+    return F.when(F.substr(F.col(key), F.lit(1), F.lit(1)) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
+
+
 def _best_order() -> list[Column]:
     return [F.col("score").desc_nulls_first(), F.col("first_seen").desc_nulls_first(), F.col("clean_name")]
 

@@ -341,7 +341,7 @@ def dashboard_top6(spark, d):
 
 @query("nested_games", _page_sql("SELECT * FROM games"))
 def nested_games(spark, d):
-    return _shown(dashboard.nested(fx.games(spark, d), fx.sources(spark, d)))
+    return _shown(dashboard.nested(*fx.registry(spark, d)))
 
 
 @query(
