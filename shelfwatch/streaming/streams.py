@@ -23,6 +23,7 @@ from ..sources import tables
 from ..sources.documents import documents_of
 from ..sources.members import Members
 
+BATCH_ROWS = 1 << 16
 CHECKED = ("run", "url_count", "baseline", "baseline_run")
 FOLDED = "domain string, " + ", ".join(f"{c} array<long>" for c in CHECKED)
 
@@ -125,11 +126,15 @@ def stream_first_seen(
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        rows = first_per(batch, ["clean_name"], list(order))
         if members:
+            # Dealt by name to tasks of about as many rows however large the batch is, and written once.
+            dealt = batch.repartition(batch.count() // BATCH_ROWS + 1, "clean_name")
+            rows = cut_lineage(first_per(dealt, ["clean_name"], list(order)))
             rows = cut_lineage(members.unseen(rows, "clean_name", batch_id))
             members.add(rows, "clean_name", batch_id)
-        elif batch_id:
+        else:
+            rows = first_per(batch, ["clean_name"], list(order))
+        if not members and batch_id:
             stored = batch.sparkSession.read.parquet(out).filter(F.col("batch") < batch_id)
             rows = rows.join(stored.select("clean_name"), "clean_name", "left_anti").select(*batch.columns)
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

@@ -2,11 +2,14 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfwatch.functions import urls
 from shelfwatch.functions.slugs import normalize_name
+from shelfwatch.operators import dashboard
 from shelfwatch.operators.extract import extract_entities
+from shelfwatch.sources import members
 from shelfwatch.streaming.streams import baseline_checks
 from shelfwatch.workloads import changes
 from shelfwatch.workloads import fixtures as fx
@@ -56,3 +59,26 @@ def test_first_occurrences_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setitem(fx.TASK_ROWS, "lineitem", 1000)
     text = plan(changes.first_occurrences(spark, "/root/testdata/sf0.001"))
     assert re.search(r"hashpartitioning\(clean_name#\d+, domain#\d+, [4-9]\), REPARTITION_BY_NUM", text)
+
+
+@pytest.mark.parametrize("sent,text", [(1 << 19, "5), REPARTITION_BY_NUM"), (1, "35), REPARTITION_BY_NUM")])
+def test_members_deal_probes_by_rows(spark, tmp_path, monkeypatch, sent, text):
+    monkeypatch.setattr(members, "TASK_ROWS", 500)
+    monkeypatch.setattr(members, "SENT_WORDS", sent)
+    store = members.Members(str(tmp_path), parts=4, words=64)
+    names = spark.range(2000).select(F.concat(F.lit("n"), "id").alias("name"))
+    store.add(names, "name", 0)
+    store.add(names.limit(1500), "name", 1)
+    maybe = store.maybe(names, "name", 2)
+    assert text in plan(maybe) and maybe.count() == 2000
+    assert store.unseen(names.union(spark.createDataFrame([("m",), (None,)], "name string")), "name", 2).count() == 2
+
+
+def test_hexadecimal_ids_travel_as_bytes(spark):
+    ids = ["0a" * 16, "0A" * 16, "a", "ab", "", "\n", "ab\n", "é", None]
+    games = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id string, n int")
+    sources = spark.createDataFrame([(i, "d", f"u{n}") for n, i in enumerate(ids)], "game_id string, domain string, url string")
+    nested = dashboard.nested(games, sources)
+    assert nested.columns == ["id", "n", "game_sources"] and "unhex" in plan(nested)
+    for r in nested.collect():
+        assert r.id == ids[r.n] and [s.url for s in r.game_sources] == ([] if r.id is None else [f"u{r.n}"])
