@@ -1,23 +1,27 @@
 """Substring search over stored names by a trigram index.
 
-The index is three Parquet tables below one folder: the catalog rows dealt to places by a hash of
-their id, the postings (trigram, row key) dealt to parts by their trigram, and the number of rows
-of each trigram.  A search looks up the trigrams that a match must hold, reads the parts of the rarest,
-then only the places of the rows found there, and decides every row by the pattern itself.
+The index is three Parquet tables below one folder: the catalog rows, dealt to places by their id and
+numbered there, the postings dealt to parts by their trigram (three bytes of a lower-cased name), as lists of the rows
+of a place that hold it, and the number of rows of each trigram.  A search looks up the trigrams that a match must hold,
+reads the lists of the rarest, then only the places of the rows found there, and decides every row by the pattern itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
-
 PARTS = 64
 RAREST = 4
-KEY = (T.StructField("_key", T.LongType()), T.StructField("_place", T.IntegerType()))
-POSTINGS = "_key long, _place int, gram string, _part int"
+BLOCK_BYTES = 1 << 22
+KEY = (T.StructField("_key", T.IntegerType()), T.StructField("_place", T.IntegerType()))
+LISTS = "gram int, _place int, n long, keys binary"
+POSTINGS = f"{LISTS}, _part int"
 
 
 def literal_pieces(pattern: str) -> list[str]:
@@ -34,32 +38,85 @@ def literal_pieces(pattern: str) -> list[str]:
     return pieces
 
 
-def trigrams(text: str) -> set[str]:
-    return {text[i : i + 3] for i in range(len(text) - 2)}
-
-
-def _dealt(key: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+def trigrams(text: str) -> set[int]:
+    """Three bytes of UTF-8 in a row as one number each."""
+    b = text.encode()
+    return {b[i] << 16 | b[i + 1] << 8 | b[i + 2] for i in range(len(b) - 2)}
+
+
+def inverter(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function that turns rows `(name, _place, _key)`, names of three bytes or more, in blocks of about `block_bytes`
+    into the lists of `n` keys by trigram and place, each as the steps from key to key.  It carries its parts along, so workers need not import this package."""
+
+    def inverted(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        name, place, key = (pa.concat_arrays([b.column(i) for b in rows]) for i in range(3))
+        names = name.cast(pa.large_binary())
+        ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+        text = np.frombuffer(names.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.int64)
+        row = np.repeat(np.arange(len(names)), np.diff(ends))
+        inside = row[:-2] == row[2:]
+        gram = (text[:-2] << 16 | text[1:-1] << 8 | text[2:])[inside]
+        held = np.sort(gram << 32 | row[:-2][inside])
+        held = held[np.append(True, held[1:] != held[:-1])]
+        gram, row = held >> 32, held & 0xFFFFFFFF
+        places = place.to_numpy()[row]
+        starts = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (places[1:] != places[:-1])))
+        keys = key.to_numpy()[row]
+        steps = np.diff(keys, prepend=keys[:1])
+        steps[starts] = keys[starts]
+        ends = np.append(starts, len(row))
+        offsets = pa.py_buffer((ends * 4).astype(np.int32))
+        lists = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(steps)])
+        columns = [pa.array(gram[starts], pa.int32()), pa.array(places[starts], pa.int32()), pa.array(np.diff(ends)), lists]
+        return pa.RecordBatch.from_arrays(columns, ["gram", "_place", "n", "keys"])
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            step = max(1, batch.num_rows * block_bytes // max(1, batch.nbytes))
+            for start in range(0, batch.num_rows, step):
+                rows.append(batch.slice(start, step))
+                size += rows[-1].nbytes
+                if size >= block_bytes:
+                    yield inverted(rows)
+                    rows, size = [], 0
+        if rows:
+            yield inverted(rows)
+
+    return postings
+
+
+def lister() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function that turns rows `(_place, keys)` of `inverter` into a row `(_place, _key)` per key."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, steps in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = np.cumsum(np.frombuffer(steps.as_buffer(), np.int32), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), place, np.int32)), pa.array(keys)], ["_place", "_key"])
+
+    return listed
 
 
 def write_name_index(games: DataFrame, path: str, parts: int = PARTS) -> None:
     """Stores the rows of `games(id, name, ...)` with their index; an older one at `path` is replaced.
 
-    A trigram or place that holds many rows is written by several tasks.  Null and short
+    A trigram or id that holds many rows is written by several tasks.  Null and short
     names have no trigrams, and equal or null ids are no hindrance.
     """
-    keyed = games.withColumn("_key", F.xxhash64("id")).withColumn("_place", _dealt(F.col("_key"), parts))
     games.limit(0).write.mode("overwrite").parquet(f"{path}/schema")  # an empty catalog has no rows to read it from
-    keyed.hint("rebalance", "_place").write.mode("overwrite").partitionBy("_place").parquet(f"{path}/rows")
-    rows = _rows(games.sparkSession, path)
+    # Every task writes one place and numbers its rows from 0; postings are made of the rows as they are stored.
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("int")
+    placed = games.hint("rebalance", "id").withColumns({"_key": number, "_place": F.spark_partition_id()})
+    placed.write.mode("overwrite").partitionBy("_place").parquet(f"{path}/rows")
     name = F.lower("name")
-    starts = F.sequence(F.lit(1), F.length(name) - 2)
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substr(name, i, F.lit(3))))
-    postings = rows.filter(F.length(name) >= 3).select("_key", "_place", F.explode(grams).alias("gram"))
-    dealt = postings.withColumn("_part", _dealt(F.col("gram"), parts)).hint("rebalance", "_part")
-    dealt.sortWithinPartitions("_part", "gram").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/postings")
-    stored = games.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
-    counts = stored.groupBy("gram", "_part").agg(F.count("*").alias("n"))
+    long_ = _rows(games.sparkSession, path).filter(F.octet_length(name) >= 3)
+    lists = long_.select(name.alias("name"), "_place", "_key").mapInArrow(inverter(BLOCK_BYTES), LISTS)
+    dealt = lists.withColumn("_part", F.pmod(F.xxhash64("gram"), F.lit(parts)).cast("int")).hint("rebalance", "_part")
+    stored = dealt.sortWithinPartitions("_part", "gram").write.mode("overwrite").partitionBy("_part")
+    stored.option("compression", "zstd").parquet(f"{path}/postings")
+    postings = games.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
+    counts = postings.groupBy("gram", "_part").agg(F.sum("n").alias("n"))
     counts.orderBy("gram").write.mode("overwrite").parquet(f"{path}/counts")
 
 
@@ -91,9 +148,10 @@ def search_names(spark: SparkSession, path: str, search: str) -> DataFrame:
     postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings").filter(
         F.col("_part").isin(*{r["_part"] for r in rare}) & F.col("gram").isin(*[r["gram"] for r in rare])
     )
-    held = postings.groupBy("_key", "_place").agg(F.countDistinct("gram").alias("n")).filter(F.col("n") == len(rare))
-    held = cut_lineage(held.select("_key", "_place"))
+    # A row stands once in the lists of a trigram.
+    listed = postings.select("_place", "keys").mapInArrow(lister(), "_place int, _key int")
+    held = listed.groupBy("_place", "_key").count()
     # At most one number per place comes back; only places that hold a row are opened.
-    places = [r["_place"] for r in held.select("_place").distinct().collect()]
+    places = [r["_place"] for r in held.filter(F.col("count") == len(rare)).select("_place").distinct().collect()]
     opened = stored.filter(F.col("_place").isin(*places)) if places else stored.filter(F.lit(False))
-    return opened.join(held.select("_key"), "_key", "left_semi").filter(matches).select(*columns)
+    return opened.filter(matches).select(*columns)

@@ -2,12 +2,13 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwatch.functions import urls
 from shelfwatch.functions.slugs import normalize_name
-from shelfwatch.operators import dashboard
+from shelfwatch.operators import dashboard, name_search
 from shelfwatch.operators.extract import extract_entities
 from shelfwatch.sources import members
 from shelfwatch.streaming.streams import baseline_checks
@@ -82,3 +83,37 @@ def test_hexadecimal_ids_travel_as_bytes(spark):
     assert nested.columns == ["id", "n", "game_sources"] and "unhex" in plan(nested)
     for r in nested.collect():
         assert r.id == ids[r.n] and [s.url for s in r.game_sources] == ([] if r.id is None else [f"u{r.n}"])
+
+
+def test_name_postings_are_lists(spark, tmp_path):
+    names = ["Red Wagon", "wagon red", "ÄRGER ärger", "日本", "ab", "", None, "x" * 50_000] + [f"wagon {i}" for i in range(400)]
+    games = spark.createDataFrame([(f"g{i % 50}", n, i) for i, n in enumerate(names)], "id string, name string, n int")
+    path = str(tmp_path)
+    name_search.write_name_index(games.repartition(5), path, parts=3)
+    postings = spark.read.parquet(f"{path}/postings")
+    # 'wag' in 402 names is one list per place and block, not 402 rows.
+    wag = postings.filter(F.col("gram") == int.from_bytes(b"wag", "big")).agg(F.count("*"), F.sum("n"), F.countDistinct("_place")).first()
+    assert wag[0] == wag[2] < 10 and wag[1] == 402
+    assert spark.read.parquet(f"{path}/counts").agg(F.sum("n")).first() == postings.agg(F.sum("n")).first()
+    text = plan(name_search.search_names(spark, path, "wagon"))
+    assert "Join" not in text and "_place" in text
+    for search in ("wagon", "n 17", "ÄRGER", "本", "日_", "xxx", "gon_r", "b"):
+        found = name_search.search_names(spark, path, search)
+        assert sorted(r.n for r in found.collect()) == sorted(r.n for r in games.filter(F.col("name").ilike(f"%{search}%")).collect())
+
+
+def test_name_blocks_keep_every_row():
+    names = ["abcabc", "xbcd", "日本", "abc"] * 50
+    rows = pa.RecordBatch.from_pydict(
+        {"name": names, "_place": pa.array([i // 90 for i in range(200)], pa.int32()), "_key": pa.array([(i * 7) % 200 for i in range(200)], pa.int32())}
+    )
+    for size in (1, 100, 1 << 22):
+        out = list(name_search.inverter(size)(iter([rows.slice(0, 0), rows.slice(3, 120), rows.slice(123)])))
+        found = []
+        for batch in out:
+            listed = name_search.lister()(iter([batch.select(["_place", "keys"])]))
+            for gram, n, keys in zip(batch.column("gram").to_pylist(), batch.column("n").to_pylist(), listed, strict=True):
+                assert n == keys.num_rows
+                found += [(gram, p, k) for p, k in zip(*(c.to_pylist() for c in keys.columns), strict=True)]
+        whole = [(g, i // 90, (i * 7) % 200) for i in range(3, 200) for g in name_search.trigrams(names[i])]
+        assert sorted(found) == sorted(whole)
