@@ -26,8 +26,8 @@ _PATH = _SCHEME + rf"[^/\\?#]+([^?#]*?)(?:[{SPACES}]*$|[?#])"
 _ENCODED = r"""[^!-~]|["<>`{}^]"""
 _DOTS = r"/(?:\.|%2[eE]){1,2}(?:/|$)"
 _RARE = _ENCODED + r"|\\|" + _DOTS
-# Most URLs: a lower-case scheme and host, no query, and a path that stays as it is; host and path are cut at slashes.
-_PLAIN_URL = r"^https?://[a-z][a-z0-9.-]*+(?:/(?![.%])[!$-.0-;=@-\[\]_a-z|~]*+)++\z"
+# Most URLs: a lower-case scheme and host and a path that stays as it is; host and path are cut at slashes and before a query.
+_PLAIN_URL = r"(?s)^https?://[a-z][a-z0-9.-]*+(?:/(?![.%])[!$-.0-;=@-\[\]_a-z|~]*+)++(?:[?#].*)?\z"
 
 
 def url_host(url: Column) -> Column:
@@ -116,6 +116,7 @@ def with_url_parts(df: DataFrame, host: str = "host", path: str = "path") -> Dat
     cut = F.substring_index(F.substring_index(url, "/", 3), "/", -1)
     # Behind the two slashes of the scheme and a host of at least one character.
     rest = F.substr(url, F.locate("/", url, 9))
+    rest = F.substring_index(F.substring_index(rest, "?", 1), "#", 1)
     raw = tested.select(
         "*",
         F.when(plain, cut).otherwise(written_host(url)).alias(host),

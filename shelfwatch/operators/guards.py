@@ -27,6 +27,7 @@ MIN_FIRST = 10
 SHRINK = 0.5
 SPAN = 4096
 FAN = 64
+PIECE = 64
 
 
 def check_status(new_count: Column, old_count: Column, min_first: int = MIN_FIRST, shrink: float = SHRINK) -> Column:
@@ -188,17 +189,33 @@ def _neighbours(level: DataFrame, fan: int) -> DataFrame:
 
 
 def _scan(xs: str, init: Column, step, key, value=lambda x: F.lit(None)) -> Column:
-    """List of `(key, val, before)`: the state before each element of `xs`."""
+    """List of `(key, val, before)`: the state before each element of `xs`.
+
+    Every element copies the list made so far, so long lists are cut into pieces of `PIECE`: the states before the
+    pieces are found first, then those inside each.
+    """
+    inside = lambda piece, state: _states(piece, state, step, key, value)
+    starts = F.sequence(F.lit(1), F.size(xs), F.lit(PIECE))
+    pieces = F.transform(starts, lambda i: F.struct(F.slice(xs, i, PIECE).alias("p")))
+    through = lambda state, x: F.aggregate(x["p"], state.cast(_STATE), step)
+    entered = _states(pieces, init, through, lambda x: F.lit(None))
+    both = F.zip_with(pieces, entered, lambda x, e: inside(x["p"], e["before"]))
+    return F.when(F.size(xs) <= PIECE, inside(F.col(xs), init)).otherwise(F.flatten(both))
+
+
+def _states(xs: Column, init: Column, step, key, value=lambda x: F.lit(None)) -> Column:
     out_type = f"array<struct<key:bigint,val:bigint,before:{_STATE}>>"
-    zero = F.struct(init.alias("s"), F.array().cast(out_type).alias("out"))
+    zero = F.struct(init.cast(_STATE).alias("s"), F.array().cast(out_type).alias("out"))
 
     def merge(acc: Column, x: Column) -> Column:
-        row = F.struct(key(x).alias("key"), value(x).cast("bigint").alias("val"), acc["s"].alias("before"))
+        row = F.struct(
+            key(x).cast("bigint").alias("key"), value(x).cast("bigint").alias("val"), acc["s"].alias("before")
+        )
         return F.struct(
             step(acc["s"], x).cast(_STATE).alias("s"), F.concat(acc["out"], F.array(row)).cast(out_type).alias("out")
         )
 
-    return F.aggregate(F.col(xs), zero, merge, lambda acc: acc["out"])
+    return F.aggregate(xs, zero, merge, lambda acc: acc["out"])
 
 
 def accepted_baseline(

@@ -10,7 +10,7 @@ from ..operators import registry, reports
 from ..operators.extract import extract_entities
 from ..operators.maintenance import retain_logs
 from ..operators.snapshots import DailyResult, daily_check, snapshot_check, with_new_counts
-from ..session import cut_lineage
+from ..session import cut_lineage, spread_rows
 from ..sources import tables
 
 
@@ -62,7 +62,7 @@ def full_run(docs: DataFrame, state: State, as_of, gen: int = 0, keep_days: int
     """
     check = snapshot_check(docs, state.snapshots, state.snapshot_urls, as_of, gen)
     diff = cut_lineage(check.diff)
-    up = registry.upsert_entities(cut_lineage(extract_entities(diff)), state.games, state.sources, as_of)
+    up = registry.upsert_entities(cut_lineage(extract_entities(spread_rows(diff))), state.games, state.sources, as_of)
     changes = cut_lineage(up.changes)
     new_logs, new_items = registry.log_rows(changes, as_of), registry.log_items(changes, as_of)
     logs = state.logs.unionByName(new_logs)

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+TASK_ROWS = 1 << 14
+
 
 def build_session(app: str = "shelfwatch", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library is tuned for.
@@ -59,6 +61,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def spread_rows(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """A written frame dealt to tasks of about `rows` rows: well-packed files are so small that few tasks read them all."""
+    return df.repartition(df.count() // rows + 1)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and go on from the written table.
 

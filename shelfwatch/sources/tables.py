@@ -36,12 +36,17 @@ KEYS = {"games": ["id", "clean_name"], "snapshots": ["domain"]}
 LOGS = ("update_logs", "update_log_items")
 
 
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, known to the planner, which drops joins with them; rows from Python's side would start its workers."""
+    return spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).limit(0)
+
+
 def _manifest(spark: SparkSession, root: str) -> DataFrame:
     try:
         return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], MANIFEST)
+            return empty(spark, MANIFEST)
         raise
 
 
@@ -91,7 +96,7 @@ def commit(
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     live, schema = _live(spark, root, name), TABLES[name]
     if not live:
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
     stored = (
         spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.LongType())]))
         .option("basePath", f"{root}/{name}")
@@ -118,11 +123,11 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def create_tables(spark: SparkSession, root: str) -> None:
     """Empty versions of all tables; existing ones are replaced."""
-    commit(spark, root, next_gen(spark, root), {n: spark.createDataFrame([], s) for n, s in TABLES.items()})
+    commit(spark, root, next_gen(spark, root), {n: empty(spark, s) for n, s in TABLES.items()})
 
 
 def reset_tables(spark: SparkSession, root: str, keep: tuple[str, ...] = ("feeds",)) -> None:
-    frames = {n: spark.createDataFrame([], s) for n, s in TABLES.items() if n not in keep}
+    frames = {n: empty(spark, s) for n, s in TABLES.items() if n not in keep}
     commit(spark, root, next_gen(spark, root), frames)
 
 

@@ -1,5 +1,6 @@
 """Steps whose time or memory must not grow faster than the tables."""
 
+import importlib
 import re
 
 import pyarrow as pa
@@ -8,13 +9,16 @@ from pyspark.sql import functions as F
 
 from shelfwatch.functions import urls
 from shelfwatch.functions.slugs import normalize_name
-from shelfwatch.operators import dashboard, name_search
+from shelfwatch.operators import dashboard, guards, name_search
 from shelfwatch.operators.extract import extract_entities
-from shelfwatch.sources import members
+from shelfwatch.session import spread_rows
+from shelfwatch.sources import members, tables
 from shelfwatch.streaming.streams import baseline_checks
 from shelfwatch.workloads import changes
 from shelfwatch.workloads import fixtures as fx
 
+DOCS = "feed_ord long, feed_url string, domain string, status int, error string, content string"
+
 
 def plan(df):
     return df._jdf.queryExecution().toString()
@@ -117,3 +121,48 @@ def test_name_blocks_keep_every_row():
                 found += [(gram, p, k) for p, k in zip(*(c.to_pylist() for c in keys.columns), strict=True)]
         whole = [(g, i // 90, (i * 7) % 200) for i in range(3, 200) for g in name_search.trigrams(names[i])]
         assert sorted(found) == sorted(whole)
+
+
+def test_plain_urls_with_queries(spark):
+    plain = ["http://a.b/x?ref=feed", "https://a.b/en/1#top", "http://a.b/?q=/y/../z\\%2e ", "http://a.b/x#?é", "http://a.b/x?\n"]
+    others = ["http://a.b?x/y", "http://a.b/é?x", "http://u@a.b/x?y", "http://a.b:80/x?y", "http://a.b/%2e/?x"]
+    df = spark.createDataFrame([(u,) for u in plain + others], "url string")
+    assert {r.url for r in df.filter(F.col("url").rlike(urls._PLAIN_URL)).collect()} == set(plain)
+    for r in urls.with_url_parts(df).withColumns({"h": urls.written_host(F.col("url")), "p": urls.url_path(F.col("url"))}).collect():
+        assert (r.host, r.path) == (r.h, r.p)
+
+
+@pytest.mark.parametrize("piece", [1, 3, 64])
+@pytest.mark.parametrize("guarded", [True, False])
+def test_spans_are_scanned_in_pieces(spark, monkeypatch, piece, guarded):
+    monkeypatch.setattr(guards, "PIECE", piece)
+    counts = [(i * 7919) % 101 if i % 9 else 0 for i in range(200)]
+    rows = [("a", r, c) for r, c in enumerate(counts)] + [("b", 5, 20), ("b", 9, None), ("b", 11, 12)]
+    df = spark.createDataFrame(rows, "domain string, run long, url_count long")
+    folded = guards.fold_accepted(df, guarded=guarded)
+    text = folded._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" in text and "flatten(" in text
+    got = {(r.domain, r.run): (r.url_count, r.baseline, r.baseline_run) for r in folded.collect()}
+    for domain in "ab":
+        state = (None, None)
+        for _, run, count in [r for r in rows if r[0] == domain]:
+            assert got[domain, run] == (count, *state)
+            if not guarded or count and (count >= 10 if state[0] is None else count >= state[0] * 0.5):
+                state = (count, run)
+
+
+def test_entities_of_a_run_are_extracted_in_tasks_by_rows(spark, tmp_path, monkeypatch):
+    run, spread = importlib.import_module("shelfwatch.plans.full_run"), []
+    monkeypatch.setattr(run, "spread_rows", lambda df: spread.append(spread_rows(df, 5)) or spread[-1])
+    old, new = ("".join(f"<loc>https://a/games/game-{i}</loc>" for i in range(n)) for n in (10, 25))
+    for gen, content in enumerate((old, new)):
+        docs = spark.createDataFrame([(1, "https://a/s.xml", "a", 200, None, content)], DOCS)
+        result = run.full_run(docs, run.load_state(spark, str(tmp_path)), f"2024-01-0{gen + 1}", gen)
+        run.commit_run(spark, str(tmp_path), gen, result)
+    assert [s.rdd.getNumPartitions() for s in spread] == [1, 4] and result.changes.count() == 15
+
+
+def test_missing_tables_start_no_workers(spark, tmp_path):
+    games = tables.read_table(spark, str(tmp_path), "games")
+    assert games.schema == tables.TABLES["games"] and games.count() == 0
+    assert "RDD" not in plan(games) and "LocalRelation <empty>" in games._jdf.queryExecution().optimizedPlan().toString()
