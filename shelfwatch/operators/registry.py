@@ -8,7 +8,10 @@ taken in the order (feed_ord, pos, url).  For each one, in that order:
 * a source is added unless its URL or its (entity, domain) is taken; only then are
   the entity's count and score refreshed.
 
-Written as sets: the first candidate of a clean name decides "new", the accepted
+All of this stays within a clean name, so candidates and what the registry knows of
+their names are dealt by clean name and read once in that order (`_decide`): the texts
+are moved once.  A name with more rows than one task should hold is decided by sets
+(`_decide_large`): the first candidate of a clean name decides "new", the accepted
 candidate of a (clean name, domain) ends the reports of that pair.  Unless a URL is
 listed under two domains, that is the first candidate of the pair and aggregates
 with map-side combine find it.  Pairs that hold such a shared URL compete for it;
@@ -23,6 +26,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scoring import score
 from ..functions.text import entity_id, timestamp
@@ -32,6 +36,8 @@ from .ranking import first_per, scan_number, scan_totals, spread_join
 ORDER = ["feed_ord", "pos", "url"]
 BLOCK = 65536
 CANDIDATE = [*ORDER, "domain", "name", "clean_name"]
+# Rows of a clean name in the order in which `_in_order` reads them.
+KNOWN, HELD, TAKEN, LISTED = range(4)
 
 
 class UpsertResult(NamedTuple):
@@ -106,6 +112,104 @@ def _touched(candidates: DataFrame, games: DataFrame, sources: DataFrame) -> Tou
     return Touched(known, cut_lineage(pairs), sources.select("url"))
 
 
+def _decide(candidates: DataFrame, touched: Touched) -> DataFrame:
+    """The candidates to report with `is_new`, `platform_count` (NULL for a new entity) and whether their source is `added`."""
+    taken = candidates.select("clean_name", "url").join(touched.urls, "url", "left_semi").distinct()
+    known = touched.known.select("clean_name", F.coalesce("stored", F.lit(1)).cast("long").alias("_stored"))
+    rows = candidates.withColumn("_kind", F.lit(LISTED)).withColumn("_stored", F.lit(None).cast("long"))
+    for kind, marks in ((KNOWN, known), (HELD, touched.pairs), (TAKEN, cut_lineage(taken))):
+        rows = rows.unionByName(marks.withColumn("_kind", F.lit(kind)), allowMissingColumns=True)
+    n = rows.count()
+    large = _large_names(rows, n)
+    if large is None:
+        return cut_lineage(_in_order(rows, n))
+    small = spread_join(rows, large, ["clean_name"], "left_anti", ["domain", "url"]).select(*rows.columns)
+    rest = spread_join(candidates, large, ["clean_name"], "left_semi", ["domain", "url"]).select(*CANDIDATE)
+    return cut_lineage(_in_order(small, n).unionByName(_decide_large(cut_lineage(rest), touched)))
+
+
+def _large_names(rows: DataFrame, n: int) -> DataFrame | None:
+    """Clean names with more than a block of the `n` rows, if there are any.
+
+    Rows are counted by a hash of their name in slots of a quarter of a block on average, so only names in a slot
+    that is full are counted themselves.
+    """
+    if n <= BLOCK:
+        return None
+    slots = rows.select("clean_name", F.pmod(F.xxhash64("clean_name"), F.lit(n // max(1, BLOCK // 4) + 1)).alias("_slot"))
+    full = slots.groupBy("_slot").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK)
+    full = cut_lineage(full.select("_slot"))
+    if full.isEmpty():
+        return None
+    names = slots.join(full, "_slot", "left_semi").groupBy("clean_name").agg(F.count("*").alias("_n"))
+    large = cut_lineage(names.filter(F.col("_n") > BLOCK).select("clean_name"))
+    return None if large.isEmpty() else large
+
+
+def _in_order(rows: DataFrame, n: int) -> DataFrame:
+    """`_decide` for names that one task can hold; the domains and URLs of the name at hand are held."""
+    fields = [rows.schema[c] for c in CANDIDATE]
+    fields += [T.StructField("is_new", T.BooleanType()), T.StructField("platform_count", T.LongType()), T.StructField("added", T.BooleanType())]
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, count, domains, urls = object(), None, set(), set()
+        for batch in batches:
+            kept, counts, added = [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("clean_name", "_kind", "domain", "url", "_stored"))
+            for i, (name, kind, domain, url, stored) in enumerate(zip(*columns, strict=True)):
+                if name != current:
+                    current, count, domains, urls = name, None, set(), set()
+                if kind == KNOWN:
+                    count = stored
+                elif kind == HELD:
+                    domains.add(domain)
+                elif kind == TAKEN:
+                    urls.add(url)
+                elif domain not in domains:
+                    kept.append(i)
+                    counts.append(count)
+                    added.append(url not in urls)
+                    if added[-1]:
+                        domains.add(domain)
+                        urls.add(url)
+                        count = len(domains)
+                    elif count is None:
+                        count = 1
+            listed, before = batch.take(pa.array(kept, pa.int64())), pa.array(counts, pa.int64())
+            decided = [before.is_null(), before, pa.array(added, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(listed.column(c) for c in CANDIDATE), *decided], names=[f.name for f in fields])
+
+    dealt = rows.repartition(n // BLOCK + 1, "clean_name")
+    ordered = dealt.sortWithinPartitions("clean_name", "_kind", *ORDER, "domain", "name")
+    return ordered.mapInArrow(decide, T.StructType(fields))
+
+
+def _decide_large(candidates: DataFrame, touched: Touched) -> DataFrame:
+    """`_decide` for names that one task cannot hold."""
+    accepted, dirty = _accept(candidates, touched)
+    accepted = cut_lineage(accepted.select(*CANDIDATE).withColumn("added", F.lit(1)))
+    # The first report of an unknown clean name creates the entity.
+    rows = accepted if dirty is None else accepted.unionByName(_contested_reports(candidates, dirty, accepted))
+    counted = scan_totals(
+        rows, ["clean_name"], [*ORDER, "domain"], {"_sum": F.col("added"), "_rank": F.lit(1)}
+    ).join(_with_held(touched), "clean_name", "left")
+    is_new = F.col("game_id").isNull() & (F.col("_rank") == 1)
+    before = F.col("_sum") - F.col("added")
+    current = F.when(before == 0, F.coalesce("stored", F.lit(1))).otherwise(F.coalesce("held", F.lit(0)) + before)
+    return counted.select(
+        *CANDIDATE,
+        is_new.alias("is_new"),
+        F.when(~is_new, current.cast("bigint")).alias("platform_count"),
+        (F.col("added") == 1).alias("added"),
+    )
+
+
+def _with_held(touched: Touched) -> DataFrame:
+    """The known names with the number of domains that hold them."""
+    held = touched.pairs.groupBy("clean_name").agg(F.count("*").alias("held"))
+    return touched.known.join(held, "clean_name", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+
+
 def _accept(candidates: DataFrame, touched: Touched) -> tuple[DataFrame, DataFrame | None]:
     """`(accepted, dirty)`: the candidates whose source is added, and the (clean_name, domain)
     pairs that compete for a URL, if there are any."""
@@ -201,7 +305,7 @@ def insert_sources(candidates: DataFrame, games: DataFrame, sources: DataFrame,
     """The source rows to add, under both uniqueness rules."""
     candidates = cut_lineage(candidates.select(*CANDIDATE))
     touched = _touched(candidates, games, sources)
-    return _source_rows(_accept(candidates, touched)[0], touched.known, as_of)
+    return _source_rows(_decide(candidates, touched).filter("added"), touched.known, as_of)
 
 
 def _source_rows(accepted: DataFrame, known: DataFrame, as_of) -> DataFrame:
@@ -236,26 +340,9 @@ def upsert_entities(candidates: DataFrame, games: DataFrame, sources: DataFrame,
     """
     candidates = cut_lineage(candidates.select(*CANDIDATE))
     touched = _touched(candidates, games, sources)
-    accepted, dirty = _accept(candidates, touched)
-    accepted = cut_lineage(accepted.select(*CANDIDATE).withColumn("added", F.lit(1)))
-
-    held = touched.pairs.groupBy("clean_name").agg(F.count("*").alias("held"))
-    known = touched.known.join(held, "clean_name", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-
-    # The first report of an unknown clean name creates the entity.
-    rows = accepted if dirty is None else accepted.unionByName(_contested_reports(candidates, dirty, accepted))
-    counted = scan_totals(
-        rows, ["clean_name"], [*ORDER, "domain"], {"_sum": F.col("added"), "_rank": F.lit(1)}
-    ).join(known, "clean_name", "left")
-    is_new = F.col("game_id").isNull() & (F.col("_rank") == 1)
-    before = F.col("_sum") - F.col("added")
-    current = F.when(before == 0, F.coalesce("stored", F.lit(1))).otherwise(F.coalesce("held", F.lit(0)) + before)
-    changes = counted.select(
-        *CANDIDATE,
-        is_new.alias("is_new"),
-        (~is_new).alias("is_cross"),
-        F.when(~is_new, current.cast("bigint")).alias("platform_count"),
-    )
+    decided = _decide(candidates, touched)
+    accepted, known = decided.filter("added"), _with_held(touched)
+    changes = decided.select(*CANDIDATE, "is_new", (~F.col("is_new")).alias("is_cross"), "platform_count")
 
     new_sources = _source_rows(accepted, touched.known, as_of)
     gained = accepted.groupBy("clean_name").agg(F.count("*").alias("gained"))

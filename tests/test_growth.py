@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from shelfwatch.functions import urls
 from shelfwatch.functions.slugs import normalize_name
-from shelfwatch.operators import dashboard, guards, name_search
+from shelfwatch.operators import dashboard, guards, name_search, registry
 from shelfwatch.operators.extract import extract_entities
-from shelfwatch.session import spread_rows
+from shelfwatch.session import cut_lineage, spread_rows
 from shelfwatch.sources import members, tables
 from shelfwatch.streaming.streams import baseline_checks
 from shelfwatch.workloads import changes
@@ -166,3 +166,15 @@ def test_missing_tables_start_no_workers(spark, tmp_path):
     games = tables.read_table(spark, str(tmp_path), "games")
     assert games.schema == tables.TABLES["games"] and games.count() == 0
     assert "RDD" not in plan(games) and "LocalRelation <empty>" in games._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shared_urls_move_their_texts_once(spark, monkeypatch):
+    """Candidates are dealt by clean name and decided there, not grouped, joined and numbered by name, site and URL in turn."""
+    cut = []
+    monkeypatch.setattr(registry, "cut_lineage", lambda df: cut.append(df) or cut_lineage(df))
+    monkeypatch.setattr(registry, "BLOCK", 1000)
+    found = changes.entity_changes_shared_urls(spark, "/root/testdata/sf0.001")
+    moved = [x for df in [*cut, found] for x in re.findall(r"Exchange (\w+\(.*)", df._jdf.queryExecution().executedPlan().toString())]
+    assert [x for x in moved if re.search(r"clean_name|domain|url", x)] == [x for x in moved if "clean_name" in x and "REPARTITION_BY_NUM" in x]
+    assert len([x for x in moved if "clean_name" in x]) == 1 and len(cut) <= 6
+    assert found.count() > 5000

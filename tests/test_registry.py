@@ -75,6 +75,39 @@ def test_upsert_is_sequential(spark, seed, shared):
     assert all(r.is_cross != r.is_new for r in up.changes.collect())
 
 
+@pytest.mark.parametrize("seed, block", [(1, 5), (2, 5), (3, 10), (4, 1)])
+def test_large_names_are_decided_by_sets(spark, monkeypatch, seed, block):
+    """Names with more than a block of rows beside smaller ones: the result is the sequential one."""
+    candidates, games, sources = make(seed, seed > 1)
+    g, s = frames(spark, games, sources)
+    large = []
+    monkeypatch.setattr(registry, "BLOCK", block)
+    monkeypatch.setattr(registry, "_decide_large", lambda c, t, f=registry._decide_large: large.append(c) or f(c, t))
+    df = spark.createDataFrame(candidates, CANDIDATES)
+    up = registry.upsert_entities(df, g, s, AT)
+    reports, games2, sources2 = sequential(candidates, games, sources)
+    got = [(r.feed_ord, r.pos, r.url, r.is_new, r.platform_count) for r in up.changes.collect()]
+    assert sorted(got, key=str) == reports
+    assert {r.clean_name: r.platform_count for r in up.games.collect()} == games2
+    added = {(r.domain, r.url) for r in registry.insert_sources(df, g, s, AT).collect()}
+    assert added == {x[1:] for x in sources2 - sources}
+    names = [c[5] for c in candidates]
+    assert {r.clean_name for r in large[0].collect()} >= {n for n in names if names.count(n) > block} and len(large) == 2
+
+
+def test_registry_rows_decide_before_candidates(spark):
+    """A known entity without sources, one held by the site, a URL that another entity's source holds."""
+    games, sources = {"a": 3, "b": 2, "z": 1}, {("b", "d1", "https://d1/b"), ("z", "d9", "https://d1/c")}
+    rows = [(1, 0, "d1", "https://d1/a", "A", "a"), (2, 0, "d2", "https://d2/a", "A", "a"), (1, 1, "d1", "https://d1/b2", "B", "b")]
+    rows += [(1, 2, "d1", "https://d1/c", "C", "c"), (1, 3, "d1", "https://d1/c", "C", "c"), (3, 0, "d3", "https://d3/c", "C", "c")]
+    g, s = frames(spark, games, sources)
+    up = registry.upsert_entities(spark.createDataFrame(rows, CANDIDATES), g, s, AT)
+    got = sorted((r.clean_name, r.feed_ord, r.pos, r.is_new, r.platform_count) for r in up.changes.collect())
+    assert [x[:3] + (x[4],) for x in got] == [("a", 1, 0, 3), ("a", 2, 0, 1), ("c", 1, 2, None), ("c", 1, 3, 1), ("c", 3, 0, 1)]
+    assert [x[3] for x in got] == [False, False, True, False, False]
+    assert {(r.domain, r.url) for r in up.new_sources.collect()} == {("d1", "https://d1/a"), ("d2", "https://d2/a"), ("d3", "https://d3/c")}
+
+
 def test_second_run_adds_nothing(spark):
     candidates, games, sources = make(5, False)
     df = spark.createDataFrame(candidates, CANDIDATES)
